@@ -11,7 +11,7 @@ from tickloom.operators.quantiles import exact_quantile
 from tickloom.operators.series import BLOCK, Series
 from tickloom.operators.training import DAYS
 from tickloom.schemas import ANOMALY_FEATURES
-from tickloom.session import shared_dir
+from tickloom.session import written_once
 
 # The detector's defaults.
 METHOD = "isolation_forest"
@@ -169,10 +169,9 @@ def isolation_forest(
     Frame and raw scores are checkpointed: both are read more than once, and fitting is not to be
     repeated when an executor is lost.
     """
-    shared_dir(frame.sparkSession)
-    rows = frame.select("stock_id", "trade_date", "rows", *ANOMALY_FEATURES).checkpoint()
+    rows = written_once(frame.select("stock_id", "trade_date", "rows", *ANOMALY_FEATURES))
     forest = grow_forest(sample_for_trees(rows, trees, sample))
-    return anomaly_flags(score_forest(rows, forest).checkpoint(), contamination)
+    return anomaly_flags(written_once(score_forest(rows, forest)), contamination)
 
 
 def detect_anomalies(

@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.scalars import ratio
-from tickloom.session import shared_dir
+from tickloom.session import written_once
 
 # The boosting defaults.
 ROUNDS, DEPTH, STEP, SEED = 100, 6, 0.3, 42
@@ -78,8 +78,7 @@ class BoostedModel:
 
 
 def _fit(regressor, train: DataFrame) -> tuple:
-    shared_dir(train.sparkSession)
-    stats = _instrument_stats(train).checkpoint()
+    stats = written_once(_instrument_stats(train))
     rows = _inputs(train, stats).withColumn("_target", _target_return())
     labelled = rows.where(F.col("_target").isNotNull()).select("_inputs", "_target")
     return regressor.setFeaturesCol("_inputs").setLabelCol("_target").fit(labelled), stats

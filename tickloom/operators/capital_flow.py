@@ -35,9 +35,14 @@ def money_flow_index(inflow: Column, outflow: Column) -> Column:
 
 
 def compute_capital_flow(
-    prices: DataFrame, series: Series = BARS, keep: tuple[str, ...] = ()
+    prices: DataFrame, series: Series = BARS, keep: tuple[str, ...] = (),
+    rolling_sums: bool = False,
 ) -> DataFrame:
-    """Flow columns of every bar, for instruments with at least fifteen bars."""
+    """Flow columns of every bar, for instruments with at least fifteen bars.
+
+    ``keep`` names input columns to pass on; ``rolling_sums`` adds the sums behind the index.
+    """
+    sums = ("inflow_14", "outflow_14")
     bars = series.blocked(prices.select(
         series.key, series.order, "high", "low", "close", "volume",
         *[c for c in keep if c not in ("high", "low", "close", "volume")]))
@@ -57,8 +62,10 @@ def compute_capital_flow(
         .withColumn("outflow", F.when(F.col("flow_direction") == -1, F.col("raw_money_flow"))
                     .otherwise(0.0))
         .withColumn("net_flow", F.col("inflow") - F.col("outflow"))
-        .withColumn("mfi_14", money_flow_index(
-            F.sum("inflow").over(recent), F.sum("outflow").over(recent)))
+        .withColumns({
+            "inflow_14": F.sum("inflow").over(recent),
+            "outflow_14": F.sum("outflow").over(recent)})
+        .withColumn("mfi_14", money_flow_index(F.col("inflow_14"), F.col("outflow_14")))
         .where(~F.col(IS_HISTORY))
     )
     net_before = series.carried(
@@ -67,7 +74,7 @@ def compute_capital_flow(
     return (
         flows.join(net_before, series.keys)
         .withColumn("cumulative_flow", running + F.coalesce("_net_before", F.lit(0.0)))
-        .select(series.key, series.order, *keep, *FLOW_COLUMNS)
+        .select(series.key, series.order, *keep, *FLOW_COLUMNS, *(sums if rolling_sums else ()))
     )
 
 

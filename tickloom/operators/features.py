@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions.scalars import known, ratio
@@ -90,3 +92,32 @@ def compute_features(
 def compute_features_for_stock(prices: DataFrame, stock_id: int) -> DataFrame:
     """Features of one instrument, straight from the price table."""
     return compute_features(price_series(prices, stock_id))
+
+
+def rows_to_refresh(prices: DataFrame, since: dt.date, series: Series = BARS) -> DataFrame:
+    """The bars from ``since`` on and the few before them that their features depend on.
+
+    Those are the last bars that an average reaches back to, and the last known close. Both are
+    reduced before the shuffle, so the history is read but not moved.
+    """
+    earlier = prices.where(F.col(series.order) < F.lit(since))
+    latest_first = W.partitionBy(series.key).orderBy(F.desc(series.order))
+    tail = (
+        earlier.withColumn("_rank", F.row_number().over(latest_first))
+        .where(F.col("_rank") < LONG_AVERAGE).drop("_rank")
+    )
+    known_days = F.when(F.col("close").isNotNull(), F.col(series.order))
+    values = [c for c in prices.columns if c not in (series.key, series.order)]
+    last_close = earlier.groupBy(series.key).agg(
+        F.max(known_days).alias(series.order),
+        *[F.max_by(c, known_days).alias(c) for c in values],
+    ).where(F.col(series.order).isNotNull())
+    beyond_tail = last_close.join(tail, [series.key, series.order], "left_anti")
+    later = prices.where(F.col(series.order) >= F.lit(since))
+    return later.unionByName(tail).unionByName(beyond_tail)
+
+
+def refreshed_features(prices: DataFrame, since: dt.date, series: Series = BARS) -> DataFrame:
+    """Features of the bars from ``since`` on, as ``compute_features`` gives them."""
+    return compute_features(rows_to_refresh(prices, since, series), series).where(
+        F.col(series.order) >= F.lit(since))

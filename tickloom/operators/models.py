@@ -13,7 +13,7 @@ from tickloom.operators import boosting, linear
 from tickloom.operators.boosting import BoostedModel
 from tickloom.operators.training import FOLDS, MODEL_NAMES, evaluate
 from tickloom.schemas import FEATURE_COLUMNS
-from tickloom.session import shared_dir
+from tickloom.session import written_once
 
 META = ("_linear", "_boosted")
 
@@ -60,8 +60,7 @@ class StackedModel:
 
 
 def train_linear(train: DataFrame) -> LinearModel:
-    shared_dir(train.sparkSession)
-    return LinearModel(linear.fit_linear(train).checkpoint())
+    return LinearModel(written_once(linear.fit_linear(train)))
 
 
 def train_boosted(train: DataFrame, **settings) -> BoostedModel:
@@ -86,8 +85,7 @@ def out_of_fold(train: DataFrame, **settings) -> DataFrame:
 
 def train_stacking(train: DataFrame, **settings) -> StackedModel:
     """Five contiguous folds; the bases kept for prediction are fitted on all training rows."""
-    shared_dir(train.sparkSession)
-    meta = linear.fit_ridge(out_of_fold(train, **settings), META).checkpoint()
+    meta = written_once(linear.fit_ridge(out_of_fold(train, **settings), META))
     return StackedModel(train_linear(train), train_boosted(train, **settings), meta)
 
 

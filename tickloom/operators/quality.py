@@ -19,27 +19,37 @@ NON_POSITIVE = "%d rows with non-positive {column}"
 HIGH_BELOW_LOW = "%d rows where high < low"
 GAPS = "%d date gaps > 5 days found (max gap: %.1f days)"
 
-NULL_COUNTS = {f"null_{c}": F.col(c).isNull() for c in OHLCV}
-NON_POSITIVE_COUNTS = {f"non_positive_{c}": F.col(c) <= 0 for c in PRICES}
+
+def _null_counts() -> list[Column]:
+    return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in OHLCV]
+
+
+def _zero_volume() -> Column:
+    return F.count_if(F.col("volume") == 0).alias("zero_volume")
+
+
+def _non_positive() -> list[Column]:
+    return [F.count_if(F.col(c) <= 0).alias(f"non_positive_{c}") for c in PRICES]
+
+
+def _high_below_low() -> Column:
+    return F.count_if(F.col("high") < F.col("low")).alias("high_below_low")
 
 
 def null_counts(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(
-        *[F.count_if(test).alias(name) for name, test in NULL_COUNTS.items()])
+    return bars.groupBy("symbol").agg(*_null_counts())
 
 
 def zero_volume(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.count_if(F.col("volume") == 0).alias("zero_volume"))
+    return bars.groupBy("symbol").agg(_zero_volume())
 
 
 def non_positive(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(
-        *[F.count_if(test).alias(name) for name, test in NON_POSITIVE_COUNTS.items()])
+    return bars.groupBy("symbol").agg(*_non_positive())
 
 
 def high_below_low(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(
-        F.count_if(F.col("high") < F.col("low")).alias("high_below_low"))
+    return bars.groupBy("symbol").agg(_high_below_low())
 
 
 def with_gap(bars: DataFrame, series: Series = FEED) -> DataFrame:
@@ -68,11 +78,8 @@ def date_gaps(bars: DataFrame, series: Series = FEED) -> DataFrame:
 def quality_counts(bars: DataFrame, series: Series = FEED) -> DataFrame:
     """All checks in one aggregation."""
     return with_gap(bars, series).groupBy(series.key).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(test).alias(name) for name, test in NULL_COUNTS.items()],
-        F.count_if(F.col("volume") == 0).alias("zero_volume"),
-        *[F.count_if(test).alias(name) for name, test in NON_POSITIVE_COUNTS.items()],
-        F.count_if(F.col("high") < F.col("low")).alias("high_below_low"),
+        F.count(F.lit(1)).alias("rows"), *_null_counts(), _zero_volume(), *_non_positive(),
+        _high_below_low(),
         *_gap_aggregates(),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,3 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read back from there, however often they are used.
+
+    They outlive the executors that computed them, and cut the lineage.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

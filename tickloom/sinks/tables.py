@@ -5,9 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
+from tickloom.functions.scalars import known
+from tickloom.schemas import FEATURE_COLUMNS
 from tickloom.session import scratch_path
 
 PRICE_KEY = ("stock_id", "trade_date")
@@ -57,34 +60,54 @@ def assert_unique_key(df: DataFrame, keys: Sequence[str] = PRICE_KEY) -> DataFra
     return df
 
 
+def newest_rows(rows: DataFrame, keys: Sequence[str] = PRICE_KEY, seq: str = "seq") -> DataFrame:
+    """The row of each key with the highest ``seq``.
+
+    An aggregate: the copies of a key shrink before the shuffle, so a heavily repeated key costs
+    no more than others.
+    """
+    values = [c for c in rows.columns if c not in (*keys, seq)]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, seq).alias(c) for c in values]).select(
+        *[c for c in rows.columns if c != seq])
+
+
 def merge_rows(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = PRICE_KEY, seq: str = "seq"
 ) -> DataFrame:
     """Existing rows overwritten by incoming ones on equal keys.
 
-    Among incoming copies of a key the one with the highest ``seq`` (not negative) wins. The copies
-    of a key shrink before the shuffle, so a heavily repeated key costs no more than others.
+    Among incoming copies of a key the one with the highest ``seq`` (not negative) wins.
     """
-    values = [c for c in existing.columns if c not in keys]
     rows = existing.withColumn(seq, F.lit(-1).cast("bigint")).unionByName(
         incoming.select(*existing.columns, F.col(seq).cast("bigint").alias(seq)))
-    return (
-        rows.groupBy(*keys).agg(*[F.max_by(c, seq).alias(c) for c in values])
-        .select(*existing.columns)
-    )
+    return newest_rows(rows, keys, seq)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stored table, empty if nothing was written yet."""
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(location):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
+def read_table(
+    spark: SparkSession, path: str, schema: StructType,
+    first: dt.date | None = None, last: dt.date | None = None, date: str = "trade_date",
+) -> DataFrame:
+    """A stored table, empty if nothing was written yet.
 
-def month_of(column: str = "trade_date") -> Column:
+    ``first`` and ``last`` bound the dates; for tables laid out by month other months are not read.
+    """
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    by_month = MONTH in rows.columns
+    if first is not None:
+        rows = rows.where(F.col(date) >= F.lit(first))
+        rows = rows.where(F.col(MONTH) >= month_of(F.lit(first))) if by_month else rows
+    if last is not None:
+        rows = rows.where(F.col(date) <= F.lit(last))
+        rows = rows.where(F.col(MONTH) <= month_of(F.lit(last))) if by_month else rows
+    return rows.select(*schema.fieldNames())
+
+
+def month_of(column: Column | str = "trade_date") -> Column:
     return F.trunc(column, "month")
 
 
@@ -99,22 +122,26 @@ def upsert(
 ) -> None:
     """Merges rows into a Parquet table laid out by month, rewriting only the months touched.
 
-    The merged months are written to the shared folder first. The rewrite then reads nothing it
-    replaces, and a rewrite cut short can be repeated. Merging the same rows again changes nothing.
+    The incoming rows are computed once, into the shared folder. Merged months are staged there
+    too, so the rewrite reads nothing it replaces and, if cut short, can be repeated. Merging the
+    same rows again changes nothing.
     """
     stored = _with_month(schema)
-    tagged = incoming.withColumn(MONTH, month_of(date))
+    staged = scratch_path(spark, "upsert")
+    tagged = incoming.withColumn(MONTH, month_of(date)).select(*stored.fieldNames(), seq)
+    newest_rows(tagged, [*keys, MONTH], seq).write.parquet(f"{staged}/incoming")
+    new = spark.read.schema(stored).parquet(f"{staged}/incoming")
     # One value per calendar month touched, which bounds this list.
-    months = [r[0] for r in tagged.select(MONTH).distinct().collect()]
+    months = [r[0] for r in new.select(MONTH).distinct().collect()]
     if not months:
         return
     existing = read_table(spark, path, stored).where(F.col(MONTH).isin(months))
-    merged = merge_rows(existing, tagged, [*keys, MONTH], seq)
-    staged = scratch_path(spark, "upsert")
-    _by_month(merged).write.parquet(staged)
+    if not existing.isEmpty():
+        merged = merge_rows(existing, new.withColumn(seq, F.lit(0)), [*keys, MONTH], seq)
+        merged.write.parquet(f"{staged}/merged")
+        new = spark.read.schema(stored).parquet(f"{staged}/merged")
     (
-        _by_month(spark.read.schema(stored).parquet(staged))
-        .write.partitionBy(MONTH).mode("overwrite")
+        _by_month(new).write.partitionBy(MONTH).mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").parquet(path)
     )
 
@@ -142,8 +169,9 @@ def upsert_features(
     spark: SparkSession, path: str, features: DataFrame, schema: StructType,
     loaded_at: dt.datetime | None = None,
 ) -> None:
-    rows = features.withColumns(
-        {"created_at": stamp(loaded_at), "seq": F.lit(0).cast("bigint")})
+    rows = features.withColumns({
+        **{c: known(c) for c in FEATURE_COLUMNS},
+        "created_at": stamp(loaded_at), "seq": F.lit(0).cast("bigint")})
     upsert(spark, path, rows, schema)
 
 
