@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.operators.features import change_since_known, last_known
 from tickloom.operators.quantiles import exact_quantile
-from tickloom.operators.series import BLOCK, Series
+from tickloom.operators.series import BLOCK, IS_HISTORY, Series
 from tickloom.operators.training import DAYS
 from tickloom.schemas import ANOMALY_FEATURES
 from tickloom.session import written_once
@@ -26,17 +26,16 @@ SCORE_SCHEMA = "stock_id int, trade_date date, raw double"
 
 def volume_change(joined: DataFrame, series: Series = DAYS) -> DataFrame:
     """Adds the relative volume change, NULL after a day without volume, and the row count."""
-    blocked = series.blocked(joined)
-    carried = series.carried(
-        blocked,
-        {"_n": F.count(F.lit(1)), "_volume": last_known("volume", series)},
+    extended = series.extended(
+        series.blocked(joined),
+        totals={"_n": F.count(F.lit(1)), "_volume": last_known("volume", series)},
         before={"_volume_before": F.last("_volume", ignorenulls=True)},
         overall={"joined_rows": F.sum("_n")},
     )
     return (
-        blocked.join(carried, series.keys)
+        extended
         .withColumn("volume_change_pct", change_since_known("volume", "_volume_before", series))
-        .drop(BLOCK, "_volume_before")
+        .drop(BLOCK, IS_HISTORY, "_volume_before")
     )
 
 

@@ -1,9 +1,9 @@
 """Gradient-boosted trees: one model fitted over all instruments at once.
 
-The trees predict the return to the next close from inputs that do not depend on an instrument's
-price level, together with the instrument's own mean and spread of returns. A model per instrument
-would be a driver loop over instruments; an instrument index as a categorical input would bound
-their number.
+The trees predict the next close relative to the seven-day average, from the six features made
+independent of an instrument's price level and from the instrument's own mean and spread of that
+target. A model per instrument would be a driver loop over instruments; an instrument index as a
+categorical input would bound their number.
 """
 
 from __future__ import annotations
@@ -21,33 +21,31 @@ from tickloom.session import written_once
 ROUNDS, DEPTH, STEP, SEED = 100, 6, 0.3, 42
 
 INPUTS = (
-    "_return", "_difference", "_volatility", "_ma_7", "_ma_30", "_flow", "_mean_return",
-    "_std_return",
+    "_return", "_difference", "_volatility", "_averages", "_flow", "_mean_target", "_std_target",
 )
 
 
-def _target_return() -> Column:
-    return ratio(F.col("target"), F.col("close_price")) - 1
+def _relative_target() -> Column:
+    return ratio(F.col("target"), F.col("ma_7")) - 1
 
 
 def _instrument_stats(train: DataFrame) -> DataFrame:
     return train.groupBy("stock_id").agg(
-        F.avg(_target_return()).alias("_mean_return"),
-        F.stddev_pop(_target_return()).alias("_std_return"),
+        F.avg(_relative_target()).alias("_mean_target"),
+        F.stddev_pop(_relative_target()).alias("_std_target"),
         F.avg(F.abs("capital_flow_indicator")).alias("_flow_scale"))
 
 
 def _inputs(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    close = F.col("close_price")
+    level = F.col("ma_7")
     values = {
         "_return": F.col("daily_return"),
-        "_difference": ratio(F.col("price_difference"), close),
+        "_difference": ratio(F.col("price_difference"), level),
         "_volatility": F.col("volatility"),
-        "_ma_7": ratio(F.col("ma_7"), close) - 1,
-        "_ma_30": ratio(F.col("ma_30"), close) - 1,
+        "_averages": ratio(F.col("ma_30"), level) - 1,
         "_flow": ratio(F.col("capital_flow_indicator"), F.col("_flow_scale")),
-        "_mean_return": F.col("_mean_return"),
-        "_std_return": F.col("_std_return"),
+        "_mean_target": F.col("_mean_target"),
+        "_std_target": F.col("_std_target"),
     }
     known = {name: F.coalesce(value, F.lit(0.0)) for name, value in values.items()}
     return VectorAssembler(inputCols=list(INPUTS), outputCol="_inputs").transform(
@@ -62,11 +60,11 @@ class BoostedModel:
     stats: DataFrame
 
     def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        """Predicted next close; ``rows`` have the features and ``close_price``."""
-        scored = self.trees.setFeaturesCol("_inputs").setPredictionCol("_predicted_return") \
+        """Predicted next close of rows with the six features."""
+        scored = self.trees.setFeaturesCol("_inputs").setPredictionCol("_relative") \
             .transform(_inputs(rows, self.stats))
-        value = F.col("close_price") * (1 + F.col("_predicted_return"))
-        return scored.withColumn(output, value).drop("_inputs", "_predicted_return")
+        value = F.col("ma_7") * (1 + F.col("_relative"))
+        return scored.withColumn(output, value).drop("_inputs", "_relative")
 
     def save(self, path: str) -> None:
         self.trees.write().overwrite().save(f"{path}/trees")
@@ -79,7 +77,7 @@ class BoostedModel:
 
 def _fit(regressor, train: DataFrame) -> tuple:
     stats = written_once(_instrument_stats(train))
-    rows = _inputs(train, stats).withColumn("_target", _target_return())
+    rows = _inputs(train, stats).withColumn("_target", _relative_target())
     labelled = rows.where(F.col("_target").isNotNull()).select("_inputs", "_target")
     return regressor.setFeaturesCol("_inputs").setLabelCol("_target").fit(labelled), stats
 

@@ -46,14 +46,14 @@ def compute_capital_flow(
     bars = series.blocked(prices.select(
         series.key, series.order, "high", "low", "close", "volume",
         *[c for c in keep if c not in ("high", "low", "close", "volume")]))
-    rows = series.carried(bars, {"_n": F.count(F.lit(1))}, overall={"_rows": F.sum("_n")})
     w = series.in_block
     recent = w.rowsBetween(1 - MFI_ROWS, 0)
 
     # One more row of history than the frame is long: the oldest row needs its own predecessor.
     flows = (
-        series.with_history(bars, MFI_ROWS)
-        .join(rows.where(F.col("_rows") >= MIN_ROWS), series.keys)
+        series.extended(
+            bars, MFI_ROWS, {"_n": F.count(F.lit(1))}, overall={"_rows": F.sum("_n")})
+        .where(F.col("_rows") >= MIN_ROWS)
         .withColumn("typical_price", typical_price())
         .withColumn("raw_money_flow", F.col("typical_price") * F.col("volume"))
         .withColumn("flow_direction", flow_direction(series))
@@ -66,13 +66,12 @@ def compute_capital_flow(
             "inflow_14": F.sum("inflow").over(recent),
             "outflow_14": F.sum("outflow").over(recent)})
         .withColumn("mfi_14", money_flow_index(F.col("inflow_14"), F.col("outflow_14")))
-        .where(~F.col(IS_HISTORY))
+        .where(~F.col(IS_HISTORY)).drop(IS_HISTORY)
     )
-    net_before = series.carried(
-        flows, {"_net": F.sum("net_flow")}, before={"_net_before": F.sum("_net")})
     running = F.sum("net_flow").over(w.rowsBetween(W.unboundedPreceding, 0))
     return (
-        flows.join(net_before, series.keys)
+        series.extended(
+            flows, totals={"_net": F.sum("net_flow")}, before={"_net_before": F.sum("_net")})
         .withColumn("cumulative_flow", running + F.coalesce("_net_before", F.lit(0.0)))
         .select(series.key, series.order, *keep, *FLOW_COLUMNS, *(sums if rolling_sums else ()))
     )

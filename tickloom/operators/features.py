@@ -62,8 +62,8 @@ def compute_features(
     """
     bars = series.blocked(prices.select(
         series.key, series.order, "open", "high", "low", "close", "volume"))
-    carried = series.carried(
-        bars,
+    extended = series.extended(
+        bars, LONG_AVERAGE - 1,
         {"_n": F.count(F.lit(1)), "_close": last_known("close", series)},
         before={"_close_before": F.last("_close", ignorenulls=True)},
         overall={"_rows": F.sum("_n")},
@@ -74,8 +74,7 @@ def compute_features(
         return F.avg("close").over(w.rowsBetween(1 - rows, 0))
 
     return (
-        series.with_history(bars, LONG_AVERAGE - 1)
-        .join(carried.where(F.col("_rows") >= MIN_ROWS), series.keys)
+        extended.where(F.col("_rows") >= MIN_ROWS)
         .withColumns({
             "daily_return": change_since_known("close", "_close_before", series),
             "price_difference": price_difference(),

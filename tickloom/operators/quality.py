@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators.series import Series
+from tickloom.operators.series import BLOCK, IS_HISTORY, Series
 from tickloom.schemas import OHLCV
 
 MAX_GAP_DAYS = 5
@@ -54,14 +54,13 @@ def high_below_low(bars: DataFrame) -> DataFrame:
 
 def with_gap(bars: DataFrame, series: Series = FEED) -> DataFrame:
     """Adds the calendar days since the preceding bar."""
-    blocked = series.blocked(bars)
-    carried = series.carried(
-        blocked, {"_last": F.max(series.order)}, before={"_date_before": F.max("_last")})
+    extended = series.extended(
+        series.blocked(bars), totals={"_last": F.max(series.order)},
+        before={"_date_before": F.max("_last")})
     previous = F.coalesce(F.lag(series.order).over(series.in_block), F.col("_date_before"))
     return (
-        blocked.join(carried, series.keys)
-        .withColumn("gap_days", F.datediff(series.order, previous))
-        .drop("_date_before", *series.keys[1:])
+        extended.withColumn("gap_days", F.datediff(series.order, previous))
+        .drop("_date_before", BLOCK, IS_HISTORY)
     )
 
 

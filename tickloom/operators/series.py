@@ -2,14 +2,12 @@
 
 A series is cut into calendar blocks of ``span_days``. With at most one row per instrument and
 date a block holds at most ``span_days`` rows, however long or hot its series is, and the rows are
-shuffled once, by (instrument, block). What a frame needs from outside its block arrives in two
-small tables:
+shuffled once, by (instrument, block). What a frame needs from outside its block is delivered to
+it from the tails of the blocks, a small fraction of the rows:
 
-* ``with_history`` copies the last ``rows`` rows before each block into it, for bounded frames;
-* ``carried`` gives each block running values over all blocks before it, for unbounded frames,
-  row positions and row counts.
-
-Both are computed from block tails or block totals only, a small fraction of the rows.
+* the last ``rows`` rows before the block, for bounded frames;
+* running values over all blocks before it, over all blocks, or over those after it, for
+  unbounded frames, row positions and row counts.
 """
 
 from __future__ import annotations
@@ -38,76 +36,81 @@ class Series:
         """Rows of one block, and of its history if it was added, in time order."""
         return W.partitionBy(self.key, BLOCK).orderBy(self.order)
 
-    @property
-    def keys(self) -> list[str]:
-        return [self.key, BLOCK]
-
     def blocked(self, df: DataFrame) -> DataFrame:
         day = F.unix_date(F.to_date(self.order))
         block = F.floor(day / F.lit(self.span_days)).cast("int")
         return df.withColumn(BLOCK, block).repartition(self.key, BLOCK)
 
-    def with_history(self, blocked: DataFrame, rows: int) -> DataFrame:
-        """Adds to each block the ``rows`` rows preceding it, marked by ``IS_HISTORY``.
-
-        Among block tails, a row precedes a later block by at most ``rows`` rows exactly if some
-        row of that block is among its next ``rows`` tail rows; sparse blocks are thereby skipped
-        over correctly.
-        """
-        columns = [c for c in blocked.columns if c != BLOCK]
-        latest_first = W.partitionBy(self.key, BLOCK).orderBy(F.desc(self.order))
-        following = W.partitionBy(self.key).orderBy(self.order).rowsBetween(1, rows)
-        needed_by = F.array_except(F.collect_set(BLOCK).over(following), F.array(BLOCK))
-        history = (
-            blocked.withColumn("_rank", F.row_number().over(latest_first))
-            .where(F.col("_rank") <= rows)
-            .withColumn("_needed_by", needed_by)
-            .select(*columns, F.explode("_needed_by").alias(BLOCK), F.lit(True).alias(IS_HISTORY))
-            .repartition(self.key, BLOCK)
-        )
-        return blocked.withColumn(IS_HISTORY, F.lit(False)).unionByName(history)
-
-    def carried(
+    def extended(
         self,
         blocked: DataFrame,
-        totals: Mapping[str, Column],
+        rows: int = 0,
+        totals: Mapping[str, Column] | None = None,
         before: Mapping[str, Column] | None = None,
         overall: Mapping[str, Column] | None = None,
         after: Mapping[str, Column] | None = None,
     ) -> DataFrame:
-        """One row per block: values over the blocks before it, over all blocks, and after it.
+        """Blocks with their history and with values carried over from other blocks.
 
-        ``totals`` aggregates a block; the other mappings are window aggregates of these totals.
+        ``rows`` rows before each block are copied into it, marked by ``IS_HISTORY``. ``totals``
+        aggregates a block; ``before``, ``overall`` and ``after`` aggregate these totals, skipping
+        NULLs, over the blocks before, all blocks, and the blocks after, and become columns.
+
+        Among block tails, a row precedes a later block by at most ``rows`` rows exactly if some
+        row of that block is among its next ``rows`` tail rows; sparse blocks are thereby skipped
+        over correctly. A block's carried values travel as one extra row of it.
         """
-        by_block = W.partitionBy(self.key).orderBy(BLOCK)
+        key, order, data = self.key, self.order, [c for c in blocked.columns if c != BLOCK]
+        totals = totals or {}
+        by_block = W.partitionBy(key).orderBy(BLOCK)
         frames = [
-            (before, by_block.rowsBetween(W.unboundedPreceding, -1)),
-            (overall, W.partitionBy(self.key)),
-            (after, by_block.rowsBetween(1, W.unboundedFollowing)),
+            (before, by_block.rangeBetween(W.unboundedPreceding, -1)),
+            (overall, W.partitionBy(key)),
+            (after, by_block.rangeBetween(1, W.unboundedFollowing)),
         ]
-        per_block = blocked.groupBy(*self.keys).agg(*[e.alias(n) for n, e in totals.items()])
-        wanted = [e.over(frame).alias(n) for values, frame in frames
-                  for n, e in (values or {}).items()]
-        return per_block.select(*self.keys, *wanted)
-
-    def positions(self, df: DataFrame, position: str = "position", total: str = "total") -> DataFrame:
-        """Adds the 1-based row position within the instrument and its row count."""
-        blocked = self.blocked(df)
-        offsets = self.carried(
-            blocked,
-            {"_n": F.count(F.lit(1))},
-            before={"_offset": F.sum("_n")},
-            overall={total: F.sum("_n")},
+        carried = {name: value.over(frame) for values, frame in frames
+                   for name, value in (values or {}).items()}
+
+        block = W.partitionBy(key, BLOCK)
+        rank = F.row_number().over(block.orderBy(F.desc(order)))
+        is_last = F.col("_rank") == 1
+        tails = (
+            blocked.withColumns({"_rank": rank, **{n: e.over(block) for n, e in totals.items()}})
+            .where(F.col("_rank") <= max(rows, 1))
+            .withColumns({n: F.when(is_last, F.col(n)) for n in totals})
         )
-        return (
-            blocked.join(offsets, self.keys)
-            .withColumn(position, F.row_number().over(self.in_block)
-                        + F.coalesce("_offset", F.lit(0)))
-            .drop(BLOCK, "_offset")
+        targets = F.array().cast("array<int>")
+        if rows:
+            following = W.partitionBy(key).orderBy(BLOCK, order).rowsBetween(1, rows)
+            targets = F.array_except(F.collect_set(BLOCK).over(following), F.array(BLOCK))
+        if carried:
+            targets = F.concat(targets, F.when(is_last, F.array(BLOCK)).otherwise(
+                F.array().cast("array<int>")))
+        to_self = F.col("_target") == F.col(BLOCK)
+        extra = (
+            tails.withColumns({**carried, "_targets": targets})
+            .withColumn("_target", F.explode("_targets"))
+            .select(
+                key,
+                *[F.when(~to_self, F.col(c)).alias(c) for c in data if c != key],
+                F.col("_target").alias(BLOCK), F.lit(True).alias(IS_HISTORY),
+                *[F.when(to_self, F.col(c)).alias(c) for c in carried])
+            .repartition(key, BLOCK)
         )
+        types = dict(extra.dtypes)
+        own = blocked.withColumns({
+            IS_HISTORY: F.lit(False), **{c: F.lit(None).cast(types[c]) for c in carried}})
+        merged = own.unionByName(extra)
+        if not carried:
+            return merged
+        whole = self.in_block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return merged.withColumns({c: F.max(c).over(whole) for c in carried}).where(
+            F.col(order).isNotNull())
 
-
-def at_least(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Keeps the instruments that have at least ``rows`` rows."""
-    enough = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= rows)
-    return df.join(enough.select(key), key, "left_semi")
+    def positions(self, df: DataFrame, position: str = "position", total: str = "total") -> DataFrame:
+        """Adds the 1-based row position within the instrument and its row count."""
+        counted = self.extended(
+            self.blocked(df), totals={"_n": F.count(F.lit(1))},
+            before={"_offset": F.sum("_n")}, overall={total: F.sum("_n")})
+        place = F.row_number().over(self.in_block) + F.coalesce("_offset", F.lit(0))
+        return counted.withColumn(position, place).drop(BLOCK, IS_HISTORY, "_offset")

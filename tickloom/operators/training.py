@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions.scalars import ratio
-from tickloom.operators.series import BLOCK, Series
+from tickloom.operators.series import BLOCK, IS_HISTORY, Series
 from tickloom.schemas import FEATURE_COLUMNS
 
 MIN_TRAINING_ROWS = 60
@@ -22,20 +22,20 @@ DAYS = Series()
 
 def with_next_close(joined: DataFrame, series: Series = DAYS) -> DataFrame:
     """Adds ``target``, the close of the next row, and ``joined_rows``, the instrument's rows."""
-    blocked = series.blocked(joined)
-    carried = series.carried(
-        blocked,
-        {"_n": F.count(F.lit(1)), "_first": F.min_by("close_price", series.order)},
+    extended = series.extended(
+        series.blocked(joined),
+        totals={"_n": F.count(F.lit(1)),
+                "_first": F.min_by(F.struct("close_price"), series.order)},
         overall={"joined_rows": F.sum("_n")},
-        after={"_next_first": F.first("_first")},
+        after={"_next_first": F.first("_first", ignorenulls=True)},
     )
     w = series.in_block
     last_of_block = F.lead(series.order).over(w).isNull()
-    target = F.when(last_of_block, F.col("_next_first")).otherwise(F.lead("close_price").over(w))
+    target = F.when(last_of_block, F.col("_next_first.close_price")).otherwise(
+        F.lead("close_price").over(w))
     return (
-        blocked.join(carried, series.keys)
-        .withColumn("target", target)
-        .drop(BLOCK, "_next_first")
+        extended.withColumn("target", target)
+        .drop(BLOCK, IS_HISTORY, "_next_first")
     )
 
 

@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {}
 AS_OF = dt.date(2001, 11, 1)
 CUT, OVERLAP = dt.date(1999, 1, 1), dt.date(1998, 1, 1)
 ONE_STOCK = 7
+NUDGE = 0.1234567
 FAST_TREES = {"rounds": 5, "depth": 4}
 
 
@@ -40,27 +41,43 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, places: int = 6, only: Iterable[str] | None = None) -> DataFrame:
-    """Doubles rounded, negative zero made zero."""
+    """Doubles rounded, negative zero made zero.
+
+    Prices with few binary digits often lie half-way between two roundings, where engines differ;
+    a fixed part of the last place moves them off.
+    """
     doubles = [c for c, t in df.dtypes if t == "double" and (only is None or c in only)]
-    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in doubles})
+    nudge = F.lit(NUDGE / 10 ** places)
+    return df.withColumns({c: F.round(F.col(c) + nudge, places) + F.lit(0.0) for c in doubles})
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.compute_capital_flow(feat.price_series(m.prices(spark, sf_dir)))
 
 
+def _stored_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price table as stored, for queries that read it more than once."""
+    return written_once(m.prices(spark, sf_dir))
+
+
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join_training(m.prices(spark, sf_dir), m.features(spark, sf_dir))
+    prices = _stored_prices(spark, sf_dir)
+    return joins.join_training(prices, feat.compute_features(feat.price_series(prices)))
 
 
 def _anomaly_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join_anomaly_input(m.prices(spark, sf_dir), m.features(spark, sf_dir))
+    prices = _stored_prices(spark, sf_dir)
+    return joins.join_anomaly_input(prices, feat.compute_features(feat.price_series(prices)))
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.chrono_split(training.training_frame(_joined(spark, sf_dir)))
 
 
+def _stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(_split(spark, sf_dir))
+
+
 def _overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.market_overview(m.prices(spark, sf_dir), m.stocks(spark, sf_dir))
 
@@ -102,7 +119,7 @@ def read_history(spark, sf_dir):
 
 @query("resolve_sources")
 def resolve_sources(spark, sf_dir):
-    bars = m.symbol_bars(spark, sf_dir)
+    bars = written_once(m.symbol_bars(spark, sf_dir))
     first = bars.where((F.col("symbol") < "Brand#2") & (F.col("volume") >= 10))
     return rounded(payloads.resolve_sources(first, bars))
 
@@ -142,12 +159,12 @@ def load_features(spark, sf_dir):
 
 @query("load_predictions")
 def load_predictions(spark, sf_dir):
-    return rounded(src.load_predictions(m.naive_predictions(spark, sf_dir)))
+    return rounded(src.load_predictions(m.naive_predictions(m.prices(spark, sf_dir))))
 
 
 @query("load_anomalies")
 def load_anomalies(spark, sf_dir):
-    return rounded(src.load_anomalies(m.naive_anomalies(spark, sf_dir)))
+    return rounded(src.load_anomalies(m.naive_anomalies(m.prices(spark, sf_dir))))
 
 
 @query("price_series")
@@ -186,7 +203,7 @@ def assert_unique_key(spark, sf_dir):
 @query("upsert_prices")
 def upsert_prices(spark, sf_dir):
     path = scratch_path(spark, "prices")
-    prices = m.prices(spark, sf_dir)
+    prices = _stored_prices(spark, sf_dir)
     sink.upsert_prices(
         spark, path, prices.where(F.col("trade_date") < F.lit(CUT)).withColumn("seq", F.lit(0)),
         schemas.PRICES, m.LOADED_AT)
@@ -202,7 +219,7 @@ def upsert_prices(spark, sf_dir):
 @query("upsert_features")
 def upsert_features(spark, sf_dir):
     path = scratch_path(spark, "features")
-    features = m.features(spark, sf_dir)
+    features = written_once(m.features(spark, sf_dir))
     sink.upsert_features(spark, path, features.where(F.col("trade_date") < F.lit(CUT)),
                          schemas.FEATURES, m.LOADED_AT)
     newer = features.where(F.col("trade_date") >= F.lit(OVERLAP)).withColumn(
@@ -215,7 +232,7 @@ def upsert_features(spark, sf_dir):
 @query("append_predictions")
 def append_predictions(spark, sf_dir):
     path = scratch_path(spark, "predictions")
-    rows = m.naive_predictions(spark, sf_dir)
+    rows = written_once(m.naive_predictions(m.prices(spark, sf_dir)))
     for _ in range(2):
         sink.append_rows(spark, path, rows, schemas.PREDICTIONS, m.LOADED_AT)
     stored = sink.read_table(spark, path, schemas.PREDICTIONS)
@@ -226,7 +243,7 @@ def append_predictions(spark, sf_dir):
 @query("append_anomalies")
 def append_anomalies(spark, sf_dir):
     path = scratch_path(spark, "anomalies")
-    rows = m.naive_anomalies(spark, sf_dir).drop("created_at")
+    rows = written_once(m.naive_anomalies(m.prices(spark, sf_dir)).drop("created_at"))
     key = ("stock_id", "trade_date", "model_name")
     sink.append_rows(spark, path, rows, schemas.ANOMALIES, m.LOADED_AT)
     sink.append_rows(spark, path, rows, schemas.ANOMALIES, m.LOADED_AT, dedupe_on=key)
@@ -236,7 +253,7 @@ def append_anomalies(spark, sf_dir):
 @query("model_store")
 def model_store(spark, sf_dir):
     folder = scratch_path(spark, "models")
-    split = written_once(_split(spark, sf_dir))
+    split = _stored_split(spark, sf_dir)
     model = models.train_linear(split.where("is_train"))
     models.save_model(model, folder, "linear_regression")
     again = models.load_model(spark, folder, "linear_regression")
@@ -292,7 +309,7 @@ def validate_quality(spark, sf_dir):
 
 @query("dq_gate")
 def dq_gate(spark, sf_dir):
-    clean = _clean(spark, sf_dir)
+    clean = written_once(_clean(spark, sf_dir))
     report = quality.validate_quality(clean)
     policies = [quality.quality_gate(clean, report, p).withColumn("policy", F.lit(p))
                 for p in ("warn", "drop_symbol")]
@@ -318,20 +335,22 @@ def join_anomaly_input(spark, sf_dir):
 
 @query("join_pred_actual")
 def join_pred_actual(spark, sf_dir):
-    return rounded(joins.join_pred_actual(
-        m.naive_predictions(spark, sf_dir), m.prices(spark, sf_dir)))
+    prices = _stored_prices(spark, sf_dir)
+    return rounded(joins.join_pred_actual(m.naive_predictions(prices), prices))
 
 
 @query("join_anomaly_price")
 def join_anomaly_price(spark, sf_dir):
-    return rounded(joins.join_anomaly_price(
-        m.naive_anomalies(spark, sf_dir), m.prices(spark, sf_dir)))
+    prices = _stored_prices(spark, sf_dir)
+    return rounded(joins.join_anomaly_price(m.naive_anomalies(prices), prices))
 
 
 @query("semi_features")
 def semi_features(spark, sf_dir):
-    recent = src.load_prices(m.prices(spark, sf_dir), days=180, as_of=AS_OF)
-    return rounded(joins.semi_features(m.features(spark, sf_dir), recent))
+    prices = _stored_prices(spark, sf_dir)
+    recent = src.load_prices(prices, days=180, as_of=AS_OF)
+    return rounded(joins.semi_features(
+        feat.compute_features(feat.price_series(prices)), recent))
 
 
 @query("lookup_symbol")
@@ -441,7 +460,7 @@ for _name, _view in {
 
 @query("period_kpis")
 def period_kpis(spark, sf_dir):
-    prices = m.prices(spark, sf_dir)
+    prices = _stored_prices(spark, sf_dir)
     parts = [
         dashboard.period_kpis(prices, days, AS_OF if days else None)
         .withColumn("lookback", F.lit(name))
@@ -462,45 +481,46 @@ def indicator_colors(spark, sf_dir):
 
 @query("candles_with_ma")
 def candles_with_ma(spark, sf_dir):
-    return rounded(dashboard.candles_with_ma(
-        m.prices(spark, sf_dir), m.features(spark, sf_dir), 180, AS_OF))
+    prices = _stored_prices(spark, sf_dir)
+    features = feat.compute_features(feat.price_series(prices))
+    return rounded(dashboard.candles_with_ma(prices, features, 180, AS_OF))
 
 
 @query("distinct_models")
 def distinct_models(spark, sf_dir):
-    return dashboard.distinct_models(m.naive_predictions(spark, sf_dir))
+    return dashboard.distinct_models(m.naive_predictions(m.prices(spark, sf_dir)))
 
 
 @query("latest_prediction")
 def latest_prediction(spark, sf_dir):
-    return rounded(dashboard.latest_prediction(m.naive_predictions(spark, sf_dir)))
+    return rounded(dashboard.latest_prediction(m.naive_predictions(m.prices(spark, sf_dir))))
 
 
 @query("prediction_accuracy")
 def prediction_accuracy(spark, sf_dir):
-    return rounded(dashboard.prediction_accuracy(
-        m.naive_predictions(spark, sf_dir), m.prices(spark, sf_dir)))
+    prices = _stored_prices(spark, sf_dir)
+    return rounded(dashboard.prediction_accuracy(m.naive_predictions(prices), prices))
 
 
 @query("prediction_history")
 def prediction_history(spark, sf_dir):
-    return dashboard.prediction_history(m.naive_predictions(spark, sf_dir))
+    return dashboard.prediction_history(m.naive_predictions(m.prices(spark, sf_dir)))
 
 
 @query("alert_summary")
 def alert_summary(spark, sf_dir):
     return rounded(dashboard.alert_summary(
-        m.naive_anomalies(spark, sf_dir), m.stocks(spark, sf_dir)))
+        m.naive_anomalies(m.prices(spark, sf_dir)), m.stocks(spark, sf_dir)))
 
 
 @query("recent_anomalies")
 def recent_anomalies(spark, sf_dir):
-    return dashboard.recent_anomalies(m.naive_anomalies(spark, sf_dir))
+    return dashboard.recent_anomalies(m.naive_anomalies(m.prices(spark, sf_dir)))
 
 
 @query("score_timeline")
 def score_timeline(spark, sf_dir):
-    return rounded(dashboard.score_timeline(m.naive_anomalies(spark, sf_dir)))
+    return rounded(dashboard.score_timeline(m.naive_anomalies(m.prices(spark, sf_dir))))
 
 
 @query("flow_kpis")
@@ -524,7 +544,7 @@ def net_flow_sign(spark, sf_dir):
 
 @query("range_slice")
 def range_slice(spark, sf_dir):
-    prices = m.prices(spark, sf_dir)
+    prices = _stored_prices(spark, sf_dir)
     parts = [dashboard.range_slice(prices, b).groupBy("stock_id").agg(
         F.count(F.lit(1)).alias("rows"), F.min("trade_date").alias("first_date"),
         F.max("trade_date").alias("last_date")).withColumn("button", F.lit(b))
@@ -534,14 +554,14 @@ def range_slice(spark, sf_dir):
 
 @query("flow_series")
 def flow_series(spark, sf_dir):
-    return rounded(flow.flow_series(_flows(spark, sf_dir)), 2)
+    return rounded(flow.flow_series(written_once(_flows(spark, sf_dir))), 2)
 
 
 # --- union and scalars -----------------------------------------------------------------------
 
 @query("union_predictions")
 def union_predictions(spark, sf_dir):
-    rows = m.naive_predictions(spark, sf_dir)
+    rows = written_once(m.naive_predictions(m.prices(spark, sf_dir)))
     return rounded(models.union_predictions(
         *[rows.where(F.col("model_name") == n) for n in training.MODEL_NAMES]))
 
@@ -588,7 +608,7 @@ def fmt_date(spark, sf_dir):
 
 @query("title_model")
 def title_model(spark, sf_dir):
-    return m.naive_predictions(spark, sf_dir).groupBy("model_name").agg(
+    return m.naive_predictions(m.prices(spark, sf_dir)).groupBy("model_name").agg(
         F.count(F.lit(1)).alias("rows")).withColumn("title", S.model_title("model_name"))
 
 
@@ -646,7 +666,7 @@ def chrono_split(spark, sf_dir):
 
 @query("train_linear")
 def train_linear(spark, sf_dir):
-    fitted = linear.fit_linear(_split(spark, sf_dir).where("is_train"))
+    fitted = linear.fit_linear(_stored_split(spark, sf_dir).where("is_train"))
     names = [F.col("coefficients")[i].alias(f"w_{c}")
              for i, c in enumerate(schemas.FEATURE_COLUMNS)]
     return fitted.select("stock_id", *names, "intercept")
@@ -655,7 +675,7 @@ def train_linear(spark, sf_dir):
 @query("train_linear_averages")
 def train_linear_averages(spark, sf_dir):
     two = ("ma_7", "ma_30")
-    fitted = linear.fit_linear(_split(spark, sf_dir).where("is_train"), two)
+    fitted = linear.fit_linear(_stored_split(spark, sf_dir).where("is_train"), two)
     return rounded(fitted.select(
         "stock_id", F.col("coefficients")[0].alias("w_ma_7"),
         F.col("coefficients")[1].alias("w_ma_30"), "intercept"))
@@ -663,21 +683,21 @@ def train_linear_averages(spark, sf_dir):
 
 @query("train_boosted")
 def train_boosted(spark, sf_dir):
-    split = written_once(_split(spark, sf_dir))
+    split = _stored_split(spark, sf_dir)
     _, metrics = models.train_models(split, ("xgboost",), **FAST_TREES)
     return metrics
 
 
 @query("train_stacking")
 def train_stacking(spark, sf_dir):
-    split = written_once(_split(spark, sf_dir))
+    split = _stored_split(spark, sf_dir)
     _, metrics = models.train_models(split, ("stacking",), **FAST_TREES)
     return metrics
 
 
 @query("train_stacking_ridge")
 def train_stacking_ridge(spark, sf_dir):
-    ridge = linear.fit_ridge(_split(spark, sf_dir).where("is_train"), ("ma_7", "ma_30"))
+    ridge = linear.fit_ridge(_stored_split(spark, sf_dir).where("is_train"), ("ma_7", "ma_30"))
     return rounded(ridge.select(
         "stock_id", "alpha", F.col("coefficients")[0].alias("w_ma_7"),
         F.col("coefficients")[1].alias("w_ma_30"), "intercept"))
@@ -700,8 +720,9 @@ def evaluate(spark, sf_dir):
 
 @query("train_report")
 def train_report(spark, sf_dir):
+    joined = written_once(_joined(spark, sf_dir))
     return training.train_report(
-        _joined(spark, sf_dir), _split(spark, sf_dir),
+        joined, training.chrono_split(training.training_frame(joined)),
         models=(*training.MODEL_NAMES, "random_forest"))
 
 
@@ -751,7 +772,7 @@ def anomaly_flags(spark, sf_dir):
     frame = anomaly.anomaly_frame(_anomaly_joined(spark, sf_dir))
     raw = frame.select("stock_id", "trade_date",
                        (-F.abs("daily_return") - F.col("volatility")).alias("raw"))
-    return rounded(anomaly.anomaly_flags(raw))
+    return rounded(anomaly.anomaly_flags(written_once(raw)))
 
 
 @query("detect_anomalies")
@@ -766,7 +787,7 @@ def detect_anomalies(spark, sf_dir):
 @query("job_backfill")
 def job_backfill(spark, sf_dir):
     store = jobs.Store(scratch_path(spark, "backfill"))
-    bars = m.symbol_bars(spark, sf_dir)
+    bars = written_once(m.symbol_bars(spark, sf_dir))
     brands = m.stocks(spark, sf_dir).select("symbol", "company_name")
     return rounded(jobs.backfill(
         spark, store, candle_payloads(bars), brands, loaded_at=m.LOADED_AT))
@@ -775,7 +796,7 @@ def job_backfill(spark, sf_dir):
 def _stored(spark, sf_dir, until: dt.date) -> tuple[jobs.Store, DataFrame]:
     """A store filled up to a date, and the feed of the days after."""
     store = jobs.Store(scratch_path(spark, "market"))
-    bars = m.symbol_bars(spark, sf_dir)
+    bars = written_once(m.symbol_bars(spark, sf_dir))
     brands = m.stocks(spark, sf_dir).select("symbol", "company_name")
     early = bars.where(F.col("trade_date") <= F.lit(until))
     jobs.backfill(spark, store, candle_payloads(early), brands, loaded_at=m.LOADED_AT)

@@ -113,8 +113,7 @@ def daily_update(
     features = refresh_features(
         spark, store, loaded_at, since=as_of - dt.timedelta(days=LATEST_LOOKBACK_DAYS))
     prices = store.read(spark, "prices")
-    latest = training.latest_features(features).join(
-        prices.select("stock_id", "trade_date", "close_price"), ["stock_id", "trade_date"])
+    latest = training.latest_features(features)
     scored = []
     for name in names:
         model = models.load_model(spark, store.path("models"), name)

@@ -17,8 +17,18 @@ from tickloom.sinks.tables import number_symbols
 LOADED_AT = dt.datetime(2024, 1, 1)
 
 
+# Columns read from the given tables; declared, so that opening a table starts no job.
+COLUMNS = {
+    "part": "p_partkey bigint, p_brand string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +110,9 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def naive_predictions(prices: DataFrame) -> DataFrame:
     """A prediction table whose models repeat the close or one of its averages."""
-    rows = features(spark, sf_dir, keep=("close",))
+    rows = compute_features(price_series(prices), keep=("close",))
     values = zip(MODEL_NAMES, ("close", "ma_7", "ma_30"))
     model = F.explode(F.array(*[
         F.struct(F.lit(name).alias("model_name"), F.col(value).alias("predicted_close"))
@@ -114,10 +124,10 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("trade_date").cast("timestamp_ntz").alias("created_at"))
 
 
-def naive_anomalies(spark: SparkSession, sf_dir: str, width: float = 0.8) -> DataFrame:
+def naive_anomalies(prices: DataFrame, width: float = 0.8) -> DataFrame:
     """An anomaly table that flags large moves."""
     score = F.lit(width) - F.abs("daily_return")
-    return features(spark, sf_dir).where(F.col("daily_return").isNotNull()).select(
+    return compute_features(price_series(prices)).where(F.col("daily_return").isNotNull()).select(
         "stock_id", "trade_date", score.alias("anomaly_score"),
         (score < 0).alias("anomaly_flag"), F.lit("isolation_forest").alias("model_name"),
         F.col("trade_date").cast("timestamp_ntz").alias("created_at"))

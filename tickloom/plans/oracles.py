@@ -5,6 +5,7 @@ from __future__ import annotations
 from tickloom.operators.dashboard import LOOKBACK_DAYS
 from tickloom.schemas import FEATURE_COLUMNS
 
+NUDGE = 0.1234567  # as in the queries: moves values off half-way points before rounding
 AS_OF = "DATE '2001-11-01'"
 CUT, OVERLAP = "DATE '1999-01-01'", "DATE '1998-01-01'"
 LOADED_AT = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -104,13 +105,13 @@ _PARTS: dict[str, tuple[str, str]] = {
         SELECT *, date_diff('day', lag(date) OVER (PARTITION BY symbol ORDER BY date), date)
                AS gap_days FROM clean"""),
     "quality": ("gapped", """
-        SELECT symbol, count(*) AS n, count_if(open IS NULL) AS null_open,
-               count_if(high IS NULL) AS null_high, count_if(low IS NULL) AS null_low,
-               count_if(close IS NULL) AS null_close, count_if(volume IS NULL) AS null_volume,
-               count_if(volume = 0) AS zero_volume, count_if(open <= 0) AS non_positive_open,
-               count_if(high <= 0) AS non_positive_high, count_if(low <= 0) AS non_positive_low,
-               count_if(close <= 0) AS non_positive_close, count_if(high < low) AS high_below_low,
-               count_if(gap_days > 5) AS gaps,
+        SELECT symbol, count(*) AS n, CAST(count_if(open IS NULL) AS BIGINT) AS null_open,
+               CAST(count_if(high IS NULL) AS BIGINT) AS null_high, CAST(count_if(low IS NULL) AS BIGINT) AS null_low,
+               CAST(count_if(close IS NULL) AS BIGINT) AS null_close, CAST(count_if(volume IS NULL) AS BIGINT) AS null_volume,
+               CAST(count_if(volume = 0) AS BIGINT) AS zero_volume, CAST(count_if(open <= 0) AS BIGINT) AS non_positive_open,
+               CAST(count_if(high <= 0) AS BIGINT) AS non_positive_high, CAST(count_if(low <= 0) AS BIGINT) AS non_positive_low,
+               CAST(count_if(close <= 0) AS BIGINT) AS non_positive_close, CAST(count_if(high < low) AS BIGINT) AS high_below_low,
+               CAST(count_if(gap_days > 5) AS BIGINT) AS gaps,
                max(CASE WHEN gap_days > 5 THEN gap_days END) AS max_gap
         FROM gapped GROUP BY symbol"""),
     "issues": ("quality", """
@@ -246,7 +247,8 @@ def _with(needed: str, body: str) -> str:
 
 def r(expression: str, places: int = 6, name: str = "") -> str:
     """A rounded column; negative zero becomes zero."""
-    return f"round({expression}, {places}) + 0.0::DOUBLE AS {name or expression.split('.')[-1]}"
+    nudged = f"({expression}) + {NUDGE / 10 ** places:.12e}"
+    return f"round({nudged}, {places}) + 0.0::DOUBLE AS {name or expression.split('.')[-1]}"
 
 
 def rs(columns: str, places: int = 6) -> str:
@@ -254,8 +256,15 @@ def rs(columns: str, places: int = 6) -> str:
 
 
 def half_up(expression: str, places: int = 2) -> str:
-    """Rounded half up on the decimal digits, as Java formats."""
-    return f"CAST(round(CAST({expression} AS DECIMAL(30, 9)), {places}) AS DOUBLE)"
+    """Rounded half up on the shortest decimal text of the number, as Java formats."""
+    return (f"CAST(round(CAST(CAST({expression} AS VARCHAR) AS DECIMAL(38, 18)), {places}) "
+            f"AS DOUBLE)")
+
+
+def keep_sign(expression: str) -> str:
+    """A negative number that rounds to zero is shown as -0.00."""
+    return (f"CASE WHEN {expression} < 0 AND {half_up(expression)} = 0 THEN -0.0::DOUBLE "
+            f"ELSE {half_up(expression)} END")
 
 
 def money(expression: str) -> str:
@@ -263,17 +272,11 @@ def money(expression: str) -> str:
 
 
 def signed(expression: str, after: str = "") -> str:
-    return f"printf('%+.2f{after}', {_keep_sign(expression)})"
-
-
-def _keep_sign(expression: str) -> str:
-    """A negative number that rounds to zero is shown as -0.00."""
-    return (f"CASE WHEN {expression} < 0 AND {half_up(expression)} = 0 THEN -0.0::DOUBLE "
-            f"ELSE {half_up(expression)} END")
+    return f"printf('%+.2f{after}', {keep_sign(expression)})"
 
 
 def delta(change: str, percent: str) -> str:
-    return f"printf('%+.2f (%+.2f%%)', {_keep_sign(change)}, {_keep_sign(percent)})"
+    return f"printf('%+.2f (%+.2f%%)', {keep_sign(change)}, {keep_sign(percent)})"
 
 
 OHLC = "open high low close"
@@ -624,8 +627,8 @@ def oracles() -> dict[str, str]:
                    CASE WHEN model_name <> 'random_forest' AND n >= 60
                         THEN coalesce(test_size, 0) END AS test_size
             FROM (SELECT stock_id, count(*) AS n FROM features GROUP BY stock_id) j
-            LEFT JOIN (SELECT stock_id, count_if(is_train) AS train_size,
-                              count_if(NOT is_train) AS test_size FROM split GROUP BY stock_id) s
+            LEFT JOIN (SELECT stock_id, CAST(count_if(is_train) AS BIGINT) AS train_size,
+                              CAST(count_if(NOT is_train) AS BIGINT) AS test_size FROM split GROUP BY stock_id) s
             USING (stock_id),
             (VALUES ('linear_regression'), ('xgboost'), ('stacking'), ('random_forest'))
                 v(model_name)"""),
