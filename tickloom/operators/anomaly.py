@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.operators.features import change_since_known, last_known
+from tickloom.operators.joins import join_per_stock
 from tickloom.operators.quantiles import exact_quantile
 from tickloom.operators.series import BLOCK, IS_HISTORY, Series
 from tickloom.operators.training import DAYS
@@ -154,7 +155,7 @@ def anomaly_flags(
     """Anomaly rows: scores shifted so that the given share of an instrument lies below zero."""
     offset = exact_quantile(raw_scores, "stock_id", "raw", contamination)
     score = F.col("raw") - F.col("quantile")
-    return raw_scores.join(offset, "stock_id").select(
+    return join_per_stock(raw_scores, offset).select(
         "stock_id", "trade_date", score.alias("anomaly_score"),
         (score < 0).alias("anomaly_flag"), F.lit(method).alias("model_name"))
 

@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.scalars import ratio
+from tickloom.operators.joins import join_per_stock
 from tickloom.session import written_once
 
 # The boosting defaults.
@@ -49,7 +50,7 @@ def _inputs(rows: DataFrame, stats: DataFrame) -> DataFrame:
     }
     known = {name: F.coalesce(value, F.lit(0.0)) for name, value in values.items()}
     return VectorAssembler(inputCols=list(INPUTS), outputCol="_inputs").transform(
-        rows.join(stats, "stock_id").withColumns(known)).drop(*INPUTS, "_flow_scale")
+        join_per_stock(rows, stats).withColumns(known)).drop(*INPUTS, "_flow_scale")
 
 
 @dataclass

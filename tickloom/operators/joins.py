@@ -1,16 +1,41 @@
 """The joins between prices, features, predictions, anomalies and the stock dimension.
 
-All are equi-joins. None carries a broadcast hint: a side is broadcast when its measured size is
-below ``spark.sql.autoBroadcastJoinThreshold``, and a skewed sort-merge join is split at run time.
+All are equi-joins. A side is broadcast when its measured size is below
+``spark.sql.autoBroadcastJoinThreshold`` or, in ``join_per_stock``, its row count is below a limit;
+a skewed sort-merge join is split at run time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.session import written_once
+
 from tickloom.schemas import FEATURE_COLUMNS
 
 DAY = ["stock_id", "trade_date"]
+BROADCAST_ROWS = 100_000
+SALTS = 64
+
+
+def join_per_stock(
+    rows: DataFrame, per_stock: DataFrame, on: Sequence[str] = ("stock_id",),
+    broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
+) -> DataFrame:
+    """Rows with the values of their instrument, without gathering an instrument's rows.
+
+    ``per_stock`` has one short row per key and is written out first. It is broadcast if it has few
+    rows. Otherwise each of its rows is copied ``salts`` times and an instrument's rows are
+    spread over the copies; aggregating by instrument afterwards combines before it shuffles.
+    """
+    table = written_once(per_stock)
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), list(on))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")
 
 
 def join_training(prices: DataFrame, features: DataFrame) -> DataFrame:

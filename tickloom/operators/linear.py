@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.operators.joins import join_per_stock
 from tickloom.schemas import FEATURE_COLUMNS
+from tickloom.session import written_once
 
 ALPHAS = (0.1, 1.0, 10.0)
 RELATIVE_CUTOFF = 1e-12
@@ -87,8 +89,8 @@ def fit_linear(
     Columns are standardised per instrument before their products are summed, since the two moving
     averages are nearly collinear; only one row of sums per instrument reaches Python.
     """
-    stats = _standard_stats(rows, features, target)
-    sums = _sums(rows.join(stats, "stock_id"), ["stock_id"], features, target)
+    stats = written_once(_standard_stats(rows, features, target))
+    sums = _sums(join_per_stock(rows, stats), ["stock_id"], features, target)
     solve = _solver(len(features))
     columns = F.array(*[c for c in sums.columns if c.startswith("_s")])
     solved = sums.select("stock_id", solve(columns).alias("_w")).join(stats, "stock_id")
@@ -103,8 +105,8 @@ def fit_linear_without_folds(
     The sums of the other folds are the instrument's sums minus the fold's, so one pass over the
     rows serves all fits.
     """
-    stats = _standard_stats(rows, features, target)
-    by_fold = _sums(rows.join(stats, "stock_id"), ["stock_id", "fold"], features, target)
+    stats = written_once(_standard_stats(rows, features, target))
+    by_fold = _sums(join_per_stock(rows, stats), ["stock_id", "fold"], features, target)
     names = [c for c in by_fold.columns if c.startswith("_s")]
     total = by_fold.groupBy("stock_id").agg(*[F.sum(c).alias(f"_t{c}") for c in names])
     rest = F.array(*[F.col(f"_t{c}") - F.col(c) for c in names])
@@ -127,7 +129,7 @@ def predict_linear(
     on: Sequence[str] = ("stock_id",), output: str = "predicted",
 ) -> DataFrame:
     return (
-        rows.join(models.select(*on, "coefficients", "intercept"), list(on))
+        join_per_stock(rows, models.select(*on, "coefficients", "intercept"), on)
         .withColumn(output, linear_value(features))
         .drop("coefficients", "intercept")
     )
@@ -147,14 +149,14 @@ def fit_ridge(
         F.count(F.lit(1)).alias("_n"),
         F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.avg(target).alias("_my"))
     x, z, y = F.col(a) - F.col("_ma"), F.col(b) - F.col("_mb"), F.col(target) - F.col("_my")
-    centred = rows.join(sums, "stock_id").withColumns({"_x": x, "_z": z, "_y": y})
+    centred = join_per_stock(rows, sums).withColumns({"_x": x, "_z": z, "_y": y})
     products = centred.groupBy("stock_id").agg(
         F.sum(F.col("_x") * F.col("_x")).alias("_xx"),
         F.sum(F.col("_x") * F.col("_z")).alias("_xz"),
         F.sum(F.col("_z") * F.col("_z")).alias("_zz"),
         F.sum(F.col("_x") * F.col("_y")).alias("_xy"),
         F.sum(F.col("_z") * F.col("_y")).alias("_zy"))
-    models = (
+    models = written_once(
         products.join(sums, "stock_id")
         .withColumn("alpha", F.explode(F.array(*[F.lit(v) for v in alphas])))
         .withColumns({
@@ -171,9 +173,13 @@ def fit_ridge(
         + F.col("_pa") * F.col("_z") * F.col("_z")) / F.col("_det")
     residual = F.col("_y") - F.col("_wa") * F.col("_x") - F.col("_wb") * F.col("_z")
     left_out = F.try_divide(residual, 1 - leverage)
-    # Three candidates per instrument: each row meets a fixed number of them.
+    # One row per instrument with its three candidates: a fixed number of pairs per row.
+    candidates = models.groupBy("stock_id").agg(F.collect_list(F.struct(
+        "alpha", "_n", "_xz", "_pa", "_pb", "_det", "_wa", "_wb")).alias("_models"))
     errors = (
-        centred.select("stock_id", "_x", "_z", "_y").join(models, "stock_id")
+        join_per_stock(centred.select("stock_id", "_x", "_z", "_y"), candidates)
+        .withColumn("_m", F.explode("_models"))
+        .select("stock_id", "_x", "_z", "_y", "_m.*")
         .groupBy("stock_id", "alpha").agg(F.sum(left_out * left_out).alias("_loo"))
     )
     chosen = errors.groupBy("stock_id").agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tickloom.operators.joins import join_per_stock
+
 BUCKETS = 4096
 
 
@@ -20,7 +22,7 @@ def exact_quantile(rows: DataFrame, key: str, value: str, share: float) -> DataF
     width = F.col("_high") - F.col("_low")
     bucket = F.coalesce(
         F.floor(F.try_divide(F.col(value) - F.col("_low"), width) * (BUCKETS - 1)), F.lit(0))
-    placed = counts.join(extent, key).withColumns(
+    placed = join_per_stock(counts, extent, [key]).withColumns(
         {"_bucket": bucket.cast("int"), "_at": at})
 
     def before(w) -> Column:

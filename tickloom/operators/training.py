@@ -105,14 +105,13 @@ def train_report(
     sizes = split.groupBy("stock_id").agg(
         F.count_if("is_train").alias("train_size"),
         F.count_if(~F.col("is_train")).alias("test_size"))
-    trained = F.col("joined_rows") >= MIN_TRAINING_ROWS
     names = F.array(*[F.lit(m) for m in models])
-    status = (F.when(~F.array_contains(F.lit(list(MODEL_NAMES)), F.col("model_name")), "skipped")
-              .when(trained, "trained").otherwise("skipped"))
+    enough = F.col("joined_rows") >= MIN_TRAINING_ROWS
+    known = F.col("model_name").isin(*MODEL_NAMES)
+    status = F.when(known & enough, "trained").otherwise("skipped")
     reason = (
-        F.when(~F.array_contains(F.lit(list(MODEL_NAMES)), F.col("model_name")),
-               F.concat(F.lit("Unknown model type: "), F.col("model_name")))
-        .when(~trained, F.format_string("Insufficient data: %d rows (need ≥60)", "joined_rows"))
+        F.when(~known, F.concat(F.lit("Unknown model type: "), F.col("model_name")))
+        .when(~enough, F.format_string("Insufficient data: %d rows (need ≥60)", "joined_rows"))
     )
     report = (
         rows.join(sizes, "stock_id", "left")
