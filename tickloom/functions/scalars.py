@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 SATURDAY, SUNDAY = 7, 1
@@ -38,6 +40,18 @@ def to_day(column: Column | str) -> Column:
     return _col(column).try_cast("timestamp").cast("date")
 
 
+def sort_key(first: Column | str, *rest: tuple[Column | str, int]) -> Column:
+    """Non-negative whole numbers as one DECIMAL(38, 0) that sorts like the tuple.
+
+    Each further number comes with the digits it may have. Unlike a struct the key has a fixed
+    width, which keeps ``min_by`` and ``max_by`` in the hash aggregate.
+    """
+    key = _col(first).cast("decimal(38,0)")
+    for number, digits in rest:
+        key = (key * F.lit(Decimal(10) ** digits)).cast("decimal(38,0)") + _col(number)
+    return key.cast("decimal(38,0)")
+
+
 def epoch_to_date(seconds: Column | str) -> Column:
     return F.to_date(F.timestamp_seconds(_col(seconds)))
 

@@ -9,7 +9,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.functions.scalars import next_business_day, ratio
+from tickloom.functions.scalars import next_business_day, ratio, sort_key
 from tickloom.operators.features import compute_features, price_series
 from tickloom.operators.training import MODEL_NAMES
 from tickloom.sinks.tables import number_symbols
@@ -38,7 +38,10 @@ def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades with their price and a total order among them."""
+    """Trades with their price and the order among them.
+
+    Nothing shorter than the whole struct identifies a trade.
+    """
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -49,6 +52,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"), order.alias("trade_order"))
 
 
+def tick_order(ts: str) -> Column:
+    """Ticks by time, then id."""
+    return sort_key(F.unix_micros(F.col(ts).cast("timestamp")), ("event_id", 19))
+
+
 def bar_aggregates(price: str, order: str, volume: Column) -> list[Column]:
     return [
         F.min_by(price, order).alias("open"), F.max(price).alias("high"),
@@ -85,7 +93,7 @@ def event_bars(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFr
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
         (F.date_trunc("hour", "ts") if hourly else F.to_date("ts")).alias("bar_time"),
-        "value", F.struct("ts", "event_id").alias("tick_order"))
+        "value", tick_order("ts").alias("tick_order"))
     return events.groupBy("symbol", "bar_time").agg(
         *bar_aggregates("value", "tick_order", F.count(F.lit(1))))
 

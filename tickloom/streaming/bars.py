@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.plans.mapping import bar_aggregates
+from tickloom.plans.mapping import bar_aggregates, tick_order
 from tickloom.sinks.tables import upsert
 
 BAR_SCHEMA = T.StructType([
@@ -32,7 +32,7 @@ def stream_bars(ticks: DataFrame, lateness: str = LATENESS) -> DataFrame:
     dropped.
     """
     bars = (
-        ticks.withColumn("tick_order", F.struct("ts", "event_id"))
+        ticks.withColumn("tick_order", tick_order("ts"))
         .withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 day").alias("_day"), "symbol")
         .agg(*bar_aggregates("value", "tick_order", F.count(F.lit(1))))
