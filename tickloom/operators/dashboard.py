@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tickloom.functions import scalars as S
 from tickloom.functions.scalars import ratio
 from tickloom.operators.joins import join_pred_actual, lookup_symbol, semi_features
-from tickloom.sources.tables import load_prices
+from tickloom.sources.tables import select_prices
 
 HISTORY_ROWS, RECENT_ANOMALIES = 50, 20
 # The lookbacks in days and the chart ranges in months.
@@ -74,7 +74,7 @@ def summary_table(overview: DataFrame) -> DataFrame:
 
 def period_kpis(prices: DataFrame, days: int | None = None, as_of: dt.date | None = None) -> DataFrame:
     """First against last close and the extremes of the lookback, per stock."""
-    rows = load_prices(prices, days=days, as_of=as_of)
+    rows = select_prices(prices, days=days, as_of=as_of)
     kpis = rows.groupBy("stock_id").agg(
         F.min_by("close_price", "trade_date").alias("first_close"),
         F.max_by("close_price", "trade_date").alias("latest_close"),
@@ -108,7 +108,7 @@ def candles_with_ma(
     prices: DataFrame, features: DataFrame, days: int | None = None, as_of: dt.date | None = None
 ) -> DataFrame:
     """Candles of the lookback with their colour and both moving averages."""
-    rows = load_prices(prices, days=days, as_of=as_of)
+    rows = select_prices(prices, days=days, as_of=as_of)
     averages = semi_features(features, rows).select("stock_id", "trade_date", "ma_7", "ma_30")
     return rows.withColumn("color", candle_color()).join(
         averages, ["stock_id", "trade_date"], "left")

@@ -348,7 +348,7 @@ def join_anomaly_price(spark, sf_dir):
 @query("semi_features")
 def semi_features(spark, sf_dir):
     prices = _stored_prices(spark, sf_dir)
-    recent = src.load_prices(prices, days=180, as_of=AS_OF)
+    recent = src.select_prices(prices, days=180, as_of=AS_OF)
     return rounded(joins.semi_features(
         feat.compute_features(feat.price_series(prices)), recent))
 
@@ -435,13 +435,14 @@ def net_flow(spark, sf_dir):
 
 @query("cumulative_flow")
 def cumulative_flow(spark, sf_dir):
-    return rounded(_flows(spark, sf_dir).select("stock_id", "trade_date", "cumulative_flow"), 2)
+    return rounded(_flows(spark, sf_dir).select("stock_id", "trade_date", "cumulative_flow"), 0)
 
 
 @query("compute_capital_flow")
 def compute_capital_flow(spark, sf_dir):
-    money = ("raw_money_flow", "inflow", "outflow", "net_flow", "cumulative_flow")
-    return rounded(rounded(_flows(spark, sf_dir), 2, money), 6, ("typical_price", "mfi_14"))
+    money = ("raw_money_flow", "inflow", "outflow", "net_flow")
+    flows = rounded(rounded(_flows(spark, sf_dir), 2, money), 6, ("typical_price", "mfi_14"))
+    return rounded(flows, 0, ("cumulative_flow",))
 
 
 # --- dashboard -------------------------------------------------------------------------------
@@ -554,7 +555,8 @@ def range_slice(spark, sf_dir):
 
 @query("flow_series")
 def flow_series(spark, sf_dir):
-    return rounded(flow.flow_series(written_once(_flows(spark, sf_dir))), 2)
+    series = flow.flow_series(written_once(_flows(spark, sf_dir)))
+    return rounded(rounded(series, 2, ("net_flow",)), 0, ("cumulative_flow",))
 
 
 # --- union and scalars -----------------------------------------------------------------------

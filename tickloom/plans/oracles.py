@@ -459,10 +459,11 @@ def oracles() -> dict[str, str]:
         "rolling_flow_14": _with("flows", f"SELECT {flow_rows}, {rs('inflow_14 outflow_14', 2)} FROM flows"),
         "mfi_14": _with("flows", f"SELECT {flow_rows}, {r('mfi_14')} FROM flows"),
         "net_flow": _with("flows", f"SELECT {flow_rows}, {r('net_flow', 2)} FROM flows"),
-        "cumulative_flow": _with("flows", f"SELECT {flow_rows}, {r('cumulative_flow', 2)} FROM flows"),
+        "cumulative_flow": _with("flows", f"SELECT {flow_rows}, {r('cumulative_flow', 0)} FROM flows"),
         "compute_capital_flow": _with("flows", f"""
             SELECT {flow_rows}, {rs('typical_price mfi_14')}, flow_direction,
-                   {rs('raw_money_flow inflow outflow net_flow cumulative_flow', 2)} FROM flows"""),
+                   {rs('raw_money_flow inflow outflow net_flow', 2)}, {r('cumulative_flow', 0)}
+            FROM flows"""),
         "market_overview": _with("overview", f"""
             SELECT symbol, company_name, {rs('close change change_pct high low')}, volume,
                    trade_date FROM overview"""),
@@ -546,7 +547,7 @@ def oracles() -> dict[str, str]:
             FROM flows"""),
         "range_slice": _with("prices", _ranges()),
         "flow_series": _with("flows", f"""
-            SELECT {flow_rows}, {rs('net_flow cumulative_flow', 2)},
+            SELECT {flow_rows}, {r('net_flow', 2)}, {r('cumulative_flow', 0)},
                    CASE WHEN last_value(cumulative_flow) OVER (PARTITION BY stock_id
                         ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING
                         AND UNBOUNDED FOLLOWING) >= 0 THEN 'up' ELSE 'down' END AS trend

@@ -30,15 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is only made up for local masters (tests); on a cluster a missing
     setting is an error.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if context.getCheckpointDir() is None:
+        folder = named
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="tickloom-")
+        context.setCheckpointDir(folder)
+    return named or context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

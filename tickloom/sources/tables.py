@@ -41,18 +41,28 @@ def _of_stock(table: DataFrame, stock_id: int | None) -> DataFrame:
     return table if stock_id is None else table.where(F.col("stock_id") == stock_id)
 
 
-def load_prices(
+def select_prices(
     prices: DataFrame,
     stock_id: int | None = None,
     days: int | None = None,
     as_of: dt.date | None = None,
 ) -> DataFrame:
-    """Prices in date order, of one instrument and of the last ``days`` days if given."""
+    """Prices of one instrument and of the last ``days`` days if given, in no order."""
     rows = _of_stock(prices, stock_id)
     if days is not None:
         today: Column = F.current_date() if as_of is None else F.lit(as_of)
         rows = rows.where(F.col("trade_date") >= F.date_sub(today, days))
-    return rows.orderBy("trade_date", "stock_id")
+    return rows
+
+
+def load_prices(
+    prices: DataFrame,
+    stock_id: int | None = None,
+    days: int | None = None,
+    as_of: dt.date | None = None,
+) -> DataFrame:
+    """Prices in date order, of one instrument and of the last ``days`` days if given."""
+    return select_prices(prices, stock_id, days, as_of).orderBy("trade_date", "stock_id")
 
 
 def load_features(features: DataFrame, stock_id: int | None = None) -> DataFrame:
