@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from helpers import BAR_SCHEMA, START, assert_same, pandas_features, random_bars, to_pandas_bars
+from tickloom.operators.features import compute_features
+from tickloom.operators.series import Series
 from tickloom.plans import jobs
 from tickloom.plans.catalog import candle_payloads
 from tickloom.plans.mapping import bar_aggregates
-from tickloom.session import scratch_path
+from tickloom.session import scratch_path, sized_for
 from tickloom.sinks.tables import read_table
 from tickloom.streaming import bars as stream
 
@@ -86,7 +88,7 @@ def test_daily_batches_equal_one_batch(spark):
             part = part.where("hour(ts) < 10 or dayofmonth(ts) = 1")
         part.coalesce(1).write.mode("append").parquet(folder)
         stream.stream_upsert(stream.read_ticks(spark, folder, EVENTS, "*.parquet"), path,
-                             checkpoint).awaitTermination()
+                             checkpoint, f"{path}-features").awaitTermination()
     got = read_table(spark, path, stream.BAR_SCHEMA)
     want = ticks(spark, range(4)).withColumn("order", F.struct("ts", "event_id")).groupBy(
         F.col("event_type").alias("symbol"), F.to_date("ts").alias("trade_date")).agg(
@@ -95,6 +97,15 @@ def test_daily_batches_equal_one_batch(spark):
     rows = sorted(map(tuple, got.select(columns).collect()))
     assert rows == sorted(map(tuple, want.select(columns).collect()))
     # Replaying a batch changes nothing.
-    stream.upsert_bars(path)(got.where("symbol = 'x'"), 0)
+    stream.upsert_batch(path)(got.where("symbol = 'x'"), 0)
     again = read_table(spark, path, stream.BAR_SCHEMA)
     assert sorted(map(tuple, again.select(columns).collect())) == rows
+    # Features kept in step with each batch equal those of all bars.
+    stored = read_table(spark, f"{path}-features", stream.FEATURE_SCHEMA)
+    assert_same(stored, compute_features(want, Series(key="symbol")).toPandas(),
+                keys=("symbol", "trade_date"))
+
+
+def test_sizing():
+    assert sized_for(1 << 30)["spark.sql.shuffle.partitions"] == "200"
+    assert sized_for(100 << 40)["spark.sql.shuffle.partitions"] == str(400 << 10)

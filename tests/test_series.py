@@ -119,6 +119,16 @@ def test_refreshed_features_equal_a_full_run(spark, since):
     assert_same(refreshed_features(bars, since, Series(span_days=30)), full)
 
 
+def test_a_second_bar_also_gives_the_first_its_features(spark):
+    rows = random_bars(8, (2, 60), gap=1)
+    bars = spark.createDataFrame(rows, BAR_SCHEMA)
+    second = max(r[1] for r in rows if r[0] == 1)
+    got = refreshed_features(bars, second).where("stock_id = 1").count()
+    assert got == 2
+    assert refreshed_features(bars, second).where("stock_id = 2").count() == sum(
+        r[0] == 2 and r[1] >= second for r in rows)
+
+
 @pytest.mark.parametrize("span", SPANS)
 def test_next_close_and_positions(spark, span):
     rows = random_bars(7, (30, 3, 1), null_share=0.2)

@@ -60,8 +60,9 @@ def compute_features(
 
     ``prices`` has the columns of ``price_series``; ``keep`` names input columns to pass on.
     """
+    values = ("open", "high", "low", "close", "volume")
     bars = series.blocked(prices.select(
-        series.key, series.order, "open", "high", "low", "close", "volume"))
+        series.key, series.order, *values, *[c for c in keep if c not in values]))
     extended = series.extended(
         bars, LONG_AVERAGE - 1,
         {"_n": F.count(F.lit(1)), "_close": last_known("close", series)},
@@ -97,26 +98,33 @@ def rows_to_refresh(prices: DataFrame, since: dt.date, series: Series = BARS) ->
     """The bars from ``since`` on and the few before them that their features depend on.
 
     Those are the last bars that an average reaches back to, and the last known close. Both are
-    reduced before the shuffle, so the history is read but not moved.
+    reduced before the shuffle, so the history is read but not moved. ``is_sole`` marks an only
+    earlier bar.
     """
     earlier = prices.where(F.col(series.order) < F.lit(since))
     latest_first = W.partitionBy(series.key).orderBy(F.desc(series.order))
     tail = (
         earlier.withColumn("_rank", F.row_number().over(latest_first))
         .where(F.col("_rank") < LONG_AVERAGE).drop("_rank")
+        .withColumn("is_sole", F.count(F.lit(1)).over(W.partitionBy(series.key)) == 1)
     )
     known_days = F.when(F.col("close").isNotNull(), F.col(series.order))
     values = [c for c in prices.columns if c not in (series.key, series.order)]
     last_close = earlier.groupBy(series.key).agg(
         F.max(known_days).alias(series.order),
         *[F.max_by(c, known_days).alias(c) for c in values],
-    ).where(F.col(series.order).isNotNull())
+    ).where(F.col(series.order).isNotNull()).withColumn("is_sole", F.lit(False))
     beyond_tail = last_close.join(tail, [series.key, series.order], "left_anti")
-    later = prices.where(F.col(series.order) >= F.lit(since))
+    later = prices.where(F.col(series.order) >= F.lit(since)).withColumn(
+        "is_sole", F.lit(False))
     return later.unionByName(tail).unionByName(beyond_tail)
 
 
 def refreshed_features(prices: DataFrame, since: dt.date, series: Series = BARS) -> DataFrame:
-    """Features of the bars from ``since`` on, as ``compute_features`` gives them."""
-    return compute_features(rows_to_refresh(prices, since, series), series).where(
-        F.col(series.order) >= F.lit(since))
+    """The feature rows that bars from ``since`` on add or change.
+
+    These are the rows from ``since`` on, and the first row of an instrument that had a single bar
+    until then, too few for features.
+    """
+    rows = compute_features(rows_to_refresh(prices, since, series), series, keep=("is_sole",))
+    return rows.where((F.col(series.order) >= F.lit(since)) | F.col("is_sole")).drop("is_sole")

@@ -827,21 +827,21 @@ def job_daily(spark, sf_dir):
     return predicted.join(scored, "stock_id", "full")
 
 
-def _streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "bars")
+def _stream(spark: SparkSession, sf_dir: str, bars: str, features: str | None = None) -> None:
     schema = m.table(spark, sf_dir, "events").schema
     ticks = stream.read_ticks(spark, sf_dir, schema, "events.parquet")
-    stream.stream_upsert(ticks, path, scratch_path(spark, "stream")).awaitTermination()
-    return sink.read_table(spark, path, stream.BAR_SCHEMA)
+    stream.stream_upsert(ticks, bars, scratch_path(spark, "stream"), features).awaitTermination()
 
 
 @query("stream_bars")
 def stream_bars(spark, sf_dir):
-    return rounded(_streamed_bars(spark, sf_dir))
+    path = scratch_path(spark, "bars")
+    _stream(spark, sf_dir, path)
+    return rounded(sink.read_table(spark, path, stream.BAR_SCHEMA))
 
 
 @query("stream_upsert")
 def stream_upsert(spark, sf_dir):
-    bars = _streamed_bars(spark, sf_dir)
-    key = feat.Series(key="symbol")
-    return rounded(feat.compute_features(bars, key))
+    path = scratch_path(spark, "bars")
+    _stream(spark, sf_dir, path, f"{path}-features")
+    return rounded(sink.read_table(spark, f"{path}-features", stream.FEATURE_SCHEMA))

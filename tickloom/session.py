@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -11,15 +12,32 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join by instrument may feed an aggregation by instrument; split it all the same.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+PARTITION_BYTES = 256 << 20
 
-def build_session(app: str = "tickloom", master: str | None = None, **conf: str) -> SparkSession:
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Settings under which a scan or shuffle partition of that much input fits in a task."""
+    partitions = max(200, math.ceil(input_bytes / PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+    }
+
+
+def build_session(
+    app: str = "tickloom", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    sized = sized_for(input_bytes) if input_bytes else {}
+    for key, value in {**SETTINGS, **sized, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.operators.features import refreshed_features
+from tickloom.operators.series import Series
 from tickloom.plans.mapping import bar_aggregates, tick_order
-from tickloom.sinks.tables import upsert
+from tickloom.schemas import FEATURE_COLUMNS
+from tickloom.session import written_once
+from tickloom.sinks.tables import read_table, upsert
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType()),
@@ -14,6 +18,9 @@ BAR_SCHEMA = T.StructType([
     *[T.StructField(name, T.DoubleType()) for name in ("open", "high", "low", "close")],
     T.StructField("volume", T.LongType()),
 ])
+FEATURE_SCHEMA = T.StructType([
+    *BAR_SCHEMA.fields[:2], *[T.StructField(name, T.DoubleType()) for name in FEATURE_COLUMNS]])
+BAR_KEY = ("symbol", "trade_date")
 LATENESS = "2 days"
 
 
@@ -41,20 +48,34 @@ def stream_bars(ticks: DataFrame, lateness: str = LATENESS) -> DataFrame:
                        "open", "high", "low", "close", "volume")
 
 
-def upsert_bars(path: str):
-    """A batch writer that merges changed bars by symbol and day; replaying a batch is harmless."""
+def upsert_batch(bars_path: str, features_path: str | None = None):
+    """A batch writer that merges changed bars by symbol and day, and the features they change.
+
+    Replaying a batch changes nothing. The batch is written out first, so that the state behind it
+    is read only once.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("seq", F.lit(batch_id).cast("bigint"))
-        upsert(batch.sparkSession, path, rows, BAR_SCHEMA, keys=("symbol", "trade_date"))
+        spark = batch.sparkSession
+        rows = written_once(batch.withColumn("seq", F.lit(batch_id).cast("bigint")))
+        upsert(spark, bars_path, rows, BAR_SCHEMA, keys=BAR_KEY)
+        since = rows.agg(F.min("trade_date")).first()[0]
+        if features_path is None or since is None:
+            return
+        changed = refreshed_features(
+            read_table(spark, bars_path, BAR_SCHEMA), since, Series(key="symbol"))
+        upsert(spark, features_path, changed.withColumn("seq", F.lit(0).cast("bigint")),
+               FEATURE_SCHEMA, keys=BAR_KEY)
 
     return write
 
 
-def stream_upsert(ticks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_upsert(
+    ticks: DataFrame, bars_path: str, checkpoint: str, features_path: str | None = None
+) -> StreamingQuery:
     """Processes all ticks available and stops; run again for those that came since."""
     return (
         stream_bars(ticks).writeStream.outputMode("update")
-        .foreachBatch(upsert_bars(path))
+        .foreachBatch(upsert_batch(bars_path, features_path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
