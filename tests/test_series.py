@@ -120,7 +120,8 @@ def test_refreshed_features_equal_a_full_run(spark, since):
 
 
 def test_a_second_bar_also_gives_the_first_its_features(spark):
-    rows = random_bars(8, (2, 60), gap=1)
+    rows = random_bars(8, (60, 60), gap=1)
+    rows = rows[30:32] + rows[60:]
     bars = spark.createDataFrame(rows, BAR_SCHEMA)
     second = max(r[1] for r in rows if r[0] == 1)
     got = refreshed_features(bars, second).where("stock_id = 1").count()
