@@ -37,6 +37,9 @@ class Series:
         return W.partitionBy(self.key, BLOCK).orderBy(self.order)
 
     def blocked(self, df: DataFrame) -> DataFrame:
+        """Rows shuffled by instrument and block; rows that already are stay where they are."""
+        if BLOCK in df.columns:
+            return df
         day = F.unix_date(F.to_date(self.order))
         block = F.floor(day / F.lit(self.span_days)).cast("int")
         return df.withColumn(BLOCK, block).repartition(self.key, BLOCK)

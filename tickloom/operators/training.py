@@ -21,7 +21,10 @@ DAYS = Series()
 
 
 def with_next_close(joined: DataFrame, series: Series = DAYS) -> DataFrame:
-    """Adds ``target``, the close of the next row, and ``joined_rows``, the instrument's rows."""
+    """Adds ``target``, the close of the next row, and ``joined_rows``, the instrument's rows.
+
+    The rows keep their block.
+    """
     extended = series.extended(
         series.blocked(joined),
         totals={"_n": F.count(F.lit(1)),
@@ -35,12 +38,21 @@ def with_next_close(joined: DataFrame, series: Series = DAYS) -> DataFrame:
         F.lead("close_price").over(w))
     return (
         extended.withColumn("target", target)
-        .drop(BLOCK, IS_HISTORY, "_next_first")
+        .drop(IS_HISTORY, "_next_first")
     )
 
 
 def training_frame(joined: DataFrame, series: Series = DAYS) -> DataFrame:
     """Complete rows with a target, of instruments with at least sixty joined rows."""
+    return _training_rows(joined, series).drop(BLOCK)
+
+
+def training_split(joined: DataFrame, series: Series = DAYS) -> DataFrame:
+    """The split training frame, from one shuffle of the joined rows."""
+    return chrono_split(_training_rows(joined, series), series)
+
+
+def _training_rows(joined: DataFrame, series: Series) -> DataFrame:
     return (
         with_next_close(joined, series)
         .where(F.col("joined_rows") >= MIN_TRAINING_ROWS)

@@ -71,7 +71,7 @@ def _anomaly_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.chrono_split(training.training_frame(_joined(spark, sf_dir)))
+    return training.training_split(_joined(spark, sf_dir))
 
 
 def _stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -724,7 +724,7 @@ def evaluate(spark, sf_dir):
 def train_report(spark, sf_dir):
     joined = written_once(_joined(spark, sf_dir))
     return training.train_report(
-        joined, training.chrono_split(training.training_frame(joined)),
+        joined, training.training_split(joined),
         models=(*training.MODEL_NAMES, "random_forest"))
 
 

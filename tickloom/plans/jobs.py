@@ -90,7 +90,7 @@ def weekly_training(
 ) -> tuple[DataFrame, DataFrame]:
     """Fits and saves all models; returns the report and the best model per symbol."""
     joined = join_training(store.read(spark, "prices"), store.read(spark, "features"))
-    split = written_once(training.chrono_split(training.training_frame(joined)))
+    split = written_once(training.training_split(joined))
     fitted, metrics = models.train_models(split, names, **settings)
     for name, model in fitted.items():
         models.save_model(model, store.path("models"), name)
