@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tickloom.operators.features import change_since_known, last_known
 from tickloom.operators.joins import join_per_stock
 from tickloom.operators.quantiles import exact_quantile
-from tickloom.operators.series import BLOCK, IS_HISTORY, Series
+from tickloom.operators.series import BLOCK, Series, own_rows
 from tickloom.operators.training import DAYS
 from tickloom.schemas import ANOMALY_FEATURES
 from tickloom.session import written_once
@@ -33,11 +33,9 @@ def volume_change(joined: DataFrame, series: Series = DAYS) -> DataFrame:
         before={"_volume_before": F.last("_volume", ignorenulls=True)},
         overall={"joined_rows": F.sum("_n")},
     )
-    return (
-        extended
-        .withColumn("volume_change_pct", change_since_known("volume", "_volume_before", series))
-        .drop(BLOCK, IS_HISTORY, "_volume_before")
-    )
+    change = change_since_known("volume", "_volume_before", series)
+    return own_rows(extended.withColumn("volume_change_pct", change)).drop(
+        BLOCK, "_volume_before")
 
 
 def anomaly_frame(joined: DataFrame, series: Series = DAYS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions.scalars import ratio
 from tickloom.operators.features import BARS
-from tickloom.operators.series import IS_HISTORY, Series
+from tickloom.operators.series import Series, own_rows
 
 MFI_ROWS = 14
 MIN_ROWS = 15
@@ -50,10 +50,9 @@ def compute_capital_flow(
     recent = w.rowsBetween(1 - MFI_ROWS, 0)
 
     # One more row of history than the frame is long: the oldest row needs its own predecessor.
-    flows = (
+    flows = own_rows(
         series.extended(
             bars, MFI_ROWS, {"_n": F.count(F.lit(1))}, overall={"_rows": F.sum("_n")})
-        .where(F.col("_rows") >= MIN_ROWS)
         .withColumn("typical_price", typical_price())
         .withColumn("raw_money_flow", F.col("typical_price") * F.col("volume"))
         .withColumn("flow_direction", flow_direction(series))
@@ -66,15 +65,13 @@ def compute_capital_flow(
             "inflow_14": F.sum("inflow").over(recent),
             "outflow_14": F.sum("outflow").over(recent)})
         .withColumn("mfi_14", money_flow_index(F.col("inflow_14"), F.col("outflow_14")))
-        .where(~F.col(IS_HISTORY)).drop(IS_HISTORY)
-    )
+    ).where(F.col("_rows") >= MIN_ROWS)
     running = F.sum("net_flow").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return (
+    return own_rows(
         series.extended(
             flows, totals={"_net": F.sum("net_flow")}, before={"_net_before": F.sum("_net")})
         .withColumn("cumulative_flow", running + F.coalesce("_net_before", F.lit(0.0)))
-        .select(series.key, series.order, *keep, *FLOW_COLUMNS, *(sums if rolling_sums else ()))
-    )
+    ).select(series.key, series.order, *keep, *FLOW_COLUMNS, *(sums if rolling_sums else ()))
 
 
 def flow_kpis(flows: DataFrame) -> DataFrame:

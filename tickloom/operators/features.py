@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions.scalars import known, ratio
-from tickloom.operators.series import IS_HISTORY, Series
+from tickloom.operators.series import Series, own_rows
 from tickloom.schemas import FEATURE_COLUMNS
 
 SHORT_AVERAGE, LONG_AVERAGE = 7, 30
@@ -74,9 +74,8 @@ def compute_features(
     def average(rows: int) -> Column:
         return F.avg("close").over(w.rowsBetween(1 - rows, 0))
 
-    return (
-        extended.where(F.col("_rows") >= MIN_ROWS)
-        .withColumns({
+    return own_rows(
+        extended.withColumns({
             "daily_return": change_since_known("close", "_close_before", series),
             "price_difference": price_difference(),
             "volatility": volatility(),
@@ -84,9 +83,8 @@ def compute_features(
             "ma_30": average(LONG_AVERAGE),
             "capital_flow_indicator": capital_flow_indicator(),
         })
-        .where(~F.col(IS_HISTORY))
-        .select(series.key, series.order, *keep, *FEATURE_COLUMNS)
-    )
+    ).where(F.col("_rows") >= MIN_ROWS).select(
+        series.key, series.order, *keep, *FEATURE_COLUMNS)
 
 
 def compute_features_for_stock(prices: DataFrame, stock_id: int) -> DataFrame:

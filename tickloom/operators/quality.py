@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators.series import BLOCK, IS_HISTORY, Series
+from tickloom.operators.series import BLOCK, Series, own_rows
 from tickloom.schemas import OHLCV
 
 MAX_GAP_DAYS = 5
@@ -58,10 +58,9 @@ def with_gap(bars: DataFrame, series: Series = FEED) -> DataFrame:
         series.blocked(bars), totals={"_last": F.max(series.order)},
         before={"_date_before": F.max("_last")})
     previous = F.coalesce(F.lag(series.order).over(series.in_block), F.col("_date_before"))
-    return (
+    return own_rows(
         extended.withColumn("gap_days", F.datediff(series.order, previous))
-        .drop("_date_before", BLOCK, IS_HISTORY)
-    )
+    ).drop("_date_before", BLOCK)
 
 
 def _gap_aggregates() -> list[Column]:

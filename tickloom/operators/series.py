@@ -61,7 +61,9 @@ class Series:
 
         Among block tails, a row precedes a later block by at most ``rows`` rows exactly if some
         row of that block is among its next ``rows`` tail rows; sparse blocks are thereby skipped
-        over correctly. A block's carried values travel as one extra row of it.
+        over correctly. A block's carried values travel as one extra row of it, without other
+        values, that sorts first. It too is marked by ``IS_HISTORY``: frames skip its NULLs, and the
+        caller drops all marked rows once its frames are computed.
         """
         key, order, data = self.key, self.order, [c for c in blocked.columns if c != BLOCK]
         totals = totals or {}
@@ -106,14 +108,20 @@ class Series:
         merged = own.unionByName(extra)
         if not carried:
             return merged
-        whole = self.in_block.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        return merged.withColumns({c: F.max(c).over(whole) for c in carried}).where(
-            F.col(order).isNotNull())
+        so_far = self.in_block.rowsBetween(W.unboundedPreceding, 0)
+        return merged.withColumns(
+            {c: F.first(c, ignorenulls=True).over(so_far) for c in carried})
 
     def positions(self, df: DataFrame, position: str = "position", total: str = "total") -> DataFrame:
         """Adds the 1-based row position within the instrument and its row count."""
         counted = self.extended(
             self.blocked(df), totals={"_n": F.count(F.lit(1))},
             before={"_offset": F.sum("_n")}, overall={total: F.sum("_n")})
-        place = F.row_number().over(self.in_block) + F.coalesce("_offset", F.lit(0))
-        return counted.withColumn(position, place).drop(BLOCK, IS_HISTORY, "_offset")
+        # The row that carries the counts comes first in its block.
+        place = F.row_number().over(self.in_block) - 1 + F.coalesce("_offset", F.lit(0))
+        return own_rows(counted.withColumn(position, place)).drop(BLOCK, "_offset")
+
+
+def own_rows(extended: DataFrame) -> DataFrame:
+    """The rows that a block was not merely lent."""
+    return extended.where(~F.col(IS_HISTORY)).drop(IS_HISTORY)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions.scalars import ratio
-from tickloom.operators.series import BLOCK, IS_HISTORY, Series
+from tickloom.operators.series import BLOCK, Series, own_rows
 from tickloom.schemas import FEATURE_COLUMNS
 
 MIN_TRAINING_ROWS = 60
@@ -36,10 +36,7 @@ def with_next_close(joined: DataFrame, series: Series = DAYS) -> DataFrame:
     last_of_block = F.lead(series.order).over(w).isNull()
     target = F.when(last_of_block, F.col("_next_first.close_price")).otherwise(
         F.lead("close_price").over(w))
-    return (
-        extended.withColumn("target", target)
-        .drop(IS_HISTORY, "_next_first")
-    )
+    return own_rows(extended.withColumn("target", target)).drop("_next_first")
 
 
 def training_frame(joined: DataFrame, series: Series = DAYS) -> DataFrame:
