@@ -88,16 +88,6 @@ def features(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Da
     return compute_features(price_series(prices(spark, sf_dir)), keep=keep)
 
 
-def event_bars(spark: SparkSession, sf_dir: str, hourly: bool = False) -> DataFrame:
-    """Bars of event values by event type, per day or per hour."""
-    events = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("symbol"),
-        (F.date_trunc("hour", "ts") if hourly else F.to_date("ts")).alias("bar_time"),
-        "value", tick_order("ts").alias("tick_order"))
-    return events.groupBy("symbol", "bar_time").agg(
-        *bar_aggregates("value", "tick_order", F.count(F.lit(1))))
-
-
 def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw text feed with the defects of one: many rows a day, gaps, junk, fractions, zeros.
 

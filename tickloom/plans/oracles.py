@@ -106,11 +106,16 @@ _PARTS: dict[str, tuple[str, str]] = {
                AS gap_days FROM clean"""),
     "quality": ("gapped", """
         SELECT symbol, count(*) AS n, CAST(count_if(open IS NULL) AS BIGINT) AS null_open,
-               CAST(count_if(high IS NULL) AS BIGINT) AS null_high, CAST(count_if(low IS NULL) AS BIGINT) AS null_low,
-               CAST(count_if(close IS NULL) AS BIGINT) AS null_close, CAST(count_if(volume IS NULL) AS BIGINT) AS null_volume,
-               CAST(count_if(volume = 0) AS BIGINT) AS zero_volume, CAST(count_if(open <= 0) AS BIGINT) AS non_positive_open,
-               CAST(count_if(high <= 0) AS BIGINT) AS non_positive_high, CAST(count_if(low <= 0) AS BIGINT) AS non_positive_low,
-               CAST(count_if(close <= 0) AS BIGINT) AS non_positive_close, CAST(count_if(high < low) AS BIGINT) AS high_below_low,
+               CAST(count_if(high IS NULL) AS BIGINT) AS null_high,
+               CAST(count_if(low IS NULL) AS BIGINT) AS null_low,
+               CAST(count_if(close IS NULL) AS BIGINT) AS null_close,
+               CAST(count_if(volume IS NULL) AS BIGINT) AS null_volume,
+               CAST(count_if(volume = 0) AS BIGINT) AS zero_volume,
+               CAST(count_if(open <= 0) AS BIGINT) AS non_positive_open,
+               CAST(count_if(high <= 0) AS BIGINT) AS non_positive_high,
+               CAST(count_if(low <= 0) AS BIGINT) AS non_positive_low,
+               CAST(count_if(close <= 0) AS BIGINT) AS non_positive_close,
+               CAST(count_if(high < low) AS BIGINT) AS high_below_low,
                CAST(count_if(gap_days > 5) AS BIGINT) AS gaps,
                max(CASE WHEN gap_days > 5 THEN gap_days END) AS max_gap
         FROM gapped GROUP BY symbol"""),
