@@ -8,9 +8,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from tickloom.plans.catalog import QUERIES
+from tickloom.plans.oracles import oracles
 
 DATA = "/root/testdata/sf0.001"
-ORACLES = entry_points.oracle_sql()
+ORACLES = oracles()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
@@ -37,8 +39,9 @@ def ordered(rows):
 
 
 def test_names():
-    assert set(ORACLES) <= set(entry_points.queries())
-    assert set(entry_points.queries()) - set(ORACLES) == {
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(QUERIES) - set(ORACLES) == {
         "model_store", "train_linear", "train_boosted", "train_stacking", "isolation_forest",
         "detect_anomalies", "job_weekly_train", "job_daily"}
 
