@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import sharding
+from tickloom.llm import bitpack, sharding
 from tickloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +19,15 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), sharding.Topology.uniform(5, 2, 4))
 
 
+def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level token ids, written bit-packed and read back."""
+    return bitpack.token_table(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op6_hash_tree_shards": op6_hash_tree_shards,
+    "op9_packed_token_ids": op9_packed_token_ids,
 }
 
 
