@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import bitpack, sharding
+from tickloom.llm import bitpack, decontaminate, sharding
 from tickloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,15 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), sharding.Topology.uniform(5, 2, 4))
 
 
+def op8_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against ten-word windows of all benchmark items."""
+    found = decontaminate.decontaminate(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *[F.col(f"__found.{c}").alias(c) for c in (
+        "n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
 def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level token ids, written bit-packed and read back."""
     return bitpack.token_table(
@@ -27,10 +36,38 @@ def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op6_hash_tree_shards": op6_hash_tree_shards,
+    "op8_benchmark_windows": op8_benchmark_windows,
     "op9_packed_token_ids": op9_packed_token_ids,
 }
 
 
+#: Ten-word windows of the items, looked for among those of the documents.
+OP8_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+piece AS (SELECT item_id, len(g) AS size, g AS words FROM (
+    SELECT item_id, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+        lambda i: w[i:i + least(10, len(w)) - 1])) AS g FROM item WHERE len(w) > 0)),
+shape AS (SELECT DISTINCT size FROM piece),
+place AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w FROM doc, shape
+    WHERE len(w) >= size),
+hit AS (SELECT doc_id, pos, place.size, item_id FROM place
+    JOIN piece ON piece.words = place.w[pos:pos + place.size - 1] AND piece.size = place.size),
+word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (
+    SELECT doc_id, unnest(range(pos, pos + size)) AS k FROM (SELECT DISTINCT doc_id, pos, size FROM hit))
+    GROUP BY doc_id),
+owner AS (SELECT doc_id, count(*) AS n_items,
+    sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN owner USING (doc_id)
+"""
+
+
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {"op8_benchmark_windows": OP8_SQL}
