@@ -28,7 +28,7 @@ def written(path: str) -> Iterator[pa.NativeFile]:
     folder, _, name = target.rpartition("/")
     system.create_dir(folder, recursive=True)
     own = f"{folder}/_attempt-{uuid.uuid4().hex}-{name}"
-    with system.open_output_stream(own) as stream:
+    with system.open_output_stream(own, compression=None) as stream:
         yield stream
     system.move(own, target)
 

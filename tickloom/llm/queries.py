@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import bitpack, decontaminate, sharding
+from tickloom.llm import bitpack, decontaminate, sharding, warc
 from tickloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back in byte ranges."""
+    return warc.archive_table(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards: five regions of two racks of four."""
     return sharding.shard_documents(
@@ -35,6 +41,7 @@ def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op8_benchmark_windows": op8_benchmark_windows,
     "op9_packed_token_ids": op9_packed_token_ids,
@@ -67,7 +74,21 @@ SELECT doc.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::B
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN owner USING (doc_id)
 """
 
+#: Base-32 digits from the 40 hexadecimal digits of SHA-1, four for each five.
+OP3_SQL = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+named AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h FROM page),
+digits AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT
+        >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), 'string_agg', '') AS payload_digest FROM named),
+first AS (SELECT h, min(page_id) AS page FROM named GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id = page THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> page THEN page END AS refers_to
+FROM digits JOIN first USING (h)
+"""
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op8_benchmark_windows": OP8_SQL}
+    return {"op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL}
