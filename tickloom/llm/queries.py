@@ -7,12 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import bitpack, decontaminate, sharding, warc
+from tickloom.llm import bitpack, decontaminate, packing, sharding, warc
 from tickloom.llm.tables import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 length buckets and batches of 65,536 padded tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back in byte ranges."""
     return warc.archive_table(table(spark, sf_dir, "pages")).select(
@@ -37,10 +44,11 @@ def op8_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as byte-level token ids, written bit-packed and read back."""
     return bitpack.token_table(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+        table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_length_buckets": op2_length_buckets,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op8_benchmark_windows": op8_benchmark_windows,
