@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import bitpack, decontaminate, packing, sharding, warc
+from tickloom.llm import bitpack, decontaminate, line_dedup, packing, sharding, warc
 from tickloom.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,12 +47,20 @@ def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the lines that repeat earlier lines within two edits."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "__lines.n_lines", F.size("__lines.removed").alias("n_removed"),
+                        "__lines.removed")
+
+
 QUERIES: dict[str, Query] = {
     "op2_length_buckets": op2_length_buckets,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op8_benchmark_windows": op8_benchmark_windows,
     "op9_packed_token_ids": op9_packed_token_ids,
+    "op10_near_line_dedup": op10_near_line_dedup,
 }
 
 
