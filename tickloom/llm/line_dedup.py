@@ -11,16 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.tables import OWN
+from tickloom.llm.tables import OWN, may_hold
 
 EDITS = 2
 #: Shorter lines are left alone.
 MIN_CHARS = 32
 
-#: Bits of the broadcast filter of lines to verify (1 MB), and of one of its rows.
-FILTER_BITS = 1 << 23
-ROW_BITS = 1 << 15
-
 LAST = (1 << 63) - 1
 
 
@@ -61,22 +57,6 @@ def probe_keys(line: Column, length: Column, edits: int, min_chars: int) -> Colu
     return F.array_compact(F.array(*keys))
 
 
-def _may_hold(names: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """Rows of ``values`` whose name may be among ``names``; no such row is lost.
-
-    The names become a bit map of fixed size, broadcast in rows of 4 KB. With more names than bits, it
-    lets all rows through.
-    """
-    bit = F.pmod(F.col(name), F.lit(FILTER_BITS))
-    row, at = F.floor(bit / ROW_BITS).cast("int"), (bit % ROW_BITS).cast("bigint")
-    bits = names.groupBy(row.alias(f"{OWN}row")).agg(F.bitmap_construct_agg(at).alias(f"{OWN}bits"))
-    byte = F.conv(F.hex(F.substring(
-        F.col(f"{OWN}bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1
-    met = values.join(F.broadcast(bits), row == F.col(f"{OWN}row"))
-    return met.where(is_set).drop(f"{OWN}row", f"{OWN}bits")
-
-
 def near_pairs(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Pairs of names (``a``, ``b``) of lines that share a segment; a is the smaller name."""
     length = F.length("line")
@@ -104,7 +84,7 @@ def repeated_lines(
         "name": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), F.col("line"))})
     pairs = near_pairs(distinct, edits, min_chars)
     sides = pairs.select(F.explode(F.array("a", "b")).alias("name"))
-    texts = _may_hold(sides, distinct.select("name", "check", "line", "first"), "name")
+    texts = may_hold(sides, distinct.select("name", "check", "line", "first"), "name")
     one = texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns])
     two = texts.select(*[F.col(c).alias(f"{c}_b") for c in texts.columns])
     near = pairs.join(one, F.col("a") == F.col("name_a")).join(

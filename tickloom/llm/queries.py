@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import bitpack, decontaminate, line_dedup, packing, sharding, warc
+from tickloom.llm import (
+    bitpack, decontaminate, line_dedup, minhash, packing, sharding, warc,
+)
 from tickloom.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +17,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: shingles of four words, similarity of 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 length buckets and batches of 65,536 padded tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -55,6 +62,7 @@ def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_length_buckets": op2_length_buckets,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op6_hash_tree_shards": op6_hash_tree_shards,

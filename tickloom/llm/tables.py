@@ -9,6 +9,10 @@ from tickloom.session import written_once
 #: Prefix of the columns that operators add for their own use.
 OWN = "__"
 
+#: Bits of the broadcast filter (1 MB), and of one of its rows.
+FILTER_BITS = 1 << 23
+ROW_BITS = 1 << 15
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,3 +47,19 @@ def row_number_within(
         offsets, F.col(group).eqNullSafe(F.col(f"{OWN}group")) & (F.col(block) == F.col(f"{OWN}at")))
     return joined.select(
         *rows.columns, (F.col(f"{OWN}before") + F.col(f"{OWN}inside")).cast("bigint").alias(out))
+
+
+def may_hold(names: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Rows of ``values`` whose name may be among ``names``; no such row is lost.
+
+    The names become a bit map of fixed size, broadcast in rows of 4 KB. With more names than bits, it
+    lets all rows through.
+    """
+    bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    row, at = F.floor(bit / ROW_BITS).cast("int"), (bit % ROW_BITS).cast("bigint")
+    bits = names.groupBy(row.alias(f"{OWN}row")).agg(F.bitmap_construct_agg(at).alias(f"{OWN}bits"))
+    byte = F.conv(F.hex(F.substring(
+        F.col(f"{OWN}bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2.0), at % 8)), F.lit(2)) == 1
+    met = values.join(F.broadcast(bits), row == F.col(f"{OWN}row"))
+    return met.where(is_set).drop(f"{OWN}row", f"{OWN}bits")
