@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    bitpack, decontaminate, line_dedup, minhash, packing, sharding, warc,
+    bitpack, decontaminate, line_dedup, minhash, packing, sharding, toxicity,
+    warc,
 )
 from tickloom.llm.tables import table
 
@@ -33,6 +34,20 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Labels of ids with this remainder are held out.
+HELD_OUT = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2")
+TOXIC_FROM = 0.3
+
+
+def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~HELD_OUT))
+    scored = docs.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"),
+                         toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards: five regions of two racks of four."""
     return sharding.shard_documents(
@@ -65,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_length_buckets": op2_length_buckets,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op8_benchmark_windows": op8_benchmark_windows,
     "op9_packed_token_ids": op9_packed_token_ids,
