@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
     bitpack, decontaminate, line_dedup, minhash, packing, sharding, toxicity,
@@ -34,16 +34,20 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: Labels of ids with this remainder are held out.
-HELD_OUT = F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2")
 TOXIC_FROM = 0.3
 
 
+def held_out() -> Column:
+    """Whether a row's label is kept out of training."""
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return F.coalesce(rest == 2, F.lit(False))
+
+
 def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~HELD_OUT))
-    scored = docs.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"),
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = docs.select("doc_id", held_out().alias("held_out"),
                          toxicity.score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 

@@ -1,8 +1,9 @@
 """The gap-weighted subsequence kernel of short strings against landmarks, vectorised.
 
 A feature is a subsequence of three characters; each place where it occurs adds ``DECAY`` to the power of the
-characters it spans, gaps included, up to ``SPAN``. The kernel is the cosine of two strings' features.
-Inserted and missing characters lower it only a little.
+characters it spans, gaps included, up to ``SPAN``. Kernels with a landmark are divided by the landmark's
+kernel with itself, so a string that holds the landmark has 1 however long it is, and inserted or
+missing characters lower that a little.
 """
 
 from __future__ import annotations
@@ -34,13 +35,12 @@ def pieces_of(token: str) -> list[str]:
     return [plain[at:at + LONGEST] for at in range(0, len(plain) - LONGEST // 2, LONGEST // 2)]
 
 
-def _occurrences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Subsequences within the span as (string's number, feature, weight), and lower norms."""
+def _occurrences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subsequences within the span, as (string's number, feature, weight)."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     letters = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(strings)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))
-    least = np.zeros(len(strings))
     codes, owners, weights = [], [], []
     for near, far in STEPS:
         at = np.flatnonzero(left > far)
@@ -48,65 +48,51 @@ def _occurrences(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
                      | letters[at + far])
         owners.append(owner[at])
         weights.append(np.full(len(at), DECAY ** (far + 1), dtype=np.float32))
-        least += np.maximum(sizes - far, 0) * DECAY ** (2 * far + 2)
-    return np.concatenate(owners), np.concatenate(codes), np.concatenate(weights), np.sqrt(least)
-
-
-def _once(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each string: (its number, feature, weight), every feature once."""
-    who, code, weight, _ = _occurrences(strings)
-    _, first, inverse = np.unique(
-        mix(code) + who.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15),
-        return_index=True, return_inverse=True)
-    return who[first], code[first], np.bincount(inverse, weight, len(first))
+    return np.concatenate(owners), np.concatenate(codes), np.concatenate(weights)
 
 
 class Landmarks:
-    """Strings that others are compared with; similarities below ``floor`` count as 0."""
+    """Strings of three characters or more that others are compared with.
+
+    Similarities are 1 at most, and 0 below ``floor``.
+    """
 
     def __init__(self, strings: list[str], floor: float = 0.0) -> None:
         self.strings, self.floor = strings, floor
-        who, code, weight = _once(strings)
-        norms = np.sqrt(np.bincount(who, weight ** 2, len(strings)))
+        who, code, weight = _occurrences(strings)
         self.codes, place = np.unique(code, return_inverse=True)
-        self.matrix = np.zeros((len(self.codes), len(strings)), dtype=np.float32)
-        self.matrix[place, who] = weight / norms[who]
+        self.features = np.zeros((len(self.codes), len(strings)))
+        np.add.at(self.features, (place, who), weight)
+        own = (self.features ** 2).sum(axis=0)
+        self.matrix = (self.features / own).astype(np.float32)
         self.known = np.zeros(1 << 16, dtype=bool)
         self.known[mix(self.codes) >> np.uint64(48)] = True
 
     def similarities(self, strings: list[str]) -> np.ndarray:
         """The kernel of each string with each landmark."""
-        out = np.zeros((len(strings), len(self.strings)), dtype=np.float32)
-        for at in range(0, len(strings), BATCH):
-            part = strings[at:at + BATCH]
-            raw, least = self._products(part)
-            # A string's norm is at least that of its occurrences, each taken for itself.
-            near = np.flatnonzero(raw.max(axis=1, initial=0) >= self.floor * least)
-            near = near[raw[near].max(axis=1, initial=0) > 0]
-            if len(near):
-                who, _, total = _once([part[i] for i in near])
-                norms = np.sqrt(np.bincount(who, total ** 2, len(near)))
-                out[at + near] = raw[near] / norms[:, None]
+        parts = [self._products(strings[at:at + BATCH]) for at in range(0, len(strings), BATCH)]
+        out = np.vstack(parts) if parts else np.zeros((0, len(self.strings)), np.float32)
         out[out < self.floor] = 0
-        return out
+        return np.minimum(out, 1, out=out)
 
-    def _products(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Kernels before they are divided by the string's norm, and a lower bound of that norm."""
-        who, code, weight, least = _occurrences(strings)
+    def _products(self, strings: list[str]) -> np.ndarray:
+        who, code, weight = _occurrences(strings)
         maybe = np.flatnonzero(self.known[mix(code) >> np.uint64(48)])
         who, code, weight = who[maybe], code[maybe], weight[maybe]
         place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         met = np.flatnonzero(self.codes[place] == code)
         met = met[np.argsort(who[met], kind="stable")]
-        raw = np.zeros((len(strings), len(self.strings)), dtype=np.float32)
+        out = np.zeros((len(strings), len(self.strings)), dtype=np.float32)
         if len(met):
             rows, firsts = np.unique(who[met], return_index=True)
-            raw[rows] = np.add.reduceat(
+            out[rows] = np.add.reduceat(
                 self.matrix[place[met]] * weight[met][:, None], firsts, axis=0)
-        return raw, least
+        return out
 
     def whitening(self, ridge: float = 1e-3) -> np.ndarray:
         """The inverse square root of the landmarks' own kernel (the Nyström map)."""
-        own = (self.matrix.T @ self.matrix).astype(np.float64)
-        values, vectors = np.linalg.eigh((own + own.T) / 2)
+        norms = np.sqrt((self.features ** 2).sum(axis=0))
+        unit = self.features / norms
+        own = unit.T @ unit
+        values, vectors = np.linalg.eigh(own)
         return vectors / np.sqrt(np.maximum(values, 0) + ridge) @ vectors.T

@@ -25,11 +25,13 @@ from tickloom.llm.string_kernel import Landmarks, pieces_of
 from tickloom.session import written_once
 
 #: Labelled documents to learn from at most, those with the smallest hashes of their ids.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 4000, 8000
-#: Tokens considered as landmarks, the documents that must have one, and the landmarks chosen.
-CANDIDATES, LEAST_DOCUMENTS, LANDMARKS = 800, 3, 96
+TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 6000
+#: Sizes of the parts of tokens that may become landmarks, beside whole tokens.
+PARTS = (4, 5)
+#: Strings considered as landmarks, the documents that must have one, and the landmarks chosen.
+CANDIDATES, LEAST_DOCUMENTS, LANDMARKS = 800, 3, 64
 #: Similarity below which a token and a landmark have nothing in common.
-FLOOR = 0.45
+FLOOR = 0.6
 #: Sentences kept of a document in training, those closest to the landmarks.
 SENTENCES = 16
 #: Tokens after which a text without sentence ends is cut.
@@ -158,7 +160,10 @@ def logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 def choose(incidence: pd.DataFrame, gain: dict[str, float], count: int) -> list[str]:
-    """Tokens that cover the toxic documents best; each cover of a document halves what the next adds."""
+    """Strings that cover the toxic documents best; each cover of a document halves what the next adds.
+
+    Strings that hold a chosen one or are part of it are left out.
+    """
     docs_of = {piece: d["doc"].unique() for piece, d in incidence.groupby("piece")}
     worth = dict.fromkeys(incidence["doc"].unique(), 1.0)
     chosen: list[str] = []
@@ -167,14 +172,18 @@ def choose(incidence: pd.DataFrame, gain: dict[str, float], count: int) -> list[
         for d in docs_of.pop(best):
             worth[d] /= 2
         chosen.append(best)
+        docs_of = {p: d for p, d in docs_of.items() if p not in best and best not in p}
     return chosen
 
 
 def _pieces(text: Column) -> Column:
     def distinct(texts: pa.Array) -> pa.Array:
-        return pa.array([
-            sorted({p for s in sentences(t.as_py() or "") for w in s for p in pieces_of(w)})
-            for t in texts], pa.list_(pa.string()))
+        out = []
+        for text in texts:
+            found = {p for s in sentences(text.as_py() or "") for w in s for p in pieces_of(w)}
+            parts = {p[at:at + n] for p in found for n in PARTS for at in range(len(p) - n + 1)}
+            out.append(sorted(found | parts))
+        return pa.array(out, pa.list_(pa.string()))
 
     return arrow_udf(distinct, "array<string>")(text)
 
@@ -218,18 +227,19 @@ def fit(
     cut = written_once(sample.select(
         F.monotonically_increasing_id().alias("doc"), "label", _pieces(F.col("text")).alias("ps")
     ).select("doc", "label", F.explode("ps").alias("piece")))
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds_ratio = F.log(a / (sizes[1] + 1 - a)) - F.log(b / (sizes[0] + 1 - b))
     counts = cut.groupBy("piece").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
     ).where(F.col("toxic") >= LEAST_DOCUMENTS)
-    top = written_once(counts.withColumn("z", odds_ratio / F.sqrt(1 / a + 1 / b)).where("z > 2").orderBy(
-        F.desc("z"), "piece").limit(CANDIDATES))
+    # What the string tells of a toxic document, times how many toxic documents have it.
+    toxic, clean = F.col("toxic") / sizes[1], (F.col("clean") + 0.5) / (sizes[0] + 1)
+    told = counts.withColumn("told", F.log(toxic / clean)).where("told > 0")
+    top = written_once(told.orderBy(
+        F.desc(F.col("toxic") * F.col("told")), "piece").limit(CANDIDATES))
     rows = top.collect()
     if not rows:
         return constant
-    gain = {r["piece"]: r["toxic"] / sizes[1] / (r["toxic"] / sizes[1] + r["clean"] / sizes[0])
-            for r in rows}
+    # Of parts of a token that tell the same, the longer one.
+    gain = {r["piece"]: r["told"] * (1 + 0.01 * len(r["piece"])) for r in rows}
     incidence = cut.where("label = 1").join(F.broadcast(top.select("piece")), "piece").select(
         "doc", "piece").toPandas()
     landmarks = tuple(choose(incidence, gain, LANDMARKS))
