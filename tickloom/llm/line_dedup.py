@@ -23,7 +23,8 @@ LAST = (1 << 63) - 1
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start from 0 and size of segment ``i`` of a line; the last ones are one longer at most."""
     parts = edits + 1
-    base, extra = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    extra = length % parts
+    base = ((length - extra) / parts).cast("int")
     plain = F.lit(parts) - extra
     start = base * i + F.greatest(F.lit(i) - plain, F.lit(0))
     return start, base + F.when(F.lit(i) >= plain, 1).otherwise(0)
@@ -41,7 +42,7 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
         for i, (start, size) in enumerate(places)])
 
 
-def probe_keys(line: Column, length: Column, edits: int, min_chars: int) -> Column:
+def probe_keys(line: Column, length: Column, edits: int) -> Column:
     """The keys under which lines within ``edits`` edits, no longer than this one, are indexed.
 
     For each length and segment, only the shifts that leave enough edits on both sides.
@@ -52,18 +53,16 @@ def probe_keys(line: Column, length: Column, edits: int, min_chars: int) -> Colu
         for i in range(edits + 1):
             start, size = _segment(other, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                key = _key(i, other, F.substring(line, start + shift + 1, size))
-                keys.append(F.when(other >= min_chars, key))
-    return F.array_compact(F.array(*keys))
+                keys.append(_key(i, other, F.substring(line, start + shift + 1, size)))
+    return F.array(*keys)
 
 
-def near_pairs(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def near_pairs(distinct: DataFrame, edits: int) -> DataFrame:
     """Pairs of names (``a``, ``b``) of lines that share a segment; a is the smaller name."""
-    length = F.length("line")
-    index = distinct.select("name", F.explode(index_keys(F.col("line"), length, edits)).alias("key"))
+    line, length = F.col("line"), F.col("chars")
+    index = distinct.select("name", F.explode(index_keys(line, length, edits)).alias("key"))
     probe = distinct.select(
-        F.col("name").alias("other"),
-        F.explode(probe_keys(F.col("line"), length, edits, min_chars)).alias("key"))
+        F.col("name").alias("other"), F.explode(probe_keys(line, length, edits)).alias("key"))
     return index.join(probe, "key").where("name != other").select(
         F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
 
@@ -81,8 +80,8 @@ def repeated_lines(
         F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
     # Both uses below need all columns, so that they share one exchange of the lines' text.
     distinct = distinct.where((F.col("first") <= LAST) & (F.col("n") > 0)).withColumns({
-        "name": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), F.col("line"))})
-    pairs = near_pairs(distinct, edits, min_chars)
+        "chars": F.length("line"), "name": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), F.col("line"))})
+    pairs = near_pairs(distinct, edits)
     sides = pairs.select(F.explode(F.array("a", "b")).alias("name"))
     texts = may_hold(sides, distinct.select("name", "check", "line", "first"), "name")
     one = texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns])
@@ -125,31 +124,35 @@ def removed_lines(
     return going.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
+def remaining(text: Column, removed: Column) -> Column:
+    """A text without the lines at the places in ``removed``."""
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.when(
+        ~F.array_contains(removed, i), line))
+    kept = F.array_join(F.filter(lines, lambda line: line.isNotNull()), "\n")
+    return F.when(F.size(removed) == 0, text).otherwise(kept)
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
     min_chars: int = MIN_CHARS, out: str = "__lines",
 ) -> DataFrame:
-    """Adds struct ``out`` to each document: ``n_lines``, ``removed`` (places from 0) and ``text``.
+    """Adds struct ``out`` to each document: ``n_lines`` and the places ``removed``, from 0 and sorted.
 
     A line of at least ``min_chars`` characters goes if an earlier line of the corpus is within ``edits``
     edits of it, and every copy of a line goes but the first one in the document with the smallest id
-    (null ids last; rows that share an id count as one document there). ``text`` has the other lines. A
-    null text has no lines and stays null; an empty text has one empty line. Repeated rows are treated
-    alike. All input columns are kept, whatever their names, but for one named as ``out``. The rows must
-    come in the same order whenever they are read, as those of files do.
+    (null ids last; rows that share an id count as one document there). ``remaining`` gives the text
+    of the other lines. A null text has no lines; an empty text has one empty line. Repeated rows are
+    treated alike, and no rows give no rows. All input columns are kept, whatever their names, but for one
+    named as ``out``. The rows must come in the same order whenever they are read, as those of files do.
     """
-    row = f"{OWN}row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    going = removed_lines(docs, id_col, text_col, edits, min_chars).select(
-        F.col("row").alias(f"{OWN}at"), F.col("places").alias(f"{OWN}places"))
+    row, count, places = f"{OWN}row", f"{OWN}count", f"{OWN}places"
     text = F.col(text_col).cast("string")
-    none = F.array().cast("array<int>")
-    places = F.coalesce(F.col(f"{OWN}places"), none)
-    lines = F.split(text, "\n")
-    kept = F.when(F.size(places) == 0, text).otherwise(F.array_join(F.filter(
-        F.transform(lines, lambda line, i: F.when(~F.array_contains(places, i), line)),
-        lambda line: line.isNotNull()), "\n"))
-    return numbered.join(going, F.col(row) == F.col(f"{OWN}at"), "left").withColumn(
-        out, F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-                      places.alias("removed"), kept.alias("text"))).drop(
-        row, f"{OWN}at", f"{OWN}places")
+    # Counted before the join, so that it moves no texts unless they are wanted.
+    numbered = docs.withColumns({
+        row: F.monotonically_increasing_id(), count: F.coalesce(F.size(F.split(text, "\n")), F.lit(0))})
+    going = removed_lines(docs, id_col, text_col, edits, min_chars).select(
+        F.col("row").alias(f"{OWN}at"), F.col("places").alias(places))
+    return numbered.join(going, F.col(row) == F.col(f"{OWN}at"), "left").withColumn(out, F.struct(
+        F.col(count).alias("n_lines"),
+        F.coalesce(F.col(places), F.array().cast("array<int>")).alias("removed"))).drop(
+        row, count, f"{OWN}at", places)

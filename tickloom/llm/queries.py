@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    bitpack, decontaminate, line_dedup, minhash, packing, sharding, toxicity,
+    bitpack, decontaminate, licenses, line_dedup, minhash, packing, sharding, toxicity,
     warc,
 )
 from tickloom.llm.tables import table
@@ -58,6 +58,23 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), sharding.Topology.uniform(5, 2, 4))
 
 
+def op7_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, taken as files.
+
+    English documents stand in the directory of their source and others in one below it for their
+    language; a document whose first or last line states a licence speaks for its directory.
+    """
+    path = F.concat_ws("/", "source", F.when(F.col("lang") != "en", F.col("lang")),
+                       F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", path.alias("path"), (F.size(F.split("text", "\n")) - 1).alias("last"))
+    found = licenses.scan_licenses(
+        files, "path", licence_file=(F.col("own_line") == 0) | (F.col("own_line") == F.col("last")))
+    score = F.floor(F.col("own_score") * 1e6 + 0.5) / 1e6
+    return found.select("doc_id", "path", "own_license", score.alias("own_score"), "own_line",
+                        "license", "license_dir")
+
+
 def op8_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against ten-word windows of all benchmark items."""
     found = decontaminate.decontaminate(
@@ -86,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
     "op6_hash_tree_shards": op6_hash_tree_shards,
+    "op7_license_inheritance": op7_license_inheritance,
     "op8_benchmark_windows": op8_benchmark_windows,
     "op9_packed_token_ids": op9_packed_token_ids,
     "op10_near_line_dedup": op10_near_line_dedup,
@@ -132,7 +150,45 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM digits JOIN first USING (h)
 """
 
+#: Cosines of all lines with all templates, then the nearest of at most two directories.
+OP7_SQL = """
+WITH template(license, notice) AS (VALUES {templates}),
+part AS (SELECT license, unnest(list_filter(string_split_regex(lower(notice), '[^a-z0-9]+'),
+    lambda w: w <> '')) AS word FROM template),
+doc AS (SELECT doc_id, text, concat_ws('/', source, CASE WHEN lang <> 'en' THEN lang END) AS dir,
+    concat_ws('/', source, CASE WHEN lang <> 'en' THEN lang END, doc_id) AS path, source FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS place
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM doc)),
+token AS (SELECT doc_id, place, word, count(*) AS n FROM (SELECT doc_id, place,
+    unnest(string_split_regex(lower(line), '[^a-z0-9]+')) AS word FROM line)
+    WHERE word <> '' GROUP BY ALL),
+size AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT word, ln((any_value(size.n) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf
+    FROM (SELECT DISTINCT word FROM part) LEFT JOIN (SELECT DISTINCT doc_id, word FROM token) USING (word),
+    size GROUP BY word),
+raw AS (SELECT license, word, count(*) * any_value(idf) AS v FROM part JOIN idf USING (word)
+    GROUP BY license, word),
+vector AS (SELECT license, word, v / sqrt(sum(v * v) OVER (PARTITION BY license)) AS v FROM raw),
+norm AS (SELECT doc_id, place, sqrt(sum((token.n * coalesce(idf, ln(size.n + 1) + 1)) ** 2)) AS norm
+    FROM token LEFT JOIN idf USING (word), size GROUP BY doc_id, place),
+score AS (SELECT doc_id, place, license, sum(n * idf * v) / any_value(norm) AS score
+    FROM token JOIN idf USING (word) JOIN vector USING (word) JOIN norm USING (doc_id, place)
+    GROUP BY doc_id, place, license),
+own AS (SELECT doc_id, place, license, score FROM score WHERE score >= 0.7
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place, license) = 1),
+governed AS (SELECT dir, license FROM own JOIN doc USING (doc_id)
+    WHERE place IN (0, len(string_split(text, chr(10))) - 1)
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path, license) = 1)
+SELECT doc_id, path, own.license AS own_license, floor(score * 1e6 + 0.5) / 1e6 AS own_score,
+    place::INTEGER AS own_line, coalesce(own.license, here.license, above.license, root.license) AS license,
+    CASE WHEN own.license IS NULL THEN CASE WHEN here.license IS NOT NULL THEN doc.dir
+        WHEN above.license IS NOT NULL THEN doc.source
+        WHEN root.license IS NOT NULL THEN '' END END AS license_dir
+FROM doc LEFT JOIN own USING (doc_id) LEFT JOIN governed AS here ON here.dir = doc.dir
+LEFT JOIN governed AS above ON above.dir = doc.source LEFT JOIN governed AS root ON root.dir = ''
+""".format(templates=", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES))
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL}
+    return {"op7_license_inheritance": OP7_SQL, "op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL}
