@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    bitpack, decontaminate, licenses, line_dedup, minhash, packing, sharding, toxicity,
+    bitpack, decontaminate, hilbert_search, licenses, line_dedup, minhash, packing, sharding, toxicity,
     warc,
 )
 from tickloom.llm.tables import table
@@ -52,6 +52,12 @@ def op4_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one, among all."""
+    return hilbert_search.nearest(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards: five regions of two racks of four."""
     return sharding.shard_documents(
@@ -102,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op2_length_buckets": op2_length_buckets,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op4_string_kernel_toxicity": op4_string_kernel_toxicity,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_hash_tree_shards": op6_hash_tree_shards,
     "op7_license_inheritance": op7_license_inheritance,
     "op8_benchmark_windows": op8_benchmark_windows,
