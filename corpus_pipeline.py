@@ -1,15 +1,91 @@
-"""The corpus pipeline: filters, deduplicates, decontaminates and packs the documents."""
+"""The corpus pipeline: filters, deduplicates, decontaminates and packs the documents.
+
+Each stage takes what the one before has written and returns the documents it keeps, with the columns they
+came with; the last returns the packed sequences. Null and empty texts pass every filter. No documents
+give none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tickloom.llm import decontaminate, line_dedup, minhash, packing, toxicity
+from tickloom.llm.queries import TOKENIZER, held_out
 from tickloom.llm.tables import table
 from tickloom.session import written_once
 
-STAGES: list = []
+#: Toxicity from which a document goes.
+TOXIC_FROM = 0.5
+#: Part of a document's words that benchmark passages make up from which it goes as a whole.
+MOSTLY = 0.5
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel machine does not find toxic."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.fit(docs, labels)
+    return docs.where(toxicity.score(model, F.col("text")) < TOXIC_FROM)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones; those that nothing is left of go."""
+    found = _own(docs, "__lines")
+    marked = line_dedup.dedup_lines(docs, out=found)
+    removed = F.col(found)["removed"]
+    text = line_dedup.remaining(F.col("text"), removed)
+    cut = marked.withColumn("text", text).where(
+        (F.size(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.size(removed) == 0, F.col("n_chars")).otherwise(
+            F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return cut.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; those without an id all stay."""
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(
+        "doc_id").distinct()
+    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; those that mostly consist of them go."""
+    name = _own(docs, "__found")
+    marked = decontaminate.decontaminate(
+        docs, table(spark, sf_dir, "benchmark"), cleaned=True, out=name)
+    found = F.col(name)
+    kept = marked.where(~found["contaminated"] | (found["n_hit"] < MOSTLY * found["n_words"]))
+    cut = kept.withColumn("text", F.coalesce(found["text"], F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(
+            found["contaminated"], F.length("text").cast(dict(docs.dtypes)["n_chars"])
+        ).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as sequences in length buckets and batches."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("packing", pack_documents),
+]
 
-#: Toxicity scores and near-duplicate groups have no counterpart in SQL.
+#: Toxicity scores and packed batches have no counterpart in SQL.
 ORACLE_SQL = None
 
 
