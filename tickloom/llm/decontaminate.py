@@ -166,8 +166,19 @@ def without(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray)
     return b"".join(pieces).decode()
 
 
-def report(piece: Piece, found: dict, cleaned: bool) -> pa.StructArray:
-    """One row for each text of the piece."""
+def _cleaned(text: bytes, known: Known) -> str:
+    """The text without hit words; where a cut brings together another window, that goes too."""
+    while True:
+        [piece] = pieces(pa.array([text.decode()], pa.large_string()))
+        spans = known.occurrences(piece).get(0)
+        if not spans:
+            return text.decode()
+        hit = covered([s[:2] for s in spans], len(piece.words))
+        text = without(text, piece.starts, piece.ends, hit).encode()
+
+
+def report(piece: Piece, found: dict, known: Known | list[Known], cleaned: bool) -> pa.StructArray:
+    """One row for each text of the piece; ``known`` may differ from text to text."""
     count = len(piece.rows) - 1
     n_hit, n_items = np.zeros(count, np.int64), np.zeros(count, np.int64)
     sums, items = [_summary(set())] * count, [[]] * count
@@ -179,8 +190,8 @@ def report(piece: Piece, found: dict, cleaned: bool) -> pa.StructArray:
         n_hit[i], n_items[i], sums[i], items[i] = hit.sum(), len(names), _summary(names), sorted(names)
         if cleaned:
             low, high = int(piece.bounds[i]), int(piece.bounds[i + 1])
-            texts[i] = without(piece.data[low:high].tobytes(), piece.starts[a:b] - low,
-                               piece.ends[a:b] - low, hit)
+            texts[i] = _cleaned(piece.data[low:high].tobytes(),
+                                known if isinstance(known, Known) else known[i])
     columns = [np.diff(piece.rows), n_hit, n_items, sums, n_hit > 0, items, texts]
     return pa.StructArray.from_arrays(
         [pa.array(c, f.type) for c, f in zip(columns, REPORT)], fields=list(REPORT))
@@ -198,7 +209,8 @@ def decontaminate(
     """Adds to each document what it shares with the benchmark, as struct ``out``.
 
     The struct holds ``n_words, n_hit, n_items, items_sha256, contaminated, items`` and, if ``cleaned``,
-    in ``text`` the contaminated text without its hit words (null for others). A null or empty text has
+    in ``text`` the contaminated text without hit words, also those that only a cut brings together
+    (null for others). A null or empty text has
     no words and no hits; items without an id, words or text have no windows, and no benchmark rows
     mean no hits; an item's repeated rows count once; repeated documents are reported each. Documents
     keep all their columns, whatever their names, but for one named as ``out``.
@@ -212,7 +224,7 @@ def decontaminate(
     def found(texts: pa.Array) -> pa.Array:
         if not loaded:
             loaded.append(pickle.loads(shared.value))
-        return _stacked([report(p, loaded[0].occurrences(p), cleaned) for p in pieces(texts)])
+        return _stacked([report(p, loaded[0].occurrences(p), loaded[0], cleaned) for p in pieces(texts)])
 
     return docs.withColumn(out, arrow_udf(found, REPORT_TYPE)(F.col(text_col).cast("string")))
 
@@ -252,13 +264,10 @@ def _joined(
     def verified(texts: pa.Array, known: pa.Array) -> pa.Array:
         parts = []
         for piece in pieces(texts):
-            found: dict = {}
-            for i in range(len(piece.rows) - 1):
-                own = known[piece.row + i].as_py()
-                if own:
-                    found.update({
-                        k: v for k, v in Known.of(own).occurrences(piece).items() if k == i})
-            parts.append(report(piece, found, cleaned))
+            own = [Known.of(known[piece.row + i].as_py() or []) for i in range(len(piece.rows) - 1)]
+            found = {i: one.occurrences(piece).get(i, []) for i, one in enumerate(own) if one.items}
+            parts.append(report(
+                piece, {i: spans for i, spans in found.items() if spans}, own, cleaned))
         return _stacked(parts)
 
     return (
