@@ -270,7 +270,18 @@ def _joined(
                 piece, {i: spans for i, spans in found.items() if spans}, own, cleaned))
         return _stacked(parts)
 
-    return (
-        numbered.join(met, F.col(row) == F.col(f"{OWN}met"), "left")
-        .withColumn(out, arrow_udf(verified, REPORT_TYPE)(text, F.col(f"{OWN}windows")))
-        .drop(row, f"{OWN}met", f"{OWN}windows"))
+    result = numbered.join(met, F.col(row) == F.col(f"{OWN}met"), "left").withColumn(
+        out, arrow_udf(verified, REPORT_TYPE)(text, F.col(f"{OWN}windows")))
+    if cleaned:
+        # A cut may bring together windows that the text did not have.
+        again, text_left, deeper = f"{out}_again", f"{out}_left", f"{out}_next"
+        result = written_once(result.drop(f"{OWN}met", f"{OWN}windows"))
+        cut = result.where(F.col(out)["contaminated"]).select(
+            F.col(row).alias(again), F.col(out)["text"].alias(text_left))
+        if not cut.isEmpty():
+            left = _joined(cut, text_left, stored, True, deeper).select(
+                again, F.col(deeper)["text"].alias(text_left))
+            result = result.join(left, F.col(row) == F.col(again), "left").withColumn(
+                out, F.col(out).withField("text", F.coalesce(text_left, F.col(out)["text"])))
+        result = result.drop(again, text_left)
+    return result.drop(row, f"{OWN}met", f"{OWN}windows")

@@ -211,10 +211,10 @@ def nearest(
     Repeated rows are queries and candidates of their own; no rows give no rows. Other columns are only
     read by ``is_query``.
     """
-    rows = vectors.select(
+    rows = written_once(vectors.select(
         F.col(id_col).alias("id"), F.col(vector_col).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
-        F.monotonically_increasing_id().alias("row")).where(usable(F.col("v")))
+        F.monotonically_increasing_id().alias("row")).where(usable(F.col("v"))))
     size = rows.groupBy(F.size("v").alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(
         F.desc("n"), "s").limit(1).collect()
     rows = rows.where(F.size("v") == (size[0]["s"] if size else 0))

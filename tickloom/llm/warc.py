@@ -51,17 +51,17 @@ def bare_digest(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record_id(page_id: int | None, row: int) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{row}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
 def page_of(name: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d*):\d+>", name or "")
+    found = re.fullmatch(r"<urn:page:(-?\d*):\w+>", name or "")
     return int(found[1]) if found and found[1] else None
 
 
 def record(
-    page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, date: str,
+    page_id: int | None, url: str | None, payload: bytes, digest: str, date: str,
     refers_to: str | None,
 ) -> bytes:
     """One record as a gzip member."""
@@ -70,7 +70,7 @@ def record(
     body = http if refers_to else http + payload
     fields = [
         ("WARC-Type", "revisit" if refers_to else "response"),
-        ("WARC-Record-ID", record_id(page_id, row)), ("WARC-Date", date),
+        ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(body))]
     if url is not None:
@@ -91,25 +91,23 @@ def write_archives(
 ) -> DataFrame:
     """Writes a record per page; returns the stored list of files.
 
-    Only digests and ids are grouped; a payload held by many pages is counted before it moves. Payloads
-    move once, spread by row, to meet the decision on them.
+    Only digests and ids are grouped; a payload held by many pages is counted before it moves. Pages
+    move once, by digest, to meet the decision on them; a digest of many pages is split by skew handling.
     """
-    row, digest, size = f"{OWN}row", f"{OWN}digest", f"{OWN}size"
+    digest, first, small = f"{OWN}digest", f"{OWN}first", f"{OWN}small"
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     base = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-        payload.alias("payload"), F.monotonically_increasing_id().alias(row)).withColumn(
-        digest, F.sha1("payload"))
-    facts = written_once(base.select("page_id", row, digest, F.octet_length("payload").alias(size)))
-    first = facts.where(F.col(size) >= min_bytes).groupBy(digest).agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", row)).alias("first"),
-        F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = facts.where(F.col(size) >= min_bytes).join(first, digest).where(
-        F.col(row) != F.col(f"first.{row}")).select(
-        F.col(row).alias(f"{OWN}at"), F.col("first.page_id").alias(f"{OWN}to"),
-        F.col(f"first.{row}").alias(f"{OWN}to_row"))
-    decided = base.join(revisits, F.col(row) == F.col(f"{OWN}at"), "left").select(
-        "page_id", row, "url", "payload", digest, f"{OWN}to", f"{OWN}to_row")
+        payload.alias("payload")).withColumns({
+            digest: F.sha1("payload"), small: F.octet_length("payload") < min_bytes})
+    firsts = base.where(~F.col(small)).groupBy(F.col(digest).alias(f"{OWN}of")).agg(
+        F.min("page_id").alias(first), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"),
+        F.count("page_id").alias("known")).where(
+        (F.col(first) < F.col("last")) | ((F.col("known") > 0) & (F.col("known") < F.col("n"))))
+    decided = base.join(
+        firsts.select(f"{OWN}of", first), F.col(digest) == F.col(f"{OWN}of"), "left").select(
+        "page_id", "url", "payload", digest,
+        F.when(~F.col("page_id").eqNullSafe(F.col(first)), F.col(first)).alias(first))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -120,10 +118,10 @@ def write_archives(
             size = records = 0
             with files.written(path) as stream:
                 while one is not None and size < file_bytes:
-                    page_id, number, url, body, sha1, to, to_row = (v.as_py() for v in one)
-                    refers_to = None if to_row is None else record_id(to, to_row)
-                    member = record(page_id, number, url, body, bare_digest(bytes.fromhex(sha1)),
-                                    date, refers_to)
+                    page_id, url, body, sha1, to = (v.as_py() for v in one)
+                    name = bare_digest(bytes.fromhex(sha1))
+                    member = record(page_id, url, body, name, date,
+                                    None if to is None else record_id(to, name))
                     stream.write(member)
                     size += len(member)
                     records += 1
@@ -268,7 +266,7 @@ def archive_table(
     """Writes the pages' archives below the shared folder and reads them back.
 
     A null or empty payload is a record of 0 bytes; payloads below ``min_bytes`` are never revisits; the
-    smallest page id is the response, null ids last, and of its repeated rows the first. A null url has
+    smallest page id is the response, null ids last; rows that repeat its id are responses, too. A null url has
     no target field. No rows give no files and no records. Other columns are not read.
     """
     folder = folder or scratch_path(pages.sparkSession, "archives")
