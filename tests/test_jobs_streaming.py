@@ -9,6 +9,8 @@ from tickloom.operators.series import Series
 from tickloom.plans import jobs
 from tickloom.plans.catalog import candle_payloads
 from tickloom.plans.mapping import bar_aggregates
+from tickloom.operators.cleaning import clean_stock_data
+from tickloom.sources.payloads import parse_candles
 from tickloom.session import scratch_path, sized_for
 from tickloom.sinks.tables import read_table
 from tickloom.streaming import bars as stream
@@ -87,7 +89,7 @@ def test_daily_batches_equal_one_batch(spark):
         if days == (0, 1):
             part = part.where("hour(ts) < 10 or dayofmonth(ts) = 1")
         part.coalesce(1).write.mode("append").parquet(folder)
-        stream.stream_upsert(stream.read_ticks(spark, folder, EVENTS, "*.parquet"), path,
+        stream.stream_upsert(stream.read_ticks(spark, folder, EVENTS), path,
                              checkpoint, f"{path}-features").awaitTermination()
     got = read_table(spark, path, stream.BAR_SCHEMA)
     want = ticks(spark, range(4)).withColumn("order", F.struct("ts", "event_id")).groupBy(
@@ -106,6 +108,31 @@ def test_daily_batches_equal_one_batch(spark):
                 keys=("symbol", "trade_date"))
 
 
+def test_backlog_in_any_order_loses_nothing(spark):
+    """Files of one day each, the newest first, further apart than the allowed lateness."""
+    folder, path = scratch_path(spark, "ticks"), scratch_path(spark, "bars")
+    for day in (20, 15, 10, 5, 0):
+        ticks(spark, (day,)).coalesce(1).write.mode("append").parquet(folder)
+    stream.stream_upsert(
+        stream.read_ticks(spark, folder, EVENTS), path, scratch_path(spark, "offsets")
+    ).awaitTermination()
+    want = ticks(spark, (0, 5, 10, 15, 20)).groupBy("event_type", F.to_date("ts")).count().count()
+    assert read_table(spark, path, stream.BAR_SCHEMA).count() == want > 0
+
+
+def test_first_delivery_of_a_day_counts(spark):
+    """Unequal copies of a day in two payloads, in either order."""
+    def payload(open_price):
+        return ("A", f'{{"s":"ok","t":[1577923200],"o":[{open_price}],"h":[9.0],"l":[0.5],'
+                     f'"c":[2.0],"v":[{open_price}]}}')
+    for prices in ((1.0, 5.0), (5.0, 1.0)):
+        rows = spark.createDataFrame(
+            [payload(p) for p in prices], "symbol string, payload string").coalesce(1)
+        feed = parse_candles(rows).withColumn("seq", F.monotonically_increasing_id())
+        [got] = clean_stock_data(feed).collect()
+        assert (got.open, got.volume) == (prices[0], int(prices[0]))
+
+
 def test_sizing():
     assert sized_for(1 << 30)["spark.sql.shuffle.partitions"] == "200"
     assert sized_for(100 << 40)["spark.sql.shuffle.partitions"] == str(400 << 10)

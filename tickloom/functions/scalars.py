@@ -71,28 +71,36 @@ def next_business_day(day: Column | str) -> Column:
     )
 
 
+def _formatted(pattern: str, *columns: Column) -> Column:
+    """Formatted values, or NULL if one is missing."""
+    known = columns[0].isNotNull()
+    for column in columns[1:]:
+        known = known & column.isNotNull()
+    return F.when(known, F.format_string(pattern, *columns))
+
+
 def money(column: Column | str) -> Column:
-    return F.format_string("$%.2f", _col(column))
+    return _formatted("$%.2f", _col(column))
 
 
 def whole_money(column: Column | str) -> Column:
-    return F.format_string("$%,.0f", _col(column))
+    return _formatted("$%,.0f", _col(column))
 
 
 def signed(column: Column | str) -> Column:
-    return F.format_string("%+.2f", _col(column))
+    return _formatted("%+.2f", _col(column))
 
 
 def signed_percent(column: Column | str) -> Column:
-    return F.format_string("%+.2f%%", _col(column))
+    return _formatted("%+.2f%%", _col(column))
 
 
 def delta_text(change: Column | str, percent: Column | str) -> Column:
-    return F.format_string("%+.2f (%+.2f%%)", _col(change), _col(percent))
+    return _formatted("%+.2f (%+.2f%%)", _col(change), _col(percent))
 
 
 def grouped_count(column: Column | str) -> Column:
-    return F.format_string("%,d", _col(column).cast("bigint"))
+    return _formatted("%,d", _col(column).cast("bigint"))
 
 
 def day_text(column: Column | str) -> Column:
@@ -100,7 +108,7 @@ def day_text(column: Column | str) -> Column:
 
 
 def decimals(column: Column | str, places: int) -> Column:
-    return F.format_string(f"%.{places}f", _col(column))
+    return _formatted(f"%.{places}f", _col(column))
 
 
 def model_title(column: Column | str) -> Column:

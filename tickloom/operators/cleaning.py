@@ -20,11 +20,12 @@ def drop_null_ohlcv(feed: DataFrame) -> DataFrame:
 def dedup_dates(feed: DataFrame) -> DataFrame:
     """One row per instrument and date, the first delivered.
 
-    An aggregate rather than a window, so that copies shrink before they are shuffled.
+    An aggregate rather than a window, so that copies shrink before they are shuffled. Rows that tie
+    in ``seq`` are ordered by their values, and one of them is taken as a whole.
     """
     values = [c for c in feed.columns if c not in ("symbol", "date", "seq")]
-    return feed.groupBy("symbol", "date").agg(
-        F.min("seq").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in values])
+    first = feed.groupBy("symbol", "date").agg(F.min(F.struct("seq", *values)).alias("first"))
+    return first.select("symbol", "date", "first.*")
 
 
 def coerce_types(feed: DataFrame) -> DataFrame:

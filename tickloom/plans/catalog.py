@@ -28,7 +28,6 @@ QUERIES: dict[str, Query] = {}
 AS_OF = dt.date(2001, 11, 1)
 CUT, OVERLAP = dt.date(1999, 1, 1), dt.date(1998, 1, 1)
 ONE_STOCK = 7
-NUDGE = 0.1234567
 FAST_TREES = {"rounds": 5, "depth": 4}
 
 
@@ -41,14 +40,11 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, places: int = 6, only: Iterable[str] | None = None) -> DataFrame:
-    """Doubles rounded, negative zero made zero.
-
-    Prices with few binary digits often lie half-way between two roundings, where engines differ;
-    a fixed part of the last place moves them off.
-    """
+    """Doubles rounded half up, negative zero made zero."""
     doubles = [c for c, t in df.dtypes if t == "double" and (only is None or c in only)]
-    nudge = F.lit(NUDGE / 10 ** places)
-    return df.withColumns({c: F.round(F.col(c) + nudge, places) + F.lit(0.0) for c in doubles})
+    scale = float(10 ** places)
+    return df.withColumns({
+        c: F.floor(F.col(c) * scale + 0.5).cast("double") / scale for c in doubles})
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,14 +431,14 @@ def net_flow(spark, sf_dir):
 
 @query("cumulative_flow")
 def cumulative_flow(spark, sf_dir):
-    return rounded(_flows(spark, sf_dir).select("stock_id", "trade_date", "cumulative_flow"), 0)
+    return rounded(_flows(spark, sf_dir).select("stock_id", "trade_date", "cumulative_flow"), 2)
 
 
 @query("compute_capital_flow")
 def compute_capital_flow(spark, sf_dir):
     money = ("raw_money_flow", "inflow", "outflow", "net_flow")
     flows = rounded(rounded(_flows(spark, sf_dir), 2, money), 6, ("typical_price", "mfi_14"))
-    return rounded(flows, 0, ("cumulative_flow",))
+    return rounded(flows, 2, ("cumulative_flow",))
 
 
 # --- dashboard -------------------------------------------------------------------------------
@@ -556,7 +552,7 @@ def range_slice(spark, sf_dir):
 @query("flow_series")
 def flow_series(spark, sf_dir):
     series = flow.flow_series(written_once(_flows(spark, sf_dir)))
-    return rounded(rounded(series, 2, ("net_flow",)), 0, ("cumulative_flow",))
+    return rounded(rounded(series, 2, ("net_flow",)), 2, ("cumulative_flow",))
 
 
 # --- union and scalars -----------------------------------------------------------------------
@@ -590,7 +586,7 @@ def fmt_money(spark, sf_dir):
 
 @query("fmt_signed")
 def fmt_signed(spark, sf_dir):
-    return m.features(spark, sf_dir).where(F.col("daily_return").isNotNull()).select(
+    return m.features(spark, sf_dir).select(
         "stock_id", "trade_date", S.signed("price_difference").alias("change"),
         S.signed_percent(F.col("daily_return") * 100).alias("percent"),
         S.delta_text("price_difference", F.col("daily_return") * 100).alias("delta"))
@@ -623,7 +619,7 @@ def stock_label(spark, sf_dir):
 
 @query("fmt_score")
 def fmt_score(spark, sf_dir):
-    return m.features(spark, sf_dir).where(F.col("volatility").isNotNull()).select(
+    return m.features(spark, sf_dir).select(
         "stock_id", "trade_date",
         *[S.decimals("volatility", n).alias(f"score_{n}") for n in (1, 3, 4)])
 
@@ -829,7 +825,7 @@ def job_daily(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str, bars: str, features: str | None = None) -> None:
     schema = m.table(spark, sf_dir, "events").schema
-    ticks = stream.read_ticks(spark, sf_dir, schema, "events.parquet")
+    ticks = stream.read_ticks(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema)
     stream.stream_upsert(ticks, bars, scratch_path(spark, "stream"), features).awaitTermination()
 
 

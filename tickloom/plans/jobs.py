@@ -75,13 +75,12 @@ def backfill(
 ) -> DataFrame:
     """Registers the universe, loads its candle payloads and derives the features."""
     stocks = register_stocks(spark, store, universe)
-    rows = parse_candles(payloads)
+    # Rows are numbered as they land, so that of a day delivered twice the first delivery counts.
+    rows = parse_candles(payloads).withColumn("seq", F.monotonically_increasing_id())
     if as_of is not None:
         rows = backfill_window(rows.withColumnRenamed("date", "trade_date"), as_of) \
             .withColumnRenamed("trade_date", "date")
-    # Candles arrive one per date; copies are equal, so their order does not matter.
-    feed = rows.withColumn("seq", F.lit(0).cast("bigint"))
-    load_bars(spark, store, feed, stocks, on_fail, loaded_at)
+    load_bars(spark, store, rows, stocks, on_fail, loaded_at)
     return refresh_features(spark, store, loaded_at)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from tickloom.operators.dashboard import LOOKBACK_DAYS
 from tickloom.schemas import FEATURE_COLUMNS
 
-NUDGE = 0.1234567  # as in the queries: moves values off half-way points before rounding
 AS_OF = "DATE '2001-11-01'"
 CUT, OVERLAP = "DATE '1999-01-01'", "DATE '1998-01-01'"
 LOADED_AT = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -252,8 +251,9 @@ def _with(needed: str, body: str) -> str:
 
 def r(expression: str, places: int = 6, name: str = "") -> str:
     """A rounded column; negative zero becomes zero."""
-    nudged = f"({expression}) + {NUDGE / 10 ** places:.12e}"
-    return f"round({nudged}, {places}) + 0.0::DOUBLE AS {name or expression.split('.')[-1]}"
+    scale = f"{10 ** places}::DOUBLE"
+    value = f"floor(({expression})::DOUBLE * {scale} + 0.5) / {scale}"
+    return f"{value} + 0.0::DOUBLE AS {name or expression.split('.')[-1]}"
 
 
 def rs(columns: str, places: int = 6) -> str:
@@ -464,10 +464,10 @@ def oracles() -> dict[str, str]:
         "rolling_flow_14": _with("flows", f"SELECT {flow_rows}, {rs('inflow_14 outflow_14', 2)} FROM flows"),
         "mfi_14": _with("flows", f"SELECT {flow_rows}, {r('mfi_14')} FROM flows"),
         "net_flow": _with("flows", f"SELECT {flow_rows}, {r('net_flow', 2)} FROM flows"),
-        "cumulative_flow": _with("flows", f"SELECT {flow_rows}, {r('cumulative_flow', 0)} FROM flows"),
+        "cumulative_flow": _with("flows", f"SELECT {flow_rows}, {r('cumulative_flow', 2)} FROM flows"),
         "compute_capital_flow": _with("flows", f"""
             SELECT {flow_rows}, {rs('typical_price mfi_14')}, flow_direction,
-                   {rs('raw_money_flow inflow outflow net_flow', 2)}, {r('cumulative_flow', 0)}
+                   {rs('raw_money_flow inflow outflow net_flow', 2)}, {r('cumulative_flow', 2)}
             FROM flows"""),
         "market_overview": _with("overview", f"""
             SELECT symbol, company_name, {rs('close change change_pct high low')}, volume,
@@ -552,7 +552,7 @@ def oracles() -> dict[str, str]:
             FROM flows"""),
         "range_slice": _with("prices", _ranges()),
         "flow_series": _with("flows", f"""
-            SELECT {flow_rows}, {r('net_flow', 2)}, {r('cumulative_flow', 0)},
+            SELECT {flow_rows}, {r('net_flow', 2)}, {r('cumulative_flow', 2)},
                    CASE WHEN last_value(cumulative_flow) OVER (PARTITION BY stock_id
                         ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING
                         AND UNBOUNDED FOLLOWING) >= 0 THEN 'up' ELSE 'down' END AS trend
@@ -573,7 +573,7 @@ def oracles() -> dict[str, str]:
             SELECT stock_id, trade_date, {signed('price_difference')} AS change,
                    {signed('daily_return * 100', '%%')} AS percent,
                    {delta('price_difference', 'daily_return * 100')} AS delta
-            FROM features WHERE daily_return IS NOT NULL"""),
+            FROM features"""),
         "fmt_count": _with("prices", """
             SELECT stock_id, trade_date, format('{:,}', volume * 1000) AS volume FROM prices"""),
         "fmt_date": _with("prices", """
@@ -590,7 +590,7 @@ def oracles() -> dict[str, str]:
             SELECT stock_id, trade_date,
                    {', '.join(f"printf('%.{n}f', {half_up('volatility', n)}) AS score_{n}"
                               for n in (1, 3, 4))}
-            FROM features WHERE volatility IS NOT NULL"""),
+            FROM features"""),
         "issue_text": _with("issues", """
             SELECT issue, count(*) AS symbols FROM issues GROUP BY issue"""),
         "epoch_to_date": """

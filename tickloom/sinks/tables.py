@@ -64,11 +64,13 @@ def newest_rows(rows: DataFrame, keys: Sequence[str] = PRICE_KEY, seq: str = "se
     """The row of each key with the highest ``seq``.
 
     An aggregate: the copies of a key shrink before the shuffle, so a heavily repeated key costs
-    no more than others.
+    no more than others. Rows that tie in ``seq`` are ordered by their values, and one of them is
+    taken as a whole.
     """
     values = [c for c in rows.columns if c not in (*keys, seq)]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, seq).alias(c) for c in values]).select(
-        *[c for c in rows.columns if c != seq])
+    last = rows.groupBy(*keys).agg(F.max(F.struct(seq, *values)).alias("last"))
+    return last.select(*[
+        F.col(c) if c in keys else F.col("last")[c].alias(c) for c in rows.columns if c != seq])
 
 
 def merge_rows(

@@ -87,9 +87,16 @@ def backfill_window(bars: DataFrame, as_of: dt.date, days: int = BACKFILL_DAYS)
 def latest_bar(
     prices: DataFrame, as_of: dt.date, lookback: int = LATEST_LOOKBACK_DAYS
 ) -> DataFrame:
-    """The last bar of each instrument within the few days up to ``as_of``."""
+    """The last bar of each instrument within the few days up to ``as_of``.
+
+    Of several on that day, the first delivered (``seq``, where there is one), then the one with the
+    smallest values, taken as a whole.
+    """
     recent = backfill_window(prices, as_of, lookback)
-    values = [c for c in prices.columns if c not in ("stock_id", "trade_date")]
-    return recent.groupBy("stock_id").agg(
-        F.max("trade_date").alias("trade_date"),
-        *[F.max_by(c, "trade_date").alias(c) for c in values])
+    values = [c for c in prices.columns if c not in ("stock_id", "trade_date", "seq")]
+    order = ["seq"] if "seq" in prices.columns else []
+    age = F.datediff(F.lit(as_of), F.col("trade_date")).alias("age")
+    last = recent.groupBy("stock_id").agg(
+        F.min(F.struct(age, *order, *values, "trade_date")).alias("last"))
+    return last.select("stock_id", F.col("last.trade_date").alias("trade_date"), *[
+        F.col("last")[c].alias(c) for c in prices.columns if c in (*order, *values)])

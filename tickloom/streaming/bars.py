@@ -24,10 +24,14 @@ BAR_KEY = ("symbol", "trade_date")
 LATENESS = "2 days"
 
 
-def read_ticks(spark: SparkSession, folder: str, schema: T.StructType, files: str) -> DataFrame:
-    """A folder of tick files as a stream of symbol, ts, value and event_id."""
-    ticks = (spark.readStream.schema(schema).option("pathGlobFilter", files)
-             .option("maxFilesPerTrigger", 1).parquet(folder))
+def read_ticks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A tick table, one file or a folder of them, as a stream of symbol, ts, value and event_id.
+
+    All files that are there make one batch, so a backlog loses nothing, whatever the order of its
+    files.
+    """
+    # As a pattern the path may name a file; only folders may be named without one.
+    ticks = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return ticks.select(F.col("event_type").alias("symbol"),
                         F.col("ts").cast("timestamp").alias("ts"), "value", "event_id")
 
