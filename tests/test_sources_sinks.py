@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import schemas
-from tickloom.operators.joins import as_dict, join_per_stock, lookup_symbol, symbol_maps
+from tickloom.operators.joins import join_per_stock, lookup_symbol, symbol_maps
 from tickloom.session import scratch_path
 from tickloom.sinks import tables as sink
 from tickloom.sources import payloads, tables as src
@@ -153,9 +153,8 @@ def test_lookups(spark):
     assert {r.symbol for r in lookup_symbol(rows, stocks, fallback=False).collect()} == {
         "A", None}
     maps = symbol_maps(stocks)
-    assert as_dict(maps.where("map_name = 'symbol_by_id'"), "key", "value") == {"1": "A"}
-    with pytest.raises(ValueError):
-        as_dict(maps, "key", "value", max_rows=1)
+    assert [tuple(r) for r in maps.where("map_name = 'symbol_by_id'").collect()] == [
+        ("symbol_by_id", "1", "A")]
 
 
 def test_join_per_stock_is_the_same_with_and_without_broadcast(spark):

@@ -87,11 +87,3 @@ def symbol_maps(stocks: DataFrame) -> DataFrame:
     by_symbol = stocks.select(F.lit("name_by_symbol").alias("map_name"),
                               F.col("symbol").alias("key"), F.col("company_name").alias("value"))
     return by_id.unionByName(by_symbol)
-
-
-def as_dict(pairs: DataFrame, key: str, value: str, max_rows: int = 100_000) -> dict:
-    """A lookup as a Python dict; refuses a table of more than ``max_rows`` rows."""
-    rows = pairs.select(key, value).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; join the table instead")
-    return {r[0]: r[1] for r in rows}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.functions.scalars import next_business_day
@@ -116,12 +118,15 @@ def load_model(spark: SparkSession, folder: str, model_name: str) -> Model | Non
 
     try:
         return _LOADERS[model_name].load(spark, f"{folder.rstrip('/')}/{model_name}")
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    except Py4JJavaError as error:
+        # The reader of a model's description names the folder that it misses.
+        if not re.search(rf"Input path does not exist: \S*/{model_name}/", str(error.java_exception)):
+            raise
         return None
-    except Exception as error:
-        if "does not exist" in str(error):
-            return None
-        raise
 
 
 def score_split(split: DataFrame, models: dict[str, Model], train: bool = False) -> DataFrame:
