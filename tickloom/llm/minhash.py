@@ -6,8 +6,9 @@ place. Texts with equal shingle sets form a class, whose smallest document id st
 
 Classes that share a band are candidates. A group of many similar classes has many such pairs, but its
 component needs few links. So pivots of each bucket are verified first, in rounds, and what they link is
-contracted. In the end every pair of candidates that still lies in different components is verified, so the
-components are those of all candidate links.
+contracted. In the end the candidates that still share bands with other components are compared by their
+rarest shingles, of which linked sets share one, and every pair in different components that does is
+verified. So the components are those of all candidate links, without all pairs of a group.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 from pyspark.sql.functions import arrow_udf
 
 from tickloom.llm.components import components
@@ -30,7 +31,7 @@ PERCENT = 80
 #: A linked pair shares no band with probability (1 - 0.8^5)^40, about one in ten million.
 BANDS, ROWS = 40, 5
 #: Rounds of pivots, and pivots that a class is verified against in each.
-ROUNDS, PIVOTS = 3, 3
+ROUNDS, PIVOTS = 2, 3
 #: Text handled at once, so that its shingles stay in the processor's cache.
 PIECE = 1 << 18
 
@@ -164,12 +165,14 @@ def _pairs(one: str, two: str) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def _pivot_pairs(members: DataFrame, seed: int, pivots: int) -> DataFrame:
+def _pivot_pairs(members: DataFrame, turn: int, pivots: int) -> DataFrame:
     """Each class with up to ``pivots`` pivots of its buckets that are in other components.
 
-    A bucket's pivot is its class with the smallest hash in this round, so buckets tend to share them.
+    A bucket's pivot is its class that meets most others in all buckets, since what lies in the middle
+    of a group is linked with most of it; every other round, it is the one with the smallest hash.
     """
-    drawn = F.struct(F.xxhash64(F.lit(seed), "node").alias("draw"), "node", "component")
+    draw = -F.col("weight") if turn % 2 == 0 else F.xxhash64(F.lit(turn), "node")
+    drawn = F.struct(draw.alias("draw"), "node", "component")
     heads = members.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min(drawn).alias("p")
     ).where("low < high").select("bucket", "p")
@@ -180,20 +183,64 @@ def _pivot_pairs(members: DataFrame, seed: int, pivots: int) -> DataFrame:
         *_pairs("node", "pivot")).distinct()
 
 
-def _open_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket's classes that are in different components.
+def _cross_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that have a rare shingle in common.
 
-    In each bucket the classes outside its largest component meet all others.
+    Before the first shingle that two sets share, nothing is shared: what is left of the smaller one must
+    suffice for the similarity. For each shingle, the classes outside its largest component meet all others.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    heads = sizes.groupBy("bucket").agg(
+    sizes = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    heads = sizes.groupBy("shingle").agg(
         F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")
-    ).where("k > 1").select("bucket", F.col("top.component").alias("largest"))
-    opened = members.join(heads, "bucket")
+    ).where("k > 1").select("shingle", F.col("top.component").alias("largest"))
+    opened = rare.join(heads, "shingle")
     few = opened.where("component != largest").select(
-        "bucket", F.col("node").alias("one"), F.col("component").alias("one_component"))
-    return few.join(opened, "bucket").where("one_component != component").select(
-        *_pairs("one", "node")).distinct()
+        "shingle", *[F.col(c).alias(f"one_{c}") for c in ("node", "component", "size", "place")])
+    left = F.least(F.col("size") - F.col("place"), F.col("one_size") - F.col("one_place")) + 1
+    enough = (100 + percent) * left >= percent * (F.col("size") + F.col("one_size"))
+    met = few.join(opened, (few["shingle"] == opened["shingle"])
+                   & (F.col("one_component") != F.col("component")) & enough)
+    return met.select(*_pairs("one_node", "node")).distinct()
+
+
+def _rare_shingles(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of each node's set, the rarest shingles: linked sets have one of them in common.
+
+    With fewer than n - ceil(percent * n / 100) + 1 of a set's n shingles missing, one of so many
+    remains in the other set; both list theirs in one order, rarest first. Shingles that no other node has
+    count, but lead nowhere. So a set that differs too much from all others has nothing to compare.
+    """
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, packed in zip(batch.column(0), batch.column(1)):
+                own = np.frombuffer(packed.as_buffer(), np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), node.as_py())),
+                         pa.array(np.full(len(part), len(own))), pa.array(part)],
+                        ["node", "size", "shingle"])
+
+    rows = written_once(sets.join(nodes, "node", "left_semi").select("node", "s").mapInArrow(
+        unpacked, "node bigint, size bigint, shingle bigint"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(shared, "shingle")
+    own = Window.partitionBy("node")
+    missing = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    alone = F.col("size") - F.count(F.lit(1)).over(own)
+    place = F.row_number().over(own.orderBy("n", "shingle"))
+    return met.withColumn("place", place + alone).where(F.col("place") <= missing).select(
+        "node", "shingle", "size", "place")
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of candidates in different components that may still be linked."""
+    opened = members.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    labels = written_once(members.join(opened.select("bucket"), "bucket").select(
+        "node", "component").distinct())
+    rare = _rare_shingles(sets, labels.select("node"), percent)
+    return _cross_pairs(rare.join(labels, "node"), percent)
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -228,9 +275,14 @@ def near_duplicates(
         F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     in_bands = classes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(
-        F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    candidates = written_once(in_bands.join(shared.select("bucket"), "bucket").distinct())
-    nodes = written_once(candidates.select("node").distinct())
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")
+    ).where("low < high")
+    candidates = in_bands.join(shared.select("bucket", "n"), "bucket").groupBy("node", "bucket").agg(
+        F.max("n").alias("n"))
+    candidates = written_once(candidates)
+    nodes = written_once(candidates.groupBy("node").agg(F.sum("n").alias("weight")))
+    candidates = candidates.join(nodes, "node").select("node", "bucket", "weight")
+    nodes = nodes.select("node")
     sets = _stored_sets(texts, nodes, size)
 
     # Rows with one id and different texts: their classes belong together.
@@ -246,8 +298,10 @@ def near_duplicates(
     labels = _merged(labels, links)
     for turn in range(rounds + 1):
         placed = candidates.join(labels, "node")
-        pairs = _pivot_pairs(placed, turn, pivots) if turn < rounds else _open_pairs(placed)
-        found = written_once(_verified(written_once(pairs), sets, percent))
+        pairs = _pivot_pairs(placed, turn, pivots) if turn < rounds else _open_pairs(
+            placed, sets, percent)
+        pairs = written_once(pairs)
+        found = written_once(_verified(pairs, sets, percent))
         labels = _merged(labels, found)
 
     owners = classes.select(*key, "node").join(labels, "node", "left").select(
