@@ -30,9 +30,8 @@ def to_number(column: Column | str) -> Column:
 
 
 def to_volume(column: Column | str) -> Column:
-    """A whole number as BIGINT; fractions and unparsable text become NULL."""
-    number = to_number(column)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    """A number as BIGINT, its fraction cut off; unparsable text becomes NULL."""
+    return to_number(column).try_cast("bigint")
 
 
 def to_day(column: Column | str) -> Column:

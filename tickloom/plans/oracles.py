@@ -91,7 +91,7 @@ _PARTS: dict[str, tuple[str, str]] = {
         FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)"""),
     "coerced": ("feed", """
         SELECT seq, symbol, date, TRY_CAST(open AS DOUBLE) AS open, high, low, close,
-               CASE WHEN volume = floor(volume) THEN CAST(volume AS BIGINT) END AS volume
+               CAST(trunc(volume) AS BIGINT) AS volume
         FROM feed"""),
     "clean": ("feed coerced", """
         SELECT seq, symbol, date, open, high, low, close, volume FROM (
