@@ -9,6 +9,8 @@ is made of built-in column functions.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm.tables import OWN, may_hold
@@ -17,6 +19,11 @@ EDITS = 2
 #: Shorter lines are left alone.
 MIN_CHARS = 32
 
+#: Frequent letters, whose counts tell most lines apart; the result does not depend on them.
+LETTERS = "eaintor"
+#: Bits of their counts; up to 7 edits fit above them.
+BITS = 4 * len(LETTERS)
+
 LAST = (1 << 63) - 1
 
 
@@ -45,7 +52,7 @@ def index_keys(line: Column, length: Column, edits: int) -> Column:
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
     """The keys under which lines within ``edits`` edits, no longer than this one, are indexed.
 
-    For each length and segment, only the shifts that leave enough edits on both sides.
+    With each goes how much shorter the indexed line is. For each length and segment, only the shifts that leave enough edits on both sides.
     """
     keys = []
     for shorter in range(edits + 1):
@@ -53,17 +60,47 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
         for i in range(edits + 1):
             start, size = _segment(other, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                keys.append(_key(i, other, F.substring(line, start + shift + 1, size)))
+                key = _key(i, other, F.substring(line, start + shift + 1, size))
+                keys.append(F.struct(key.alias("of"), F.lit(shorter).alias("shorter")))
     return F.array(*keys)
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of ``LETTERS`` occurs, modulo 16, in four bits each."""
+    size = F.octet_length(line)
+    counts = [size - F.octet_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS]
+    packed = [F.shiftleft(n.bitwiseAND(15), 4 * k) for k, n in enumerate(counts)]
+    return functools.reduce(Column.bitwiseOR, packed)
+
+
+def counts_apart(one: Column, two: Column) -> Column:
+    """The sum of the differences of letter counts: an edit makes up 2 at most, and 1 if it changes
+    the length."""
+    apart = []
+    for k in range(len(LETTERS)):
+        step = F.abs(F.shiftright(one, 4 * k).bitwiseAND(15) - F.shiftright(two, 4 * k).bitwiseAND(15))
+        apart.append(F.least(step, 16 - step))
+    return sum(apart)
+
+
 def near_pairs(distinct: DataFrame, edits: int) -> DataFrame:
-    """Pairs of names (``a``, ``b``) of lines that share a segment; a is the smaller name."""
+    """Pairs of names (``a``, ``b``) of lines that share a segment; a is the smaller name.
+
+    Lines that share one but whose letters differ by more than the edits allow do not become pairs. Of
+    two lines of one length, either finds the other, and one of these is enough.
+    """
     line, length = F.col("line"), F.col("chars")
-    index = distinct.select("name", F.explode(index_keys(line, length, edits)).alias("key"))
+    index = distinct.select(
+        "name", "letters", F.explode(index_keys(line, length, edits)).alias("key"))
     probe = distinct.select(
-        F.col("name").alias("other"), F.explode(probe_keys(line, length, edits)).alias("key"))
-    return index.join(probe, "key").where("name != other").select(
+        F.col("name").alias("other"), "letters", F.explode(probe_keys(line, length, edits)).alias("k")
+    ).select("other", "k.of", F.shiftleft("k.shorter", BITS).bitwiseOR(F.col("letters")).alias("packed"))
+    shorter = F.shiftright("packed", BITS)
+    apart = counts_apart(F.col("letters"), F.col("packed"))
+    once = (F.col("name") < F.col("other")) | ((shorter > 0) & (F.col("name") != F.col("other")))
+    met = index.join(
+        probe, (F.col("key") == F.col("of")) & once & (apart <= 2 * edits - shorter))
+    return met.select(
         F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
 
 
@@ -80,7 +117,7 @@ def repeated_lines(
         F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
     # Both uses below need all columns, so that they share one exchange of the lines' text.
     distinct = distinct.where((F.col("first") <= LAST) & (F.col("n") > 0)).withColumns({
-        "chars": F.length("line"), "name": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), F.col("line"))})
+        "chars": F.length("line"), "letters": letter_counts(F.col("line")), "name": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), F.col("line"))})
     pairs = near_pairs(distinct, edits)
     sides = pairs.select(F.explode(F.array("a", "b")).alias("name"))
     texts = may_hold(sides, distinct.select("name", "check", "line", "first"), "name")
