@@ -39,7 +39,7 @@ LONGEST_SENTENCE = 256
 ROUNDS = 4
 COST = 1.0
 #: Tokens remembered by a worker, and looked at together.
-REMEMBERED, TOGETHER = 400_000, 200_000
+REMEMBERED, TOGETHER = 150_000, 100_000
 
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\w\s){2,}\w(?!\S)")
@@ -176,16 +176,20 @@ def choose(incidence: pd.DataFrame, gain: dict[str, float], count: int) -> list[
     return chosen
 
 
-def _pieces(text: Column) -> Column:
-    def distinct(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts:
-            found = {p for s in sentences(text.as_py() or "") for w in s for p in pieces_of(w)}
-            parts = {p[at:at + n] for p in found for n in PARTS for at in range(len(p) - n + 1)}
-            out.append(sorted(found | parts))
-        return pa.array(out, pa.list_(pa.string()))
+def _pieces(sample: DataFrame) -> DataFrame:
+    """The distinct strings of each document that may become landmarks: ``doc, label, piece``."""
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, label, text in zip(*batch.columns):
+                found = {p for s in sentences(text.as_py() or "") for w in s for p in pieces_of(w)}
+                found |= {p[at:at + n] for p in found for n in PARTS for at in range(len(p) - n + 1)}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc.as_py()] * len(found), pa.int64()),
+                     pa.array([label.as_py()] * len(found), pa.int32()),
+                     pa.array(sorted(found), pa.string())], ["doc", "label", "piece"])
 
-    return arrow_udf(distinct, "array<string>")(text)
+    rows = sample.select(F.monotonically_increasing_id().alias("doc"), "label", "text")
+    return rows.mapInArrow(distinct, "doc bigint, label int, piece string")
 
 
 def _sample(labels: DataFrame, sizes: dict[int, int]) -> DataFrame:
@@ -224,9 +228,7 @@ def fit(
         F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return constant
-    cut = written_once(sample.select(
-        F.monotonically_increasing_id().alias("doc"), "label", _pieces(F.col("text")).alias("ps")
-    ).select("doc", "label", F.explode("ps").alias("piece")))
+    cut = written_once(_pieces(sample))
     counts = cut.groupBy("piece").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
     ).where(F.col("toxic") >= LEAST_DOCUMENTS)
