@@ -159,13 +159,13 @@ def logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
-def choose(incidence: pd.DataFrame, gain: dict[str, float], count: int) -> list[str]:
+def choose(docs_of: dict[str, np.ndarray], gain: dict[str, float], count: int) -> list[str]:
     """Strings that cover the toxic documents best; each cover of a document halves what the next adds.
 
     Strings that hold a chosen one or are part of it are left out.
     """
-    docs_of = {piece: d["doc"].unique() for piece, d in incidence.groupby("piece")}
-    worth = dict.fromkeys(incidence["doc"].unique(), 1.0)
+    docs_of = dict(docs_of)
+    worth = {doc: 1.0 for docs in docs_of.values() for doc in docs}
     chosen: list[str] = []
     while docs_of and len(chosen) < count:
         best = max(sorted(docs_of), key=lambda p: gain[p] * sum(worth[d] for d in docs_of[p]))
@@ -242,9 +242,10 @@ def fit(
         return constant
     # Of parts of a token that tell the same, the longer one.
     gain = {r["piece"]: r["told"] * (1 + 0.01 * len(r["piece"])) for r in rows}
-    incidence = cut.where("label = 1").join(F.broadcast(top.select("piece")), "piece").select(
-        "doc", "piece").toPandas()
-    landmarks = tuple(choose(incidence, gain, LANDMARKS))
+    # At most the toxic sample's numbers for each candidate.
+    owners = cut.where("label = 1").join(F.broadcast(top.select("piece")), "piece").groupBy(
+        "piece").agg(F.collect_set("doc").alias("docs")).toPandas()
+    landmarks = tuple(choose(dict(zip(owners["piece"], owners["docs"])), gain, LANDMARKS))
     return _trained(sample, landmarks, total, sizes)
 
 
