@@ -48,28 +48,28 @@ def _template_words(notice: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in notice.lower()).split()
 
 
-def document_frequencies(files: DataFrame, text_col: str, words: list[str]) -> dict[str, int]:
-    """In how many texts each of some words occurs."""
-    wanted = F.array(*[F.lit(w) for w in words])
-    found = files.select(F.explode(F.array_intersect(words_of(F.col(text_col)), wanted)).alias("w"))
-    return {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+def inverse_frequencies(files: DataFrame, text_col: str) -> tuple[DataFrame, float]:
+    """``word, idf`` of every word of the texts, and the IDF of a word that no text has."""
+    counts = files.select(F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("word")).groupBy(
+        "word").agg(F.count(F.lit(1)).alias("n"))
+    size = files.count()
+    idf = F.log(F.lit(float(size + 1)) / (F.col("n") + 1)) + 1
+    return written_once(counts.select("word", idf.alias("idf"))), math.log(size + 1) + 1
 
 
-def _weighted(
-    files: DataFrame, text_col: str, templates: tuple
-) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """IDF of the templates' words, that of all others, and the templates' vectors of length one."""
+def template_vectors(
+    counted: DataFrame, absent_idf: float, templates: tuple
+) -> dict[str, dict[str, float]]:
+    """The templates' vectors of length one."""
     vocabulary = sorted({w for _, notice in templates for w in _template_words(notice)})
-    counts = document_frequencies(files, text_col, vocabulary)
-    size = files.count()
-    idf = {w: math.log((size + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary}
+    known = {r["word"]: r["idf"] for r in counted.where(F.col("word").isin(vocabulary)).collect()}
     vectors = {}
     for name, notice in templates:
         words = _template_words(notice)
-        raw = {w: words.count(w) * idf[w] for w in words}
+        raw = {w: words.count(w) * known.get(w, absent_idf) for w in words}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         vectors[name] = {w: v / norm for w, v in raw.items()}
-    return idf, math.log(size + 1) + 1, vectors
+    return vectors
 
 
 def anchors(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
@@ -89,18 +89,15 @@ def anchors(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
 
 
 def statements(
-    lines: DataFrame, idf: dict[str, float], other_idf: float,
-    vectors: dict[str, dict[str, float]], cosine: float,
+    lines: DataFrame, counted: DataFrame, vectors: dict[str, dict[str, float]], cosine: float,
 ) -> DataFrame:
     """Of the distinct lines (``line``), those that state a licence: ``line, license, score``.
 
-    Words outside the templates weigh as if no document had them.
+    ``counted`` has the IDF of every word of the lines.
     """
     terms = lines.select("line", F.explode(words_of(F.col("line"))).alias("word")).groupBy(
         "line", "word").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
-    weighed = terms.withColumn(
-        "v", F.col("n") * F.coalesce(weight[F.col("word")], F.lit(other_idf)))
+    weighed = terms.join(counted, "word").withColumn("v", F.col("n") * F.col("idf"))
     products = [
         F.sum(F.col("v") * F.coalesce(F.create_map(
             *[F.lit(x) for pair in sorted(vector.items()) for x in pair])[F.col("word")],
@@ -140,13 +137,14 @@ def scan_licenses(
         *kept, F.monotonically_increasing_id().alias(row), F.col(path_col).alias(path),
         F.regexp_replace(F.regexp_replace(F.col(path_col), "[^/]*$", ""), "/+$", "").alias(folder))
     lined = named.select(row, F.col(text_col).cast("string").alias(text))
-    idf, other_idf, vectors = _weighted(lined, text, templates)
+    counted, absent_idf = inverse_frequencies(lined, text)
+    vectors = template_vectors(counted, absent_idf, templates)
     pattern = rf"(?i)(^|[^a-z0-9])({'|'.join(anchors(vectors, cosine))})($|[^a-z0-9])"
     lines = written_once(lined.where(F.col(text).rlike(pattern)).select(
         row, F.posexplode(F.split(text, "\n")).alias("place", "line")).where(
         F.col("line").rlike(pattern)))
     # Distinct lines are counted before they move, so a line that many files have is compared once.
-    stated = statements(lines.select("line").distinct(), idf, other_idf, vectors, cosine)
+    stated = statements(lines.select("line").distinct(), counted, vectors, cosine)
     own = lines.join(stated, "line").groupBy(row).agg(F.max(F.struct(
         "score", (-F.col("place")).alias("place"), "license")).alias("best")).select(
         F.col(row).alias(f"{OWN}at"), F.col("best.license").alias("own_license"),
