@@ -38,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; those that nothing is left of go."""
     found = _own(docs, "__lines")
-    marked = line_dedup.dedup_lines(docs, out=found)
+    marked = line_dedup.dedup_lines(docs, out=found, short_copies=True)
     removed = F.col(found)["removed"]
     text = line_dedup.remaining(F.col("text"), removed)
     cut = marked.withColumn("text", text).where(

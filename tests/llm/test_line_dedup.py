@@ -1,6 +1,8 @@
 import random
 
+import corpus_pipeline
 from tickloom.llm.line_dedup import dedup_lines, remaining
+from tickloom.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, line string, name int"
@@ -88,3 +90,36 @@ def test_one_line_in_all_documents(spark):
     got = run(spark, [(i, f"{line}\nown {i}") for i in range(500)])
     assert [r.doc_id for r in got if not r["__lines"].removed] == [0]
     assert {r.rest for r in got if r.doc_id} == {f"own {i}" for i in range(1, 500)}
+
+
+def test_copies_of_short_lines(spark):
+    draw = random.Random(6)
+    base = ["".join(draw.choice("abcdefgh é") for _ in range(draw.choice([1, 2, 5, 20, 31, 32, 33, 60])))
+            for _ in range(50)] + ["", " ", "\t \r"]
+    docs = [(draw.randrange(30), "\n".join(draw.choice(base) for _ in range(6))) for _ in range(40)]
+    docs += [(None, "short\nshort"), (200, "short\n\n"), (201, "shorx\n\n \n "), (202, None), (203, "")]
+    frame = spark.createDataFrame([(*d, "clash", 1) for d in docs], SCHEMA)
+    got = dedup_lines(frame, short_copies=True).collect()
+    last, first, want = 1 << 63, {}, []
+    for doc, text in docs:
+        for line in (text or "").split("\n"):
+            first[line] = min(first.get(line, last), last - 1 if doc is None else doc)
+    for doc, text, removed in brute(docs):
+        seen, gone = set(), set(removed)
+        for k, line in enumerate(text.split("\n") if text is not None else []):
+            own = last - 1 if doc is None else doc
+            if line.strip() and len(line) < 32 and (first[line] != own or line in seen):
+                gone.add(k)
+            seen.add(line)
+        want.append((str(doc), str(text), sorted(gone)))
+    assert sorted((str(r.doc_id), str(r.text), r["__lines"].removed) for r in got) == sorted(want)
+
+
+def test_query_takes_copies_of_short_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "a line\n\nown"), (2, "a line\n\nother")], "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_near_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.removed for r in got} == {1: [], 2: [0]}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in kept} == {1: "a line\n\nown", 2: "\nother"}

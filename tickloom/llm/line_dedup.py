@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm.tables import OWN, may_hold
 
 EDITS = 2
-#: Shorter lines are left alone.
+#: Shorter lines are not compared within edits.
 MIN_CHARS = 32
 
 #: Frequent letters, whose counts tell most lines apart; the result does not depend on them.
@@ -109,6 +109,8 @@ def repeated_lines(
 ) -> DataFrame:
     """Of the lines (``line``, ``doc``), those held more than once or close to an earlier one.
 
+    Lines under ``min_chars`` characters are only counted, not compared.
+
     Returns ``name, check`` (two hashes of the line), ``first`` (the first document with it) and ``goes``:
     whether an earlier distinct line lies within the edits. A distinct line is earlier by its first
     document, then by its text.
@@ -118,7 +120,8 @@ def repeated_lines(
     # Both uses below need all columns, so that they share one exchange of the lines' text.
     distinct = distinct.where((F.col("first") <= LAST) & (F.col("n") > 0)).withColumns({
         "chars": F.length("line"), "letters": letter_counts(F.col("line")), "name": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), F.col("line"))})
-    pairs = near_pairs(distinct, edits)
+    # The count keeps this from being asked of the lines before the exchange, which would make a second one.
+    pairs = near_pairs(distinct.where(F.when(F.col("n") > 0, F.col("chars")) >= min_chars), edits)
     sides = pairs.select(F.explode(F.array("a", "b")).alias("name"))
     texts = may_hold(sides, distinct.select("name", "check", "line", "first"), "name")
     one = texts.select(*[F.col(c).alias(f"{c}_a") for c in texts.columns])
@@ -138,7 +141,7 @@ def repeated_lines(
 
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-    min_chars: int = MIN_CHARS,
+    min_chars: int = MIN_CHARS, short_copies: bool = False,
 ) -> DataFrame:
     """The documents' rows that lose lines: their row number and the lines' places from 0, sorted."""
     numbered = docs.select(
@@ -147,11 +150,12 @@ def removed_lines(
         F.col(text_col).cast("string").alias("text"))
     all_lines = numbered.select(
         "row", "doc", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    long = all_lines.where(F.length("line") >= min_chars)
-    known = repeated_lines(long.select("line", "doc"), edits, min_chars)
+    taking = F.col("line").rlike(r"\S") if short_copies else F.length("line") >= min_chars
+    taken = all_lines.where(taking)
+    known = repeated_lines(taken.select("line", "doc"), edits, min_chars)
     # A line that a document repeats itself stays where it stands first.
-    names = long.select("row", "doc", "place", F.xxhash64("line").alias("name"),
-                        F.xxhash64(F.lit(1), F.col("line")).alias("check"))
+    names = taken.select("row", "doc", "place", F.xxhash64("line").alias("name"),
+                         F.xxhash64(F.lit(1), F.col("line")).alias("check"))
     met = names.join(known, ["name", "check"])
     own_first = met.groupBy("row", "name", "check").agg(
         F.min("place").alias("stays"), F.collect_list("place").alias("places"),
@@ -171,14 +175,15 @@ def remaining(text: Column, removed: Column) -> Column:
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-    min_chars: int = MIN_CHARS, out: str = "__lines",
+    min_chars: int = MIN_CHARS, out: str = "__lines", short_copies: bool = False,
 ) -> DataFrame:
     """Adds struct ``out`` to each document: ``n_lines`` and the places ``removed``, from 0 and sorted.
 
     A line of at least ``min_chars`` characters goes if an earlier line of the corpus is within ``edits``
     edits of it, and every copy of a line goes but the first one in the document with the smallest id
-    (null ids last; rows that share an id count as one document there). ``remaining`` gives the text
-    of the other lines. A null text has no lines; an empty text has one empty line. Repeated rows are
+    (null ids last; rows that share an id count as one document there). With ``short_copies``, copies of
+    shorter lines go alike unless these are blank, of whitespace alone; else shorter lines stay.
+    ``remaining`` gives the text of the other lines. A null text has no lines; an empty text has one empty line. Repeated rows are
     treated alike, and no rows give no rows. All input columns are kept, whatever their names, but for one
     named as ``out``. The rows must come in the same order whenever they are read, as those of files do.
     """
@@ -187,7 +192,7 @@ def dedup_lines(
     # Counted before the join, so that it moves no texts unless they are wanted.
     numbered = docs.withColumns({
         row: F.monotonically_increasing_id(), count: F.coalesce(F.size(F.split(text, "\n")), F.lit(0))})
-    going = removed_lines(docs, id_col, text_col, edits, min_chars).select(
+    going = removed_lines(docs, id_col, text_col, edits, min_chars, short_copies).select(
         F.col("row").alias(f"{OWN}at"), F.col("places").alias(places))
     return numbered.join(going, F.col(row) == F.col(f"{OWN}at"), "left").withColumn(out, F.struct(
         F.col(count).alias("n_lines"),

@@ -97,8 +97,9 @@ def op9_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with the lines that repeat earlier lines within two edits."""
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents, with the lines that repeat earlier lines: within two edits, or short ones exactly."""
+    found = line_dedup.dedup_lines(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True)
     return found.select("doc_id", "__lines.n_lines", F.size("__lines.removed").alias("n_removed"),
                         "__lines.removed")
 
