@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import decontaminate, line_dedup, minhash, packing, toxicity
-from tickloom.llm.queries import TOKENIZER, held_out
+from tickloom.llm.queries import TOKENIZER, TOXIC_FROM, held_out
 from tickloom.llm.tables import table
 from tickloom.session import written_once
 
-#: Toxicity from which a document goes.
-TOXIC_FROM = 0.5
 #: Part of a document's words that benchmark passages make up from which it goes as a whole.
 MOSTLY = 0.5
 

@@ -51,3 +51,10 @@ def test_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, DATA).count() == 0
     assert TOKENIZER
+
+
+def test_documents_that_the_query_calls_toxic_go(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", lambda model, text: text.cast("double"))
+    docs = spark.createDataFrame([(1, "0.29"), (2, "0.3"), (3, "0.4"), (4, "0.6")], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, DATA).collect()] == [1]
