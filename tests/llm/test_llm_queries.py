@@ -35,5 +35,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(oracles()) <= set(QUERIES)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    bitpack, decontaminate, hilbert_search, licenses, line_dedup, minhash, packing, sharding, toxicity,
-    warc,
+    bitpack, decontaminate, hilbert_search, licenses, line_dedup, minhash, packing, resampling, sharding,
+    toxicity, warc,
 )
 from tickloom.llm.tables import table
 
@@ -104,6 +104,13 @@ def op10_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "__lines.removed")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words, drawn towards the benchmark's features."""
+    drawn = resampling.resample(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_length_buckets": op2_length_buckets,
@@ -115,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_windows": op8_benchmark_windows,
     "op9_packed_token_ids": op9_packed_token_ids,
     "op10_near_line_dedup": op10_near_line_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 
@@ -196,7 +204,44 @@ FROM doc LEFT JOIN own USING (doc_id) LEFT JOIN governed AS here ON here.dir = d
 LEFT JOIN governed AS above ON above.dir = doc.source LEFT JOIN governed AS root ON root.dir = ''
 """.format(templates=", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES))
 
+#: CRC-32 of each distinct feature, byte by byte through the table of its 256 steps.
+OP11_SQL = r"""
+WITH step AS (SELECT list(list_reduce(list_concat([i], range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) AS r(i)),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+item AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+seen AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)),
+        lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM doc),
+wanted AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)),
+        lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM item),
+name AS (SELECT DISTINCT f FROM (SELECT f FROM seen UNION ALL SELECT f FROM wanted)),
+bytes AS (SELECT f, list_concat([4294967295], list_transform(range(1, 2 * strlen(f), 2),
+        lambda i: ('0x' || substr(hex(encode(f)), i, 2))::BIGINT)) AS b FROM name),
+bucket AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000
+    AS bucket FROM bytes, step),
+held AS (SELECT bucket, count(*) AS n FROM seen JOIN bucket USING (f) GROUP BY bucket),
+aim AS (SELECT bucket, count(*) AS n FROM wanted JOIN bucket USING (f) GROUP BY bucket),
+total AS (SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM held) AS s, (SELECT coalesce(sum(n), 0)::BIGINT FROM aim) AS t),
+gain AS (SELECT held.bucket, floor(1000 * ln(((coalesce(aim.n, 0) + 1) * (s + 10000))::DOUBLE
+        / ((held.n + 1) * (t + 10000))::DOUBLE))::BIGINT AS gain
+    FROM held LEFT JOIN aim USING (bucket), total),
+weight AS (SELECT doc_id, floor(sum(gain) / count(*))::BIGINT AS weight, count(*) AS n_features
+    FROM seen JOIN bucket USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM doc LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank,
+    25 * count(*) OVER () // 100 AS drawn FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END::BIGINT AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op7_license_inheritance": OP7_SQL, "op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL}
+    return {"op7_license_inheritance": OP7_SQL, "op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL,
+            "op11_importance_resampling": OP11_SQL}
