@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
-    bitpack, decontaminate, hilbert_search, licenses, line_dedup, minhash, packing, resampling, sharding,
-    toxicity, warc,
+    bitpack, decontaminate, hilbert_search, lexical_search, licenses, line_dedup, minhash, packing,
+    resampling, sharding, toxicity, warc,
 )
 from tickloom.llm.tables import table
 
@@ -111,6 +111,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item, of all documents."""
+    return lexical_search.search(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_length_buckets": op2_length_buckets,
@@ -123,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op9_packed_token_ids": op9_packed_token_ids,
     "op10_near_line_dedup": op10_near_line_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 
@@ -240,8 +247,28 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END:
 FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
+#: Scores of all documents for all items, from the terms of both.
+OP12_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+corpus AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM doc WHERE len(w) > 0),
+share AS (SELECT doc_id, 25 + (75 * len(w) * docs) // words AS m FROM doc, corpus WHERE len(w) > 0),
+asked AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest(w) AS term FROM item) GROUP BY ALL),
+held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM held, corpus GROUP BY term),
+score AS (SELECT item_id, doc_id, sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN share USING (doc_id)
+    GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+    doc_id, score FROM score WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {"op7_license_inheritance": OP7_SQL, "op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL,
-            "op11_importance_resampling": OP11_SQL}
+            "op11_importance_resampling": OP11_SQL, "op12_lexical_search": OP12_SQL}
