@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import (
     bitpack, decontaminate, hilbert_search, lexical_search, licenses, line_dedup, minhash, packing,
-    resampling, sharding, toxicity, warc,
+    resampling, sharding, suffix_repeats, toxicity, warc,
 )
 from tickloom.llm.tables import table
 
@@ -117,6 +117,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 35 words that occur more than once."""
+    found = suffix_repeats.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.col(f"__repeats.{c}").alias(c) for c in (
+        "n_words", "n_removed", "kept_sha256")])
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dups": op1_minhash_near_dups,
     "op2_length_buckets": op2_length_buckets,
@@ -130,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op10_near_line_dedup": op10_near_line_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_lexical_search": op12_lexical_search,
+    "op13_suffix_repeats": op13_suffix_repeats,
 }
 
 
@@ -267,8 +275,25 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """
 
+#: Windows of 35 words by their text, which blanks cannot make ambiguous.
+OP13_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+win AS (SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS pos FROM doc WHERE len(w) >= 35)),
+again AS (SELECT doc_id, pos FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+gone AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(pos, pos + 35)) AS k FROM again)
+    GROUP BY doc_id),
+word AS (SELECT doc_id, pos, w[pos] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM doc)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text FROM word
+    ANTI JOIN (SELECT doc_id, unnest(ks) AS pos FROM gone) USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {"op7_license_inheritance": OP7_SQL, "op3_warc_round_trip": OP3_SQL, "op8_benchmark_windows": OP8_SQL,
-            "op11_importance_resampling": OP11_SQL, "op12_lexical_search": OP12_SQL}
+            "op11_importance_resampling": OP11_SQL, "op12_lexical_search": OP12_SQL,
+            "op13_suffix_repeats": OP13_SQL}
