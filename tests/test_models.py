@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from helpers import BAR_SCHEMA, START, random_bars
 from tickloom.functions.scalars import next_business_day
 from tickloom.operators import linear, models, training
-from tickloom.operators.boosting import fit_forest
 from tickloom.operators.features import compute_features
 from tickloom.operators.joins import join_training
 from tickloom.schemas import FEATURE_COLUMNS
@@ -163,13 +162,36 @@ def test_all_models_train_save_and_predict(spark, split):
     assert models.load_model(spark, scratch_path(spark, "none"), "xgboost") is None
 
 
+def test_skipped_instruments_keep_their_model(spark, split):
+    folder = scratch_path(spark, "weeks")
+    train = split.where("is_train")
+    for name in ("linear_regression", "xgboost"):
+        first = models.fit(name, train, **FAST)
+        second = models.fit(name, split.where("stock_id = 2"), **FAST)
+        models.save_model(first, folder, name)
+        models.save_model(second, folder, name)
+        found = {r.stock_id: r.version for r in models.newest_versions(spark, folder, name).collect()}
+        assert found == {1: 1, 2: 2, 4: 1}
+        again = models.load_model(spark, folder, name)
+
+        def values(model, where):
+            return sorted(r.predicted for r in model.predict(split.where(where)).collect())
+
+        assert values(again, "stock_id <> 2") == values(first, "stock_id <> 2")
+        assert values(again, "stock_id = 2") == values(second, "stock_id = 2") != values(first, "stock_id = 2")
+        # Tables of a version that is not listed do not count.
+        model = models.fit(name, split.where("stock_id = 4"), **FAST)
+        for part, table in models._parts(model).items():
+            table.write.parquet(f"{folder}/{name}/{part}/version=3")
+        assert values(models.load_model(spark, folder, name), "stock_id = 4") == values(first, "stock_id = 4")
+
+
 def test_boosting_beats_the_mean_on_its_training_rows(split):
     train = split.where("is_train")
     model = models.fit("xgboost", train, rounds=10, depth=4)
     scored = model.predict(train).withColumn("model_name", F.lit("xgboost"))
     pooled = training.evaluate(scored.withColumn("stock_id", F.lit(0))).collect()[0]
     assert pooled.r2 > 0
-    assert fit_forest(train, trees=3, depth=3).predict(train).count() == train.count()
 
 
 def test_rows_with_missing_features_are_not_predicted(spark, split):

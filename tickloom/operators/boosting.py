@@ -1,100 +1,80 @@
-"""Gradient-boosted trees: one model fitted over all instruments at once.
-
-The trees predict the next close relative to the seven-day average, from the six features made
-independent of an instrument's price level and from the instrument's own mean and spread of that
-target. A model per instrument would be a driver loop over instruments; an instrument index as a
-categorical input would bound their number.
-"""
+"""Boosted trees and random forests, one model per instrument, fitted over all instruments at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.functions.scalars import ratio
-from tickloom.operators.joins import join_per_stock
+from tickloom.operators.training import FOLDS
+from tickloom.operators.trees import BLOCK_ROWS, Boosting, Forest, fit_trees, predict_trees
 from tickloom.session import written_once
 
 # The boosting defaults.
 ROUNDS, DEPTH, STEP, SEED = 100, 6, 0.3, 42
+#: Levels of a tree of the forest.
+FOREST_DEPTH = 8
 
-INPUTS = (
-    "_return", "_difference", "_volatility", "_averages", "_flow", "_mean_target", "_std_target",
-)
-
-
-def _relative_target() -> Column:
-    return ratio(F.col("target"), F.col("ma_7")) - 1
 
+@dataclass
+class BoostedModel:
+    """The trees of each instrument (rows of ``trees.TREES``) and the values that they start from."""
 
-def _instrument_stats(train: DataFrame) -> DataFrame:
-    return train.groupBy("stock_id").agg(
-        F.avg(_relative_target()).alias("_mean_target"),
-        F.stddev_pop(_relative_target()).alias("_std_target"),
-        F.avg(F.abs("capital_flow_indicator")).alias("_flow_scale"))
-
+    trees: DataFrame
+    bases: DataFrame
 
-def _inputs(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    level = F.col("ma_7")
-    values = {
-        "_return": F.col("daily_return"),
-        "_difference": ratio(F.col("price_difference"), level),
-        "_volatility": F.col("volatility"),
-        "_averages": ratio(F.col("ma_30"), level) - 1,
-        "_flow": ratio(F.col("capital_flow_indicator"), F.col("_flow_scale")),
-        "_mean_target": F.col("_mean_target"),
-        "_std_target": F.col("_std_target"),
-    }
-    known = {name: F.coalesce(value, F.lit(0.0)) for name, value in values.items()}
-    return VectorAssembler(inputCols=list(INPUTS), outputCol="_inputs").transform(
-        join_per_stock(rows, stats).withColumns(known)).drop(*INPUTS, "_flow_scale")
+    def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
+        """Predicted next close of rows with the six features; rows of unknown instruments are dropped."""
+        return predict_trees(rows, self.trees, self.bases, output=output)
 
 
 @dataclass
-class BoostedModel:
-    """Trees plus the per-instrument statistics they were fitted with."""
+class FoldedModel:
+    """The trees fitted on all rows (key -1) and on those outside each fold (its number)."""
 
-    trees: GBTRegressionModel
-    stats: DataFrame
+    trees: DataFrame
+    bases: DataFrame
 
-    def predict(self, rows: DataFrame, output: str = "predicted") -> DataFrame:
-        """Predicted next close of rows with the six features."""
-        scored = self.trees.setFeaturesCol("_inputs").setPredictionCol("_relative") \
-            .transform(_inputs(rows, self.stats))
-        value = F.col("ma_7") * (1 + F.col("_relative"))
-        return scored.withColumn(output, value).drop("_inputs", "_relative")
+    def whole(self) -> BoostedModel:
+        return BoostedModel(self.trees.where("key = -1"), self.bases)
 
-    def save(self, path: str) -> None:
-        self.trees.write().overwrite().save(f"{path}/trees")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    def predict_out_of_fold(self, rows: DataFrame, output: str) -> DataFrame:
+        """Rows with a ``fold``, each predicted by the trees that did not see its fold."""
+        return predict_trees(rows, self.trees.where("key >= 0"), self.bases, key=F.col("fold"), output=output)
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "BoostedModel":
-        return cls(GBTRegressionModel.load(f"{path}/trees"), spark.read.parquet(f"{path}/stats"))
 
+def mean_targets(train: DataFrame, folds: int = 0) -> DataFrame:
+    """Per instrument the mean target of all rows, then of those outside each fold."""
+    def outside(fold: int) -> Column:
+        return F.coalesce(F.avg(F.when(F.col("fold") != fold, F.col("target"))), F.lit(0.0))
 
-def _fit(regressor, train: DataFrame) -> tuple:
-    stats = written_once(_instrument_stats(train))
-    rows = _inputs(train, stats).withColumn("_target", _relative_target())
-    labelled = rows.where(F.col("_target").isNotNull()).select("_inputs", "_target")
-    return regressor.setFeaturesCol("_inputs").setLabelCol("_target").fit(labelled), stats
+    return written_once(train.groupBy("stock_id").agg(
+        F.array(F.avg("target"), *[outside(f) for f in range(folds)]).alias("base")))
 
 
 def fit_boosted(
     train: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP,
-    seed: int = SEED,
+    block_rows: int = BLOCK_ROWS,
 ) -> BoostedModel:
-    trees = GBTRegressor(
-        maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, checkpointInterval=10)
-    return BoostedModel(*_fit(trees, train))
+    """Rounds of second-order boosting from the mean target, with quantile bins and a penalty of 1 on leaves."""
+    bases = mean_targets(train)
+    return BoostedModel(fit_trees(train, Boosting(rounds, depth, step), bases, block_rows=block_rows), bases)
+
+
+def fit_folds(
+    train: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP,
+    block_rows: int = BLOCK_ROWS,
+) -> FoldedModel:
+    """The boosted model and one without each fold, grown together: a fold is a further key of the sums."""
+    bases = mean_targets(train, FOLDS)
+    growth = Boosting(rounds, depth, step, keys=(-1, *range(FOLDS)))
+    return FoldedModel(fit_trees(train, growth, bases, block_rows=block_rows), bases)
 
 
 def fit_forest(
-    train: DataFrame, trees: int = ROUNDS, depth: int = DEPTH, seed: int = SEED
+    train: DataFrame, trees: int = ROUNDS, depth: int = FOREST_DEPTH, seed: int = SEED,
+    block_rows: int = BLOCK_ROWS,
 ) -> BoostedModel:
-    """The optional random forest; it is not among the registered models."""
-    return BoostedModel(*_fit(
-        RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed), train))
+    """The optional random forest: trees on rows weighted by hashed Poisson numbers, leaves their averages."""
+    bases = mean_targets(train)
+    return BoostedModel(fit_trees(train, Forest(trees, depth, seed), bases, block_rows=block_rows), bases)

@@ -135,56 +135,64 @@ def predict_linear(
     )
 
 
+def _ridge_solver(n: int, alphas: Sequence[float]):
+    """For each penalty the inverse of the penalised products, row by row, and the slopes."""
+    pairs = _pairs(n)
+
+    @F.pandas_udf("array<array<double>>")
+    def solve(sums: pd.Series) -> pd.Series:
+        if sums.empty:
+            return pd.Series([], dtype=object)
+        a = np.vstack([np.asarray(s, dtype=float) for s in sums])
+        products = np.zeros((len(a), n, n))
+        for k, (i, j) in enumerate(pairs):
+            products[:, i, j] = products[:, j, i] = a[:, k]
+        parts = []
+        for alpha in alphas:
+            inverse = np.linalg.inv(products + alpha * np.eye(n))
+            slopes = np.einsum("gij,gj->gi", inverse, a[:, len(pairs):])
+            parts.append(np.column_stack([inverse.reshape(len(a), -1), slopes]))
+        return pd.Series([[p[g].tolist() for p in parts] for g in range(len(a))])
+
+    return solve
+
+
 def fit_ridge(
     rows: DataFrame, features: Sequence[str], target: str = "target",
     alphas: Sequence[float] = ALPHAS,
 ) -> DataFrame:
-    """Ridge on two features per instrument, its penalty chosen by leave-one-out error.
+    """Ridge per instrument on any number of features, its penalty chosen by leave-one-out error.
 
     The leave-one-out error of a row is its residual divided by one minus its leverage, an
-    expression of the row and the instrument's sums; ties go to the smaller penalty.
+    expression of the row and the instrument's sums; ties go to the smaller penalty. Penalties must be above 0.
     """
-    a, b = features
-    sums = rows.groupBy("stock_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.avg(target).alias("_my"))
-    x, z, y = F.col(a) - F.col("_ma"), F.col(b) - F.col("_mb"), F.col(target) - F.col("_my")
-    centred = join_per_stock(rows, sums).withColumns({"_x": x, "_z": z, "_y": y})
-    products = centred.groupBy("stock_id").agg(
-        F.sum(F.col("_x") * F.col("_x")).alias("_xx"),
-        F.sum(F.col("_x") * F.col("_z")).alias("_xz"),
-        F.sum(F.col("_z") * F.col("_z")).alias("_zz"),
-        F.sum(F.col("_x") * F.col("_y")).alias("_xy"),
-        F.sum(F.col("_z") * F.col("_y")).alias("_zy"))
-    models = written_once(
-        products.join(sums, "stock_id")
-        .withColumn("alpha", F.explode(F.array(*[F.lit(v) for v in alphas])))
-        .withColumns({
-            "_pa": F.col("_xx") + F.col("alpha"), "_pb": F.col("_zz") + F.col("alpha")})
-        .withColumn("_det", F.col("_pa") * F.col("_pb") - F.col("_xz") * F.col("_xz"))
-        .withColumns({
-            "_wa": (F.col("_pb") * F.col("_xy") - F.col("_xz") * F.col("_zy")) / F.col("_det"),
-            "_wb": (F.col("_pa") * F.col("_zy") - F.col("_xz") * F.col("_xy")) / F.col("_det"),
-        })
-    )
-    leverage = 1 / F.col("_n") + (
-        F.col("_pb") * F.col("_x") * F.col("_x")
-        - 2 * F.col("_xz") * F.col("_x") * F.col("_z")
-        + F.col("_pa") * F.col("_z") * F.col("_z")) / F.col("_det")
-    residual = F.col("_y") - F.col("_wa") * F.col("_x") - F.col("_wb") * F.col("_z")
-    left_out = F.try_divide(residual, 1 - leverage)
-    # One row per instrument with its three candidates: a fixed number of pairs per row.
-    candidates = models.groupBy("stock_id").agg(F.collect_list(F.struct(
-        "alpha", "_n", "_xz", "_pa", "_pb", "_det", "_wa", "_wb")).alias("_models"))
-    errors = (
-        join_per_stock(centred.select("stock_id", "_x", "_z", "_y"), candidates)
-        .withColumn("_m", F.explode("_models"))
-        .select("stock_id", "_x", "_z", "_y", "_m.*")
-        .groupBy("stock_id", "alpha").agg(F.sum(left_out * left_out).alias("_loo"))
-    )
-    chosen = errors.groupBy("stock_id").agg(
-        F.min(F.struct("_loo", "alpha")).alias("_best")).select("stock_id", "_best.alpha")
-    return models.join(chosen, ["stock_id", "alpha"]).select(
-        "stock_id", "alpha", F.array("_wa", "_wb").alias("coefficients"),
-        (F.col("_my") - F.col("_wa") * F.col("_ma") - F.col("_wb") * F.col("_mb"))
-        .alias("intercept"))
+    n, alphas = len(features), sorted(alphas)
+    means = written_once(rows.groupBy("stock_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(target).alias("_my"),
+        *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(features)]))
+    x, y = [F.col(f"_x{i}") for i in range(n)], F.col("_y")
+    centred = join_per_stock(rows, means).withColumns({
+        "_y": F.col(target) - F.col("_my"),
+        **{f"_x{i}": F.col(c) - F.col(f"_m{i}") for i, c in enumerate(features)}})
+    products = centred.groupBy("stock_id").agg(F.array(
+        *[F.sum(x[i] * x[j]) for i, j in _pairs(n)], *[F.sum(x[i] * y) for i in range(n)]).alias("_sums"))
+    solved = written_once(products.select(
+        "stock_id", _ridge_solver(n, alphas)("_sums").alias("_solved")))
+
+    def left_out(k: int) -> Column:
+        values = F.col("_solved")[k]
+        spread = sum((values[i * n + j] * x[i] * x[j] for i in range(n) for j in range(n)), 1 / F.col("_n"))
+        residual = sum((-values[n * n + i] * x[i] for i in range(n)), y)
+        return F.try_divide(residual, 1 - spread)
+
+    errors = join_per_stock(centred, solved).groupBy("stock_id").agg(*[
+        F.coalesce(F.sum(left_out(k) * left_out(k)), F.lit(float("inf"))).alias(f"_e{k}")
+        for k in range(len(alphas))])
+    best = F.array_min(F.array(*[F.struct(F.col(f"_e{k}").alias("e"), F.lit(k).alias("k"))
+                                 for k in range(len(alphas))]))["k"]
+    chosen = errors.select("stock_id", best.alias("_k")).join(solved, "stock_id").join(means, "stock_id")
+    slopes = F.slice(F.col("_solved")[F.col("_k")], n * n + 1, n)
+    shift = sum((slopes[i] * F.col(f"_m{i}") for i in range(n)), F.lit(0.0))
+    return chosen.select(
+        "stock_id", F.array(*[F.lit(float(a)) for a in alphas])[F.col("_k")].alias("alpha"),
+        slopes.alias("coefficients"), (F.col("_my") - shift).alias("intercept"))

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom import schemas
 from tickloom.functions import scalars as S
 from tickloom.operators import (
-    anomaly, capital_flow as flow, cleaning, dashboard, features as feat, joins, linear, models,
-    quality, training,
+    anomaly, boosting, capital_flow as flow, cleaning, dashboard, features as feat, joins, linear, models,
+    quality, training, trees,
 )
 from tickloom.plans import jobs, mapping as m
 from tickloom.session import scratch_path, written_once
@@ -28,7 +28,6 @@ QUERIES: dict[str, Query] = {}
 AS_OF = dt.date(2001, 11, 1)
 CUT, OVERLAP = dt.date(1999, 1, 1), dt.date(1998, 1, 1)
 ONE_STOCK = 7
-FAST_TREES = {"rounds": 5, "depth": 4}
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -248,15 +247,23 @@ def append_anomalies(spark, sf_dir):
 
 @query("model_store")
 def model_store(spark, sf_dir):
+    """Two weeks of models, the second only of even ids: versions, and predictions against the fitted models."""
     folder = scratch_path(spark, "models")
     split = _stored_split(spark, sf_dir)
-    model = models.train_linear(split.where("is_train"))
-    models.save_model(model, folder, "linear_regression")
+    even = F.col("stock_id") % 2 == 0
+    first = models.train_linear(split.where("is_train"))
+    second = models.train_linear(split.where(even))
+    models.save_model(first, folder, "linear_regression", m.LOADED_AT)
+    models.save_model(second, folder, "linear_regression", m.LOADED_AT + dt.timedelta(days=7))
+    fitted = models.LinearModel(second.table.unionByName(first.table.where(~even)))
     again = models.load_model(spark, folder, "linear_regression")
-    both = again.predict(model.predict(split, "before"), "after")
-    return both.groupBy("stock_id").agg(
+    both = again.predict(fitted.predict(split, "before"), "after")
+    found = both.groupBy("stock_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.max(F.abs(F.col("after") - F.col("before"))).alias("max_difference"))
+    newest = models.newest_versions(spark, folder, "linear_regression").select(
+        "stock_id", "version", F.col("trained_at").cast("date").alias("trained_on"))
+    return found.join(newest, "stock_id")
 
 
 # --- cleaning and quality --------------------------------------------------------------------
@@ -670,6 +677,14 @@ def train_linear(spark, sf_dir):
     return fitted.select("stock_id", *names, "intercept")
 
 
+@query("train_linear_fitted")
+def train_linear_fitted(spark, sf_dir):
+    """What the fit on all six features makes of its training rows, to a ten-thousandth."""
+    train = _stored_split(spark, sf_dir).where("is_train")
+    scored = models.train_linear(train).predict(train, "fitted")
+    return rounded(scored.select("stock_id", "trade_date", "fitted"), 4)
+
+
 @query("train_linear_averages")
 def train_linear_averages(spark, sf_dir):
     two = ("ma_7", "ma_30")
@@ -682,17 +697,34 @@ def train_linear_averages(spark, sf_dir):
 @query("train_boosted")
 def train_boosted(spark, sf_dir):
     split = _stored_split(spark, sf_dir)
-    _, metrics = models.train_models(split, ("xgboost",), **FAST_TREES)
+    _, metrics = models.train_models(split, ("xgboost",))
     return metrics
 
 
 @query("train_stacking")
 def train_stacking(spark, sf_dir):
     split = _stored_split(spark, sf_dir)
-    _, metrics = models.train_models(split, ("stacking",), **FAST_TREES)
+    _, metrics = models.train_models(split, ("stacking",))
+    return metrics
+
+
+@query("train_forest")
+def train_forest(spark, sf_dir):
+    split = _stored_split(spark, sf_dir)
+    _, metrics = models.train_models(split, ("random_forest",), models.WITH_FOREST)
     return metrics
 
 
+@query("train_boosted_round")
+def train_boosted_round(spark, sf_dir):
+    """One round of trees of one level on the two averages: what each training row is predicted."""
+    train = _stored_split(spark, sf_dir).where("is_train")
+    bases = boosting.mean_targets(train)
+    grown = trees.fit_trees(train, trees.Boosting(1, 1, boosting.STEP), bases, ("ma_7", "ma_30"))
+    scored = trees.predict_trees(train, grown, bases, ("ma_7", "ma_30"))
+    return rounded(scored.select("stock_id", "trade_date", "predicted"))
+
+
 @query("train_stacking_ridge")
 def train_stacking_ridge(spark, sf_dir):
     ridge = linear.fit_ridge(_stored_split(spark, sf_dir).where("is_train"), ("ma_7", "ma_30"))
@@ -807,7 +839,7 @@ def _stored(spark, sf_dir, until: dt.date) -> tuple[jobs.Store, DataFrame]:
 @query("job_weekly_train")
 def job_weekly_train(spark, sf_dir):
     store, _ = _stored(spark, sf_dir, AS_OF)
-    _, best = jobs.weekly_training(spark, store, **FAST_TREES)
+    _, best = jobs.weekly_training(spark, store)
     return best
 
 

@@ -198,6 +198,22 @@ _PARTS: dict[str, tuple[str, str]] = {
         SELECT r.stock_id, alpha, sum(pow((y - wa * x - wb * z) / (1 - 1.0 / r.n
                - (pb * x * x - 2 * xz * x * z + pa * z * z) / (pa * pb - xz * xz)), 2)) AS loo
         FROM centred c JOIN ridges r ON c.stock_id = r.stock_id GROUP BY r.stock_id, alpha"""),
+    # The best of all cuts at 256-quantiles of two columns, by second-order gain.
+    "cut_rows": ("split", """
+        SELECT stock_id, trade_date, b, b - target AS g, f, v
+        FROM (SELECT *, avg(target) OVER (PARTITION BY stock_id) AS b FROM split WHERE is_train),
+             LATERAL (VALUES (0, ma_7), (1, ma_30)) x(f, v)"""),
+    "cuts": ("cut_rows", """
+        SELECT DISTINCT stock_id, f, vs[CAST(ceil(k / 256.0::DOUBLE * len(vs)) AS BIGINT)] AS cut
+        FROM (SELECT stock_id, f, list(v ORDER BY v) AS vs FROM cut_rows GROUP BY stock_id, f),
+             range(1, 256) r(k)"""),
+    "cut_gains": ("cut_rows cuts", """
+        SELECT *, lg * lg / (lh + 1) + rg * rg / (rh + 1) - pow(lg + rg, 2) / (lh + rh + 1) AS gain
+        FROM (SELECT c.stock_id, c.f, cut, sum(g) FILTER (v <= cut) AS lg, count(*) FILTER (v <= cut) AS lh,
+                     sum(g) FILTER (v > cut) AS rg, count(*) FILTER (v > cut) AS rh
+              FROM cuts c JOIN cut_rows r ON c.stock_id = r.stock_id AND c.f = r.f GROUP BY c.stock_id, c.f, cut)
+        WHERE lh >= 1 AND rh >= 1
+        QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY gain DESC, f, cut) = 1"""),
     "volume_changes": ("features bars", """
         SELECT b.stock_id, b.trade_date, b.close AS close_price, b.volume, f.daily_return,
                f.volatility, count(*) OVER (PARTITION BY b.stock_id) AS joined_rows,
@@ -249,6 +265,22 @@ def _with(needed: str, body: str) -> str:
     return f"WITH {parts}\n{body.strip()}"
 
 
+def _fitted_linear() -> str:
+    """Fitted values of least squares on the six features, by making the columns orthogonal one after the other."""
+    names = [f"x{i}" for i in range(len(FEATURE_COLUMNS))]
+    columns = [*zip(names, FEATURE_COLUMNS), ("y", "target")]
+    steps = ["o0 AS (SELECT stock_id, trade_date, target, " + ", ".join(
+        f"{c} - avg({c}) OVER (PARTITION BY stock_id) AS {n}" for n, c in columns) + " FROM split WHERE is_train)"]
+    for i, name in enumerate(names):
+        rest = [*names[i + 1:], "y"]
+        steps.append(f"o{i + 1} AS (SELECT stock_id, trade_date, target, " + ", ".join(
+            f"{n} - {name} * coalesce(sum({n} * {name}) OVER w / NULLIF(sum({name} * {name}) OVER w, 0), 0) AS {n}"
+            for n in rest) + f" FROM o{i} WINDOW w AS (PARTITION BY stock_id))")
+    body = f"SELECT stock_id, trade_date, {r('target - y', 4, 'fitted')} FROM o{len(names)}"
+    whole = _with("split", "")
+    return ",\n".join([whole.rstrip(), *steps]) + "\n" + body
+
+
 def r(expression: str, places: int = 6, name: str = "") -> str:
     """A rounded column; negative zero becomes zero."""
     scale = f"{10 ** places}::DOUBLE"
@@ -613,6 +645,17 @@ def oracles() -> dict[str, str]:
                    {r('my - w_ma_7 * ma - w_ma_30 * mb', name='intercept')}
             FROM (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS w_ma_7,
                          (xx * zy - xz * xy) / (xx * zz - xz * xz) AS w_ma_30 FROM products)"""),
+        "train_linear_fitted": _fitted_linear(),
+        "train_boosted_round": _with("cut_gains", f"""
+            SELECT stock_id, trade_date, {r('b - 0.3 * CASE WHEN gain > 1e-6 THEN'
+                ' CASE WHEN v <= cut THEN lg / (lh + 1) ELSE rg / (rh + 1) END'
+                ' ELSE (lg + rg) / (lh + rh + 1) END', name='predicted')}
+            FROM cut_rows JOIN cut_gains USING (stock_id, f)"""),
+        "model_store": _with("split", """
+            SELECT stock_id, count(*) AS "rows", 0.0::DOUBLE AS max_difference,
+                   CASE WHEN stock_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS version,
+                   CASE WHEN stock_id % 2 = 0 THEN DATE '2024-01-08' ELSE DATE '2024-01-01' END AS trained_on
+            FROM split GROUP BY stock_id"""),
         "train_stacking_ridge": _with("ridges left_out", f"""
             SELECT r.stock_id, r.alpha, {r('wa', name='w_ma_7')}, {r('wb', name='w_ma_30')},
                    {r('my - wa * ma - wb * mb', name='intercept')}
