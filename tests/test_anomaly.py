@@ -44,6 +44,27 @@ def test_exact_quantile(spark, share):
         assert r["quantile"] == pytest.approx(np.quantile(groups[r.stock_id], share), abs=1e-12)
 
 
+def test_quantile_under_skew(spark):
+    # One far outlier, a million equal values, values that lie ever closer together, and the widest range.
+    rows = spark.range(1_000_000).select(F.lit(1).alias("stock_id"), F.lit(0.25).alias("raw")).unionByName(
+        spark.createDataFrame(
+            [(1, -1e9), (2, 1e300), (5, None), *[(2, float(v)) for v in range(1000)],
+             *[(3, 2.0 ** -k) for k in range(60)], (4, -1.7e308), (4, 1.7e308), (4, 0.0)],
+            "stock_id int, raw double"))
+    for buckets in (64, 4096):
+        if buckets == 64:
+            rows_used = rows.where("stock_id in (2, 4)")
+        else:
+            rows_used = rows
+        got = {r.stock_id: r["quantile"] for r in exact_quantile(
+            rows_used, "stock_id", "raw", 0.05, buckets).collect()}
+        if buckets > 64:
+            assert got.pop(1) == 0.25
+            assert got.pop(3) == pytest.approx(
+                np.quantile([2.0 ** -k for k in range(60)], 0.05), rel=1e-12)
+        assert got == {2: pytest.approx(50.0), 4: pytest.approx(-1.7e308 * 0.9)}
+
+
 def test_flags_on_given_scores(spark):
     rows = [(1, None, float(v)) for v in (1, 2, 3, 4)]
     raw = spark.createDataFrame(rows, "stock_id int, trade_date date, raw double")
@@ -58,6 +79,61 @@ def test_samples_are_whole(frame):
     assert sizes.count() == 60
 
 
+def test_drawn_places(spark):
+    sizes = spark.createDataFrame([(1, 10**12), (2, 300), (3, 5)], "stock_id int, total bigint")
+    drawn = anomaly.drawn_places(sizes, trees=40).toPandas()
+    for (stock_id, _), part in drawn.groupby(["stock_id", "tree"]):
+        total = {1: 10**12, 2: 300, 3: 5}[stock_id]
+        assert len(part) == min(256, total) == part["position"].nunique() == part["_rank"].max()
+        assert part["position"].between(1, total).all()
+    # All places come about equally often.
+    counts = drawn[drawn["stock_id"] == 2]["position"].value_counts()
+    assert len(counts) == 300 and counts.mean() == pytest.approx(40 * 256 / 300)
+
+
+def plain_tree(points, random, depth):
+    """A tree grown by recursion, right sides first."""
+    def grown(level, part):
+        low, high = part.min(axis=0), part.max(axis=0)
+        varying = [f for f in range(part.shape[1]) if high[f] > low[f]]
+        if level == depth or len(part) < 2 or not varying:
+            return ("leaf", level + float(anomaly.average_path(len(part))))
+        f = random.choice(varying)
+        cut = random.uniform(low[f], high[f])
+        left = part[:, f] <= cut
+        right = grown(level + 1, part[~left])
+        return ("split", f, cut, grown(level + 1, part[left]), right)
+
+    return grown(0, points)
+
+
+def test_forest_equals_plain_numpy(frame):
+    trees = 6
+    sample = anomaly.sample_for_trees(frame, trees=trees).toPandas()
+    columns = list(anomaly.ANOMALY_FEATURES)
+    whole = written_once(anomaly.score_forest(frame, anomaly.grow_forest(
+        anomaly.sample_for_trees(frame, trees=trees)))).toPandas()
+    for stock_id in (2, 3):
+        rows = frame.where(f"stock_id = {stock_id}").toPandas()
+        total, usual = np.zeros(len(rows)), 0.0
+        for tree in range(trees):
+            own = sample[(sample["stock_id"] == stock_id) & (sample["tree"] == tree)].sort_values("_rank")
+            points = own[columns].to_numpy(float)
+            random = np.random.default_rng([anomaly.SEED, stock_id, tree])
+            root = plain_tree(points, random, int(np.ceil(np.log2(len(points)))))
+            usual += float(anomaly.average_path(len(points)))
+            for i, x in enumerate(rows[columns].to_numpy(float)):
+                node = root
+                while node[0] == "split":
+                    node = node[3] if x[node[1]] <= node[2] else node[4]
+                total[i] += node[1]
+        want = dict(zip(rows["trade_date"], -(2.0 ** (-total / usual))))
+        got = whole[whole["stock_id"] == stock_id]
+        assert len(got) == len(want)
+        for day, raw in zip(got["trade_date"], got["raw"]):
+            assert raw == pytest.approx(want[day], rel=1e-12)
+
+
 def test_forest(spark, frame):
     scored = written_once(anomaly.isolation_forest(frame, trees=30))
     by_stock = scored.groupBy("stock_id").agg(

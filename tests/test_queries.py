@@ -42,8 +42,8 @@ def test_names():
     assert set(QUERIES) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert set(QUERIES) - set(ORACLES) == {
-        "model_store", "train_linear", "train_boosted", "train_stacking", "isolation_forest",
-        "detect_anomalies", "job_weekly_train", "job_daily"}
+        "train_linear", "train_boosted", "train_stacking", "train_forest", "isolation_forest",
+        "job_weekly_train"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.operators.features import change_since_known, last_known
@@ -50,28 +53,42 @@ def anomaly_frame(joined: DataFrame, series: Series = DAYS) -> DataFrame:
         counts.where(F.col("rows") >= MIN_ROWS), "stock_id")
 
 
+def drawn_places(
+    sizes: DataFrame, trees: int = TREES, sample: int = SAMPLE_ROWS, seed: int = SEED
+) -> DataFrame:
+    """For each instrument and tree ``sample`` distinct positions from 1 to ``total``, or all, in drawn order.
+
+    Drawing takes as long as the sample is large, whatever ``total`` is.
+    """
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stock_id, tree, total in zip(*(c.to_pylist() for c in batch.columns)):
+                random = np.random.default_rng([seed, stock_id, tree, 1])
+                places = random.choice(total, min(sample, total), replace=False, shuffle=True) + 1
+                count = len(places)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(count, stock_id, np.int32)), pa.array(np.full(count, tree, np.int32)),
+                     pa.array(places.astype(np.int64)), pa.array(np.arange(1, count + 1, dtype=np.int32))],
+                    ["stock_id", "tree", "position", "_rank"])
+
+    each = sizes.select("stock_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
+                        F.col("total").cast("bigint"))
+    return each.mapInArrow(draw, "stock_id int, tree int, position bigint, _rank int")
+
+
 def sample_for_trees(
-    frame: DataFrame, trees: int = TREES, sample: int = SAMPLE_ROWS, seed: int = SEED
+    frame: DataFrame, trees: int = TREES, sample: int = SAMPLE_ROWS, seed: int = SEED,
+    series: Series = DAYS,
 ) -> DataFrame:
-    """For each instrument and tree the ``sample`` rows of lowest hash, a random subset.
+    """For each instrument and tree a random subset of ``sample`` rows.
 
-    A row only meets the trees for which its hash is low enough to matter, so the rows are not
-    multiplied by the number of trees. The margin is eight standard deviations of the number of
-    rows below the limit.
+    Rows get their positions block by block and are joined once with the positions drawn for all trees.
     """
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "stock_id", "trade_date", "tree"), F.lit(1 << 40))
-    limit = (sample + 8 * sample ** 0.5) / F.col("rows") * (1 << 40)
-    candidates = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.lit(seed), "stock_id", "trade_date", t),
-                         F.lit(1 << 40)) < limit)
-    drawn = (
-        frame.select("stock_id", "trade_date", *ANOMALY_FEATURES,
-                     F.explode(candidates).alias("tree"))
-        .withColumn("_hash", hashed)
-    )
-    lowest = W.partitionBy("stock_id", "tree").orderBy("_hash", "trade_date")
-    return drawn.withColumn("_rank", F.row_number().over(lowest)).where(F.col("_rank") <= sample)
+    placed = written_once(series.positions(frame.select("stock_id", "trade_date", *ANOMALY_FEATURES)))
+    sizes = placed.groupBy("stock_id").agg(F.max("position").alias("total"))
+    drawn = drawn_places(sizes, trees, sample, seed)
+    return placed.drop("total").withColumn("position", F.col("position").cast("bigint")).join(
+        drawn, ["stock_id", "position"])
 
 
 def average_path(n):

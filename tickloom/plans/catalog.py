@@ -794,7 +794,7 @@ def anomaly_frame(spark, sf_dir):
 @query("isolation_forest")
 def isolation_forest(spark, sf_dir):
     return rounded(anomaly.isolation_forest(
-        anomaly.anomaly_frame(_anomaly_joined(spark, sf_dir)), trees=20))
+        anomaly.anomaly_frame(_anomaly_joined(spark, sf_dir))))
 
 
 @query("anomaly_flags")
@@ -823,33 +823,39 @@ def job_backfill(spark, sf_dir):
         spark, store, candle_payloads(bars), brands, loaded_at=m.LOADED_AT))
 
 
-def _stored(spark, sf_dir, until: dt.date) -> tuple[jobs.Store, DataFrame]:
-    """A store filled up to a date, and the feed of the days after."""
+def _stored(spark, sf_dir) -> tuple[jobs.Store, DataFrame, dt.date]:
+    """A store filled up to the day before the last, and the feed and date of the last day."""
     store = jobs.Store(scratch_path(spark, "market"))
     bars = written_once(m.symbol_bars(spark, sf_dir))
     brands = m.stocks(spark, sf_dir).select("symbol", "company_name")
-    early = bars.where(F.col("trade_date") <= F.lit(until))
+    last = bars.agg(F.max("trade_date")).first()[0]
+    early = bars.where(F.col("trade_date") < F.lit(last))
     jobs.backfill(spark, store, candle_payloads(early), brands, loaded_at=m.LOADED_AT)
-    later = bars.where(F.col("trade_date") > F.lit(until)).select(
+    later = bars.where(F.col("trade_date") >= F.lit(last)).select(
         F.lit(0).cast("bigint").alias("seq"), "symbol", F.col("trade_date").alias("date"),
         *schemas.OHLCV)
-    return store, later
+    return store, later, last
 
 
 @query("job_weekly_train")
 def job_weekly_train(spark, sf_dir):
-    store, _ = _stored(spark, sf_dir, AS_OF)
+    store = jobs.Store(scratch_path(spark, "market"))
+    bars = written_once(m.symbol_bars(spark, sf_dir))
+    brands = m.stocks(spark, sf_dir).select("symbol", "company_name")
+    jobs.backfill(spark, store, candle_payloads(bars), brands, loaded_at=m.LOADED_AT)
     _, best = jobs.weekly_training(spark, store)
     return best
 
 
 @query("job_daily")
 def job_daily(spark, sf_dir):
-    store, later = _stored(spark, sf_dir, AS_OF - dt.timedelta(days=1))
-    jobs.weekly_training(spark, store, ("linear_regression",))
-    predictions, anomalies = jobs.daily_update(
-        spark, store, later, AS_OF, ("linear_regression",), trees=20, loaded_at=m.LOADED_AT)
-    predicted = predictions.groupBy("stock_id").agg(F.count(F.lit(1)).alias("predictions"))
+    """The last day, on a store that holds all days before it, with all models and trees."""
+    store, later, last = _stored(spark, sf_dir)
+    jobs.weekly_training(spark, store)
+    predictions, anomalies = jobs.daily_update(spark, store, later, last, loaded_at=m.LOADED_AT)
+    predicted = predictions.groupBy("stock_id").agg(
+        F.count(F.lit(1)).alias("predictions"), F.count_distinct("model_name").alias("models"),
+        F.min("prediction_date").alias("first_day"), F.max("prediction_date").alias("last_day"))
     scored = anomalies.groupBy("stock_id").agg(
         F.count(F.lit(1)).alias("scored"), F.count_if("anomaly_flag").alias("anomalies"))
     return predicted.join(scored, "stock_id", "full")

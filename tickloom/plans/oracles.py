@@ -247,6 +247,10 @@ _PARTS: dict[str, tuple[str, str]] = {
 }
 
 
+#: How many of count(*) distinct values are less than their interpolated 5th percentile.
+BELOW_QUANTILE = "CAST(ceil((count(*) - 1) * 0.05::DOUBLE) AS BIGINT)"
+
+
 def _with(needed: str, body: str) -> str:
     """The statement with the common table expressions it needs, in order of dependence."""
     order: list[str] = []
@@ -707,6 +711,20 @@ def oracles() -> dict[str, str]:
                   FROM features)
             WHERE r <= 8 AND daily_return IS NOT NULL AND volatility IS NOT NULL
               AND capital_flow_indicator IS NOT NULL"""),
+        # As many scores lie below their 5th percentile as there are places before it.
+        "detect_anomalies": _with("anomaly_rows", f"""
+            SELECT stock_id, count(*) AS "rows", {BELOW_QUANTILE} AS anomalies FROM anomaly_rows GROUP BY stock_id"""),
+        "job_daily": _with("features anomaly_rows", f"""
+            SELECT stock_id, predictions, models, first_day, last_day, scored, anomalies
+            FROM (SELECT stock_id, 3 * count(*) AS predictions, 3 AS models, min(day) AS first_day,
+                         max(day) AS last_day
+                  FROM (SELECT *, row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) AS r,
+                               CAST(trade_date + CASE dayofweek(trade_date) WHEN 5 THEN 3
+                                    WHEN 6 THEN 2 ELSE 1 END AS DATE) AS day FROM features)
+                  WHERE r <= 8 AND daily_return IS NOT NULL AND volatility IS NOT NULL
+                    AND capital_flow_indicator IS NOT NULL GROUP BY stock_id)
+            FULL JOIN (SELECT stock_id, count(*) AS scored, {BELOW_QUANTILE} AS anomalies
+                       FROM anomaly_rows GROUP BY stock_id) USING (stock_id)"""),
         "volume_change_pct": _with("volume_changes", f"""
             SELECT stock_id, trade_date, {r('volume_change_pct')} FROM volume_changes"""),
         "anomaly_frame": _with("anomaly_rows", f"""
