@@ -195,13 +195,13 @@ token AS (SELECT doc_id, place, word, count(*) AS n FROM (SELECT doc_id, place,
     WHERE word <> '' GROUP BY ALL),
 size AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT word, ln((any_value(size.n) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf
-    FROM (SELECT DISTINCT word FROM part) LEFT JOIN (SELECT DISTINCT doc_id, word FROM token) USING (word),
+    FROM (SELECT doc_id, word FROM token UNION SELECT NULL, word FROM part),
     size GROUP BY word),
 raw AS (SELECT license, word, count(*) * any_value(idf) AS v FROM part JOIN idf USING (word)
     GROUP BY license, word),
 vector AS (SELECT license, word, v / sqrt(sum(v * v) OVER (PARTITION BY license)) AS v FROM raw),
-norm AS (SELECT doc_id, place, sqrt(sum((token.n * coalesce(idf, ln(size.n + 1) + 1)) ** 2)) AS norm
-    FROM token LEFT JOIN idf USING (word), size GROUP BY doc_id, place),
+norm AS (SELECT doc_id, place, sqrt(sum((token.n * idf) ** 2)) AS norm
+    FROM token JOIN idf USING (word) GROUP BY doc_id, place),
 score AS (SELECT doc_id, place, license, sum(n * idf * v) / any_value(norm) AS score
     FROM token JOIN idf USING (word) JOIN vector USING (word) JOIN norm USING (doc_id, place)
     GROUP BY doc_id, place, license),
