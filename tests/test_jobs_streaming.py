@@ -120,6 +120,25 @@ def test_backlog_in_any_order_loses_nothing(spark):
     assert read_table(spark, path, stream.BAR_SCHEMA).count() == want > 0
 
 
+def test_repeated_deliveries_count_once(spark):
+    """Files twice, in any order, in several batches and from two streams, with ticks that have no id."""
+    folder, path = scratch_path(spark, "ticks"), scratch_path(spark, "bars")
+    plain = ticks(spark, range(6)).withColumn("event_id", F.when(F.col("event_id") % 7 > 0, F.col("event_id")))
+    for day in (5, 0, 3, 0, 1, 4, 2, 5, 3):
+        plain.where(F.dayofmonth("ts") == 1 + day).coalesce(1).write.mode("append").parquet(folder)
+    late = plain.where("hour(ts) = 3")
+    late.coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        stream.stream_upsert(
+            stream.read_ticks(spark, folder, EVENTS, files_per_trigger=4), path, scratch_path(spark, "offsets")
+        ).awaitTermination()
+    want = plain.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("trade_date")).agg(
+        *bar_aggregates("value", F.struct("ts", "event_id"), F.count(F.lit(1))))
+    columns = stream.BAR_SCHEMA.fieldNames()
+    got = read_table(spark, path, stream.BAR_SCHEMA)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def test_first_delivery_of_a_day_counts(spark):
     """Unequal copies of a day in two payloads, in either order."""
     def payload(open_price):

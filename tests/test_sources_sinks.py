@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom import schemas
 from tickloom.operators.joins import join_per_stock, lookup_symbol, symbol_maps
 from tickloom.session import scratch_path
-from tickloom.sinks import tables as sink
+from tickloom.sinks import tables as sink, versions
 from tickloom.sources import payloads, tables as src
 from tickloom.sources.jdbc import jdbc_options
 
@@ -111,7 +111,7 @@ def test_upsert_overwrites_and_touches_only_its_months(spark):
     later = dt.date(2024, 3, 5)
     sink.upsert_prices(spark, path, spark.createDataFrame(
         [price(1, DAY, 10.0), price(1, later, 7.0)], PRICES), schemas.PRICES, AT)
-    march = sorted(f[0] for f in _files(spark, path) if "2024-03" in f[0])
+    march = versions.newest(spark, path).folders["2024-03-01"]
     newer = [price(1, DAY, 11.0, seq=0), price(1, DAY, 12.0, None, seq=1),
              price(1, dt.date(2024, 1, 2), 5.0)]
     for _ in range(2):
@@ -120,7 +120,7 @@ def test_upsert_overwrites_and_touches_only_its_months(spark):
         assert [(r.trade_date, r.close_price, r.volume) for r in rows] == [
             (DAY, 12.0, 0), (dt.date(2024, 1, 2), 5.0, 1), (later, 7.0, 1)]
         assert {r.created_at for r in rows} == {AT}
-    assert sorted(f[0] for f in _files(spark, path) if "2024-03" in f[0]) == march
+    assert versions.newest(spark, path).folders["2024-03-01"] == march
     bounded = sink.read_table(spark, path, schemas.PRICES, first=dt.date(2024, 1, 2),
                               last=dt.date(2024, 2, 1))
     assert [r.close_price for r in bounded.collect()] == [5.0]
@@ -128,8 +128,51 @@ def test_upsert_overwrites_and_touches_only_its_months(spark):
     assert sink.read_table(spark, path, schemas.PRICES).count() == 3
 
 
-def _files(spark, path):
-    return spark.read.parquet(path).select(F.input_file_name()).distinct().collect()
+def test_an_interrupted_upsert_changes_nothing(spark, monkeypatch):
+    path = scratch_path(spark, "prices")
+    days = [DAY, dt.date(2024, 2, 5), dt.date(2024, 3, 5)]
+
+    def put(closes):
+        sink.upsert_prices(spark, path, spark.createDataFrame(
+            [price(1, d, c) for d, c in zip(days, closes)], PRICES), schemas.PRICES, AT)
+
+    def closes(rows):
+        return [r.close_price for r in rows.orderBy("trade_date").collect()]
+
+    put([1.0, 2.0, 3.0])
+    reader = sink.read_table(spark, path, schemas.PRICES)
+    with monkeypatch.context() as broken:
+        broken.setattr(versions, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            put([4.0, 5.0, 6.0])
+    # All months are written by now, but none of them is published.
+    assert closes(sink.read_table(spark, path, schemas.PRICES)) == [1.0, 2.0, 3.0]
+    before = versions.newest(spark, path)
+    for _ in range(2):
+        put([4.0, 5.0, 6.0])
+    assert closes(sink.read_table(spark, path, schemas.PRICES)) == [4.0, 5.0, 6.0]
+    # Who began to read the old version still can.
+    assert closes(reader) == [1.0, 2.0, 3.0]
+    # A second writer who started from the same version does not overwrite the first.
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, path, before, {})
+    assert versions.numbers(spark, path) == [1, 2, 3]
+    assert versions.expire(spark, path, keep=1) == 6 and versions.numbers(spark, path) == [3]
+    assert closes(sink.read_table(spark, path, schemas.PRICES)) == [4.0, 5.0, 6.0]
+
+
+def test_keys_without_order_are_refused(spark):
+    path = scratch_path(spark, "prices")
+    same = [price(1, DAY, 1.0), price(1, DAY, 1.0)]
+    sink.upsert_prices(spark, path, spark.createDataFrame(same, PRICES), schemas.PRICES, AT)
+    with pytest.raises(ValueError, match="without order"):
+        sink.upsert_prices(spark, path, spark.createDataFrame(
+            [price(1, DAY, 1.0), price(1, DAY, 2.0)], PRICES), schemas.PRICES, AT)
+    undated = spark.createDataFrame([price(1, None, 5.0)], PRICES)
+    sink.upsert_prices(spark, path, undated, schemas.PRICES, AT)
+    rows = sink.read_table(spark, path, schemas.PRICES)
+    assert sorted((str(r.trade_date), r.close_price) for r in rows.collect()) == [(str(DAY), 1.0), ("None", 5.0)]
+    assert sink.read_table(spark, path, schemas.PRICES, first=DAY).count() == 1
 
 
 def test_appending_twice(spark):

@@ -19,7 +19,7 @@ from tickloom.operators import (
 from tickloom.plans import jobs, mapping as m
 from tickloom.session import scratch_path, written_once
 from tickloom.sinks import tables as sink
-from tickloom.sources import payloads, tables as src
+from tickloom.sources import deliveries, payloads, tables as src
 from tickloom.streaming import bars as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,36 @@ def resolve_sources(spark, sf_dir):
     return rounded(payloads.resolve_sources(first, bars))
 
 
+@query("failing_deliveries")
+def failing_deliveries(spark, sf_dir):
+    """What is used of four sources, of which three fail in part, and what is quarantined."""
+    bars = written_once(m.symbol_bars(spark, sf_dir))
+    folder = scratch_path(spark, "deliveries")
+    last, tens = F.substring("symbol", -1, 1), F.substring("symbol", -2, 1)
+    # Cut payloads, and answers without data.
+    payload = F.when(last == "2", F.expr("substr(payload, 1, length(payload) - 40)")).when(
+        last == "3", F.lit('{"s":"no_data"}')).otherwise(F.col("payload"))
+    candle_payloads(bars).select("symbol", payload.alias("payload")).write.json(f"{folder}/candles")
+    # Lines that end in the middle.
+    cut = (last == "2") & (tens >= "1") & (F.col("volume") % 10 == 0)
+    fields = [F.col("symbol"), F.date_format("trade_date", "yyyy-MM-dd 00:00:00"),
+              *[F.col(c).cast("string") for c in schemas.OHLCV]]
+    history = bars.select(F.when(cut, F.concat_ws(",", *fields[:4])).otherwise(F.concat_ws(",", *fields)))
+    history.write.text(f"{folder}/history")
+    bars.select("symbol", F.date_format("trade_date", "yyyy-MM-dd").alias("Date"),
+                *[F.col(c).alias(c.capitalize()) for c in schemas.OHLCV]).write.json(f"{folder}/archive")
+    used, quarantine = deliveries.deliver(
+        spark, deliveries.Source("candles", f"{folder}/candles", "candles"),
+        deliveries.Source("absent", f"{folder}/absent", "csv"),
+        deliveries.Source("history", f"{folder}/history", "csv", header=False),
+        deliveries.Source("archive", f"{folder}/archive", "json"))
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_distinct("symbol").alias("symbols")]
+    return used.groupBy("source").agg(F.sum("volume").alias("volume"), *counts).select(
+        "source", F.lit("used").alias("fate"), "rows", "symbols", "volume").unionByName(
+        quarantine.groupBy("source", F.col("reason").alias("fate")).agg(*counts).withColumn(
+            "volume", F.lit(None).cast("bigint")))
+
+
 @query("parse_quotes")
 def parse_quotes(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")

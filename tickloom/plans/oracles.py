@@ -740,6 +740,23 @@ def oracles() -> dict[str, str]:
         "job_backfill": _with("features", f"""
             SELECT stock_id, trade_date, {rs(FEATURES)}, {LOADED_AT} AS created_at
             FROM features"""),
+        "failing_deliveries": _with("symbol_bars", """
+            , b AS (SELECT *, right(symbol, 1) = '2' AS cut, right(symbol, 1) = '3' AS none,
+                         substr(symbol, -2, 1) >= '1' AS two FROM symbol_bars),
+            s AS (SELECT symbol, any_value(cut) AS cut,
+                         any_value(cut) AND any_value(two) AND count_if(volume % 10 = 0) > 0 AS short,
+                         count(DISTINCT year(trade_date)) + 1 AS payloads,
+                         CASE WHEN any_value(cut) OR any_value(none) THEN CASE WHEN any_value(cut)
+                              AND any_value(two) AND count_if(volume % 10 = 0) > 0 THEN 'archive'
+                              ELSE 'history' END ELSE 'candles' END AS source
+                  FROM b GROUP BY symbol)
+            SELECT source, 'used' AS fate, count(*) AS "rows", count(DISTINCT symbol) AS symbols,
+                   CAST(sum(volume) AS BIGINT) AS volume FROM b JOIN s USING (symbol) GROUP BY source
+            UNION ALL SELECT 'absent', 'missing path', 1, 0, NULL
+            UNION ALL SELECT 'candles', 'broken payload', CAST(sum(payloads) AS BIGINT), count(*), NULL FROM s WHERE cut
+            UNION ALL SELECT 'history', CASE WHEN volume % 10 = 0 THEN 'broken line' ELSE 'delivery failed' END,
+                   count(*), count(DISTINCT symbol), NULL
+            FROM b JOIN s USING (symbol) WHERE short GROUP BY volume % 10 = 0"""),
         "stream_bars": _with("event_bars", f"""
             SELECT symbol, trade_date, {rs(OHLC)}, volume FROM event_bars"""),
         "stream_upsert": _with("event_bars", f"""

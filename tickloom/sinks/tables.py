@@ -11,28 +11,31 @@ from pyspark.sql.types import StructType
 
 from tickloom.functions.scalars import known
 from tickloom.schemas import FEATURE_COLUMNS
-from tickloom.session import scratch_path
+from tickloom.session import scratch_path, written_once
+from tickloom.sinks import versions
 
 PRICE_KEY = ("stock_id", "trade_date")
 MONTH = "trade_month"
-PREFIX_LENGTH = 2
+#: The folder of rows without a date, as Spark names it.
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 
 
 def number_symbols(symbols: DataFrame, start: Column | int = 0) -> DataFrame:
     """Consecutive ids after ``start``, in symbol order.
 
-    Symbols are ranked within their leading characters, and only the counts per leading
-    characters are summed up in one place.
+    Symbols are range-partitioned, whatever they have in common, and written once, so that their partitions
+    stay as they are. They are ranked within partitions; only the counts per partition are summed up in one place.
     """
-    prefixed = symbols.select("symbol").distinct().withColumn(
-        "_prefix", F.substring("symbol", 1, PREFIX_LENGTH))
-    counts = prefixed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    smaller = W.orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_prefix", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_o"))
-    rank = F.row_number().over(W.partitionBy("_prefix").orderBy("symbol"))
+    parted = written_once(
+        symbols.select("symbol").where(F.col("symbol").isNotNull()).distinct()
+        .repartitionByRange("symbol").withColumn("_part", F.spark_partition_id()))
+    counts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    smaller = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_o"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy("symbol"))
     base = F.lit(start) if isinstance(start, int) else start
-    return prefixed.join(offsets, "_prefix").select(
-        (base + F.col("_o") + rank).cast("int").alias("stock_id"), "symbol")
+    return parted.withColumn("_rank", rank).join(offsets, "_part").select(
+        (base + F.col("_o") + F.col("_rank")).cast("int").alias("stock_id"), "symbol")
 
 
 def ensure_stocks(stocks: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -91,21 +94,25 @@ def read_table(
 ) -> DataFrame:
     """A stored table, empty if nothing was written yet.
 
-    ``first`` and ``last`` bound the dates; for tables laid out by month other months are not read.
+    ``first`` and ``last`` bound the dates; of tables laid out by month other months are not read. Of a table
+    with versions, the newest when this is called is read, whatever is published afterwards.
     """
+    version = versions.newest(spark, path)
+    folders = None if version is None else [
+        folder for month, folder in sorted(version.folders.items())
+        if (first is None or first.replace(day=1).isoformat() <= month != NO_MONTH)
+        and (last is None or month <= last.replace(day=1).isoformat())]
     try:
-        rows = spark.read.schema(schema).parquet(path)
+        rows = spark.createDataFrame([], schema) if folders == [] else spark.read.schema(schema).parquet(
+            *([path] if folders is None else [f"{path}/{folder}" for folder in folders]))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], schema)
-    by_month = MONTH in rows.columns
     if first is not None:
         rows = rows.where(F.col(date) >= F.lit(first))
-        rows = rows.where(F.col(MONTH) >= month_of(F.lit(first))) if by_month else rows
     if last is not None:
         rows = rows.where(F.col(date) <= F.lit(last))
-        rows = rows.where(F.col(MONTH) <= month_of(F.lit(last))) if by_month else rows
     return rows.select(*schema.fieldNames())
 
 
@@ -113,6 +120,19 @@ def month_of(column: Column | str = "trade_date") -> Column:
     return F.trunc(column, "month")
 
 
+def newest_or_tied(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """The row of each key with the highest ``seq``, and whether unequal rows share it (``_tied``)."""
+    values = [c for c in rows.columns if c not in (*keys, seq)]
+    last = rows.groupBy(*keys).agg(
+        F.max(F.struct(seq, *values)).alias("last"),
+        F.min(F.struct((-F.col(seq)).alias(seq), *values)).alias("other"))
+    tied = ~F.struct(*[F.col("last")[c] for c in values]).eqNullSafe(
+        F.struct(*[F.col("other")[c] for c in values]))
+    return last.select(*[
+        F.col(c) if c in keys else F.col("last")[c].alias(c) for c in rows.columns if c != seq],
+        tied.alias("_tied"))
+
+
 def upsert(
     spark: SparkSession,
     path: str,
@@ -122,30 +142,35 @@ def upsert(
     seq: str = "seq",
     date: str = "trade_date",
 ) -> None:
-    """Merges rows into a Parquet table laid out by month, rewriting only the months touched.
+    """Merges rows into a Parquet table laid out by month, rewriting only the months touched, all or none.
 
-    The incoming rows are computed once, into the shared folder. Merged months are staged there
-    too, so the rewrite reads nothing it replaces and, if cut short, can be repeated. Merging the
-    same rows again changes nothing.
+    The incoming rows are computed once, into the shared folder. Of rows with one key that with the highest
+    ``seq`` counts; if unequal rows share it, the key is not unique and nothing is written. Merged months are
+    written beside those they replace and published together as a new version; until then, readers see the old
+    one in full, and a run that is cut short can be repeated. Merging the same rows again changes nothing.
     """
-    stored = _with_month(schema)
     staged = scratch_path(spark, "upsert")
-    tagged = incoming.withColumn(MONTH, month_of(date)).select(*stored.fieldNames(), seq)
-    newest_rows(tagged, [*keys, MONTH], seq).write.parquet(f"{staged}/incoming")
-    new = spark.read.schema(stored).parquet(f"{staged}/incoming")
+    tagged = incoming.withColumn(MONTH, month_of(date)).select(*schema.fieldNames(), MONTH, seq)
+    newest_or_tied(tagged, [*keys, MONTH], seq).write.parquet(staged)
+    staged_rows = spark.read.schema(_with_month(schema).add("_tied", "boolean")).parquet(staged)
+    broken = staged_rows.where("_tied").select(*keys).first()
+    if broken is not None:
+        raise ValueError(f"several rows without order for the key {tuple(broken)}")
+    new = staged_rows.drop("_tied")
     # One value per calendar month touched, which bounds this list.
-    months = [r[0] for r in new.select(MONTH).distinct().collect()]
+    months = [r[0].isoformat() if r[0] else NO_MONTH for r in new.select(MONTH).distinct().collect()]
     if not months:
         return
-    existing = read_table(spark, path, stored).where(F.col(MONTH).isin(months))
-    if not existing.isEmpty():
-        merged = merge_rows(existing, new.withColumn(seq, F.lit(0)), [*keys, MONTH], seq)
-        merged.write.parquet(f"{staged}/merged")
-        new = spark.read.schema(stored).parquet(f"{staged}/merged")
-    (
-        _by_month(new).write.partitionBy(MONTH).mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
-    )
+    current = versions.newest(spark, path)
+    kept = {} if current is None else dict(current.folders)
+    replaced = [kept[m] for m in sorted(months) if m in kept]
+    if replaced:
+        existing = spark.read.schema(schema).parquet(*[f"{path}/{folder}" for folder in replaced])
+        new = merge_rows(existing.withColumn(MONTH, month_of(date)), new.withColumn(seq, F.lit(0)),
+                         [*keys, MONTH], seq)
+    folder = versions.fresh_folder()
+    _by_month(new).write.partitionBy(MONTH).parquet(f"{path}/{folder}")
+    versions.publish(spark, path, current, {**kept, **{m: f"{folder}/{MONTH}={m}" for m in months}})
 
 
 def _with_month(schema: StructType) -> StructType:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,17 +16,17 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("symbol string, payload string").json(path)
 
 
-def parse_candles(payloads: DataFrame) -> DataFrame:
+def parse_candles(payloads: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Bars from parallel-array candle payloads; other statuses and empty answers give no rows."""
-    parsed = payloads.select("symbol", F.from_json("payload", CANDLE_PAYLOAD).alias("p"))
+    parsed = payloads.select("symbol", *keep, F.from_json("payload", CANDLE_PAYLOAD).alias("p"))
     rows = parsed.where((F.col("p.s") == "ok") & (F.size("p.t") > 0)).select(
-        "symbol",
+        "symbol", *keep,
         F.inline(F.arrays_zip("p.t", "p.o", "p.h", "p.l", "p.c", "p.v")),
     )
     return rows.select(
         "symbol", epoch_to_date("t").alias("date"),
         F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"),
-        F.col("c").alias("close"), F.col("v").alias("volume"),
+        F.col("c").alias("close"), F.col("v").alias("volume"), *keep,
     )
 
 
@@ -40,11 +41,11 @@ def parse_quotes(payloads: DataFrame) -> DataFrame:
     )
 
 
-def history_bars(history: DataFrame) -> DataFrame:
+def history_bars(history: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Renames history columns and keeps the wall-clock date of a zoned or plain timestamp."""
     day = F.substring(F.col("Date").cast("string"), 1, 10).try_cast("date")
     return history.select(
-        "symbol", day.alias("date"), *[F.col(c.capitalize()).alias(c) for c in OHLCV])
+        "symbol", day.alias("date"), *[F.col(c.capitalize()).alias(c) for c in OHLCV], *keep)
 
 
 def read_history(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
