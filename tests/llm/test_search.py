@@ -45,6 +45,21 @@ def test_fewer_candidates_than_wanted_and_no_rows(spark):
     assert H.nearest(frame(spark, []), F.col("vec_id") % 5 == 0, 5).count() == 0
 
 
+def test_ties_go_to_the_smallest_ids(spark):
+    # Parallel vectors, and many directions of few-valued components with one cosine, ids in no order.
+    parallel = [(i, [float(x * 2.0 ** (i % 13) * (3 if i % 2 else 1)) for x in (1, -2, 0, 4, 5, 1, 0, 3)])
+                for i in range(40)]
+    got = H.nearest(frame(spark, parallel[::-1]), F.col("vec_id") == 0, 5).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+    query = (0, [1.0] * 8)
+    one_off = [(1 + (i * 37) % 64, [1.0 if j != i % 8 else 2.0 + i // 8 for j in range(8)]) for i in range(64)]
+    rows = [query, *one_off]
+    got = H.nearest(frame(spark, rows).repartition(5), F.col("vec_id") == 0, 5, recall=1.0).collect()
+    score = {i: round(float(np.sum(v) / np.sqrt(8 * np.sum(np.square(v)))), 12) for i, v in one_off}
+    want = sorted(score, key=lambda i: (-score[i], i))[:5]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 def test_recall(spark):
     draw = np.random.default_rng(8)
     rows = [(i, [float(x) for x in draw.standard_normal(16).astype(np.float32)])

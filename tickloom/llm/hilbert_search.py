@@ -112,17 +112,29 @@ def usable(vector: Column) -> Column:
         & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _directions() -> dict[str, Column]:
+    """Two hashes of a vector divided by its largest component, which is all that a cosine sees of it."""
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    divided = F.transform("v", lambda x: x.cast("double") / largest + F.lit(0.0))  # no negative zeros
+    return {"k1": F.xxhash64(divided), "k2": F.xxhash64(F.lit(1), divided)}
+
+
 def _nodes(rows: DataFrame, kept: int) -> DataFrame:
-    """Distinct vectors with the ``kept`` smallest ids that have them, as ``node, v, members``."""
-    key = [F.xxhash64("v"), F.xxhash64(F.lit(1), "v")]
+    """Distinct directions with the ``kept`` smallest ids that have them, as ``node, v, members``.
+
+    Nodes are numbered by their smallest ids, so that of nodes with equal scores the smaller number comes first.
+    """
     first = Window.partitionBy("k1", "k2").orderBy(F.col("id").asc_nulls_last(), "row")
     # Spark drops rows beyond the limit before they move.
-    few = rows.withColumns({"k1": key[0], "k2": key[1]}).withColumn(
+    few = rows.withColumns(_directions()).withColumn(
         "n", F.row_number().over(first)).where(F.col("n") <= kept)
     grouped = few.groupBy("k1", "k2").agg(
         F.min_by("v", "n").alias("v"),
         F.array_sort(F.collect_list(F.struct("n", "id", "row"))).alias("members"))
-    return written_once(grouped.withColumn("node", F.monotonically_increasing_id()))
+    smallest = F.col("members")[0]
+    return written_once(row_number_within(
+        grouped.withColumn("all", F.lit(0)), "all",
+        [smallest["id"].isNull(), smallest["id"], smallest["row"]], "node").drop("all"))
 
 
 def _best(score: np.ndarray, k: int) -> np.ndarray:
@@ -221,7 +233,7 @@ def nearest(
     # A node of its own copies answers for k + 1 rows, one of which may be the query.
     nodes = _nodes(rows.select("id", "v", "row"), k + 1)
     count = nodes.count()
-    own = rows.where("asks").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    own = rows.where("asks").withColumns(_directions())
     asks = written_once(own.select("id", "row", "k1", "k2").join(
         nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "row", "node"))
     asked = nodes.join(asks.select("node").distinct(), "node").select("node", "v")
