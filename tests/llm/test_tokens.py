@@ -110,13 +110,39 @@ def brute_padding(tops, counts, buckets):
 
 def test_boundaries_are_optimal():
     draw = np.random.default_rng(5)
-    for buckets in (1, 2, 3, 9):
-        tops = np.unique(draw.integers(1, 500, 9))
-        counts = draw.integers(1, 50, len(tops))
+    for buckets in (1, 2, 3, 4, 9) * 8:
+        tops = np.unique(draw.integers(1, draw.choice([12, 500, 100_000]), 9)).tolist()
+        counts = draw.integers(1, draw.choice([2, 50]), len(tops), endpoint=True).tolist()
         ends = packing.best_boundaries(tops, counts, buckets)
         assert len(ends) <= buckets and ends[-1] == tops[-1]
         cost = sum(int(c) * next(e for e in ends if e >= t) for t, c in zip(tops, counts))
-        assert cost == brute_padding(tops.tolist(), counts.tolist(), buckets)
+        assert cost == brute_padding(tops, counts, buckets)
+
+
+def test_boundaries_of_all_lengths_at_once():
+    """Against the plain dynamic programme over some hundreds of lengths."""
+    draw = np.random.default_rng(6)
+    tops = np.unique(draw.integers(1, 60_000, 400))
+    counts = draw.integers(1, 9, len(tops))
+    before = np.concatenate([[0], np.cumsum(counts)])
+    cost = tops * before[1:]
+    for _ in range(15):
+        cost = np.array([min([tops[j] * before[j + 1], *(cost[:j] + tops[j] * (before[j + 1] - before[1:j + 1]))])
+                         for j in range(len(tops))])
+    ends = packing.best_boundaries(tops.tolist(), counts.tolist(), 16)
+    assert len(ends) == 16
+    assert sum(int(c) * next(e for e in ends if e >= t) for t, c in zip(tops, counts)) == cost[-1]
+
+
+def test_lengths_of_documents(spark):
+    """Null, empty and very long texts, repeated rows and ids, columns with clashing names."""
+    rows = [(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (3, "word " * 60_000, "x"), (4, "a b", "x"), (4, "a b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
+    got = packing.pack_documents(docs, PATH, buckets=2, budget=100).collect()
+    sizes = sorted(r.n_tokens for r in got)
+    assert sizes[:2] == [1, 1] and sizes[2] == sizes[4] and sizes[5] > 60_000
+    # The longest text is padded to its own length.
+    assert {r.pad_to for r in got} == {sizes[2], sizes[5]}
 
 
 def test_pack(spark):
@@ -136,10 +162,3 @@ def test_pack(spark):
         if (bucket, batch + 1) in batches:
             assert len(rows) == max(1, 2000 // rows[0].pad_to)
     assert packing.pack(frame.limit(0), "length").count() == 0
-
-
-def test_candidate_boundaries(spark):
-    from pyspark.sql import functions as F
-    rows = spark.range(1, 5000).select("id", packing.boundary_of(F.col("id")).alias("top")).collect()
-    assert all(r.id <= r.top <= r.id * (1 + 1 / 128) + 1 for r in rows)
-    assert all(r.top == r.id for r in rows if r.id <= 256)

@@ -18,8 +18,6 @@ from tickloom.session import written_once
 
 BUCKETS = 16
 BUDGET = 65_536
-#: Lengths up to this are boundaries of their own; above, boundaries are this many to a doubling.
-FINE = 256
 
 
 def token_counts(text: Column, tokenizer: str) -> Column:
@@ -32,48 +30,54 @@ def token_counts(text: Column, tokenizer: str) -> Column:
     return arrow_udf(counted, "bigint")(text.cast("string"))
 
 
-def boundary_of(length: Column) -> Column:
-    """The candidate boundary at or above a length.
+def best_boundaries(tops: list[int], counts: list[int], buckets: int) -> list[int]:
+    """Of ascending lengths, the at most ``buckets`` that make the best boundaries: those with the fewest padded tokens.
 
-    Exact up to ``FINE``; above, the next multiple of the power of two that leaves ``FINE`` steps to a
-    doubling. Any range of lengths up to 2^31 has at most about 6000 candidates.
-    """
-    doublings = F.floor(F.log2(length.cast("double") / FINE)).cast("int")
-    step = F.when(length <= FINE, F.lit(1).cast("bigint")).otherwise(
-        F.pow(F.lit(2.0), F.greatest(doublings, F.lit(0))).cast("bigint"))
-    return (F.ceil(length / step) * step).cast("bigint")
-
-
-def best_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Of ascending candidate boundaries, the at most ``buckets`` with the fewest padded tokens.
-
-    ``counts`` are the sequences at each candidate. Cost of a bucket is its boundary times its
-    sequences; the last candidate is always chosen. Ties: the smaller earlier boundary.
+    ``counts`` are the sequences of each length. The cost of a bucket is its boundary times its sequences, the last
+    length is always a boundary, and of equal choices the smaller earlier boundary is made. With k - 1 buckets up
+    to i solved, a further one from i to j costs a line in i taken at the j-th length, so a layer of the
+    dynamic programme is the lower hull of these lines and takes time in proportion to the lengths.
     """
     size = len(tops)
     if not size:
         return []
-    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    cost = tops * before[1:]
+    before = [0]
+    for n in counts:
+        before.append(before[-1] + n)
+    cost = [t * n for t, n in zip(tops, before[1:])]
     choices = []
     for _ in range(min(buckets, size) - 1):
-        new, chosen = np.empty(size), np.zeros(size, dtype=np.int64)
-        for j in range(size):
-            # The bucket ends at j and starts after i; i = -1 is one bucket for all.
-            options = np.concatenate([[tops[j] * before[j + 1]],
-                                      cost[:j] + tops[j] * (before[j + 1] - before[1:j + 1])])
-            chosen[j] = int(np.argmin(options)) - 1
-            new[j] = options[chosen[j] + 1]
+        new, chosen = [], []
+        # Lines as (slope, value at 0, i); i = -1 is one bucket for all.
+        hull: list[tuple[int, int, int]] = [(0, 0, -1)]
+        first = 0
+        for j, top in enumerate(tops):
+            if j:
+                line = (-before[j], cost[j - 1], j - 1)
+                while len(hull) - first > 1:
+                    (m1, b1, _), (m2, b2, _) = hull[-2:]
+                    if (line[1] - b1) * (m1 - m2) > (b2 - b1) * (m1 - line[0]):
+                        break
+                    hull.pop()
+                hull.append(line)
+            while len(hull) - first > 1:
+                (m1, b1, _), (m2, b2, _) = hull[first:first + 2]
+                if b2 + m2 * top >= b1 + m1 * top:
+                    break
+                first += 1
+            slope, value, i = hull[first]
+            new.append(value + (slope + before[j + 1]) * top)
+            chosen.append(i)
         cost = new
         choices.append(chosen)
     ends, j = [], size - 1
     for chosen in reversed(choices):
-        ends.append(int(tops[j]))
-        j = int(chosen[j])
+        ends.append(tops[j])
+        j = chosen[j]
         if j < 0:
             break
     else:
-        ends.append(int(tops[j]))
+        ends.append(tops[j])
     return sorted(ends)
 
 
@@ -87,17 +91,16 @@ def pack(
     length its sequences are padded to, and the batch in the bucket and the place in the batch, both from
     0 without gaps, in id order. A batch holds ``budget // pad_to`` sequences, and at least one. Repeated
     rows are sequences of their own, null ids come first, and no rows give no batches. Input columns with
-    the names of the new ones are replaced.
+    the names of the new ones are replaced. The driver holds one count for each distinct length; n of these take
+    n * n / 2 tokens at least, so for 10^13 tokens there are fewer than five million.
     """
     new = ("bucket", "pad_to", "batch", "slot")
     top = f"{OWN}top"
     kept = [c for c in docs.columns if c not in new]
-    sized = written_once(docs.select(*kept).withColumn(top, boundary_of(F.col(length))))
+    sized = written_once(docs.select(*kept).withColumn(top, F.col(length).cast("bigint")))
     histogram = sorted(
         (r[top], r["n"]) for r in sized.groupBy(top).agg(F.count(F.lit(1)).alias("n")).collect())
-    tops = best_boundaries(
-        np.array([t for t, _ in histogram], np.int64),
-        np.array([n for _, n in histogram], np.int64), buckets)
+    tops = best_boundaries([t for t, _ in histogram], [n for _, n in histogram], buckets)
     bounds = F.array(*[F.lit(t).cast("bigint") for t in tops]) if tops else F.array(
         F.lit(0).cast("bigint"))
     bucket = F.size(F.filter(bounds, lambda b: b < F.col(top)))
