@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions import scalars as S
 from tickloom.functions.scalars import ratio
-from tickloom.operators.joins import join_pred_actual, lookup_symbol, semi_features
+from tickloom.operators.joins import join_per_stock, join_pred_actual, lookup_symbol, semi_features
 from tickloom.sources.tables import select_prices
 
 HISTORY_ROWS, RECENT_ANOMALIES = 50, 20
@@ -72,19 +73,43 @@ def summary_table(overview: DataFrame) -> DataFrame:
     )
 
 
+def _kpis(inside: Column) -> list[Column]:
+    """The aggregates of the rows of a lookback."""
+    def of(name: str) -> Column:
+        return F.when(inside, F.col(name))
+
+    return [
+        F.min_by("close_price", of("trade_date")).alias("first_close"),
+        F.max_by("close_price", of("trade_date")).alias("latest_close"),
+        F.avg(of("volume")).alias("avg_volume"), F.max(of("high_price")).alias("period_high"),
+        F.min(of("low_price")).alias("period_low"), F.count_if(inside).alias("_rows")]
+
+
+def period_kpis_of(
+    prices: DataFrame, lookbacks: dict[str, int | None], as_of: dt.date
+) -> DataFrame:
+    """Per stock and lookback, the first against the last close and the extremes.
+
+    ``lookbacks`` gives a number of days up to ``as_of`` for each name, or None for all. One scan and one
+    aggregation serve all of them: a row counts in every lookback that it lies in.
+    """
+    parts, names = [], []
+    for i, (name, days) in enumerate(lookbacks.items()):
+        inside = F.lit(True) if days is None else F.col("trade_date") >= F.lit(as_of - dt.timedelta(days=days))
+        columns = _kpis(F.coalesce(inside, F.lit(False)))
+        fields = ["first_close", "latest_close", "avg_volume", "period_high", "period_low", "_rows"]
+        parts += [c.alias(f"_{i}_{f}") for c, f in zip(columns, fields)]
+        names.append(F.struct(F.lit(name).alias("lookback"), *[F.col(f"_{i}_{f}").alias(f) for f in fields]))
+    rows = prices.groupBy("stock_id").agg(*parts).select("stock_id", F.inline(F.array(*names)))
+    change = F.col("latest_close") - F.col("first_close")
+    return rows.where(F.col("_rows") > 0).drop("_rows").withColumn("period_change", change).withColumn(
+        "period_change_pct", ratio(change, F.col("first_close")) * 100)
+
+
 def period_kpis(prices: DataFrame, days: int | None = None, as_of: dt.date | None = None) -> DataFrame:
     """First against last close and the extremes of the lookback, per stock."""
     rows = select_prices(prices, days=days, as_of=as_of)
-    kpis = rows.groupBy("stock_id").agg(
-        F.min_by("close_price", "trade_date").alias("first_close"),
-        F.max_by("close_price", "trade_date").alias("latest_close"),
-        F.avg("volume").alias("avg_volume"),
-        F.max("high_price").alias("period_high"),
-        F.min("low_price").alias("period_low"),
-    )
-    change = F.col("latest_close") - F.col("first_close")
-    return kpis.withColumn("period_change", change).withColumn(
-        "period_change_pct", ratio(change, F.col("first_close")) * 100)
+    return period_kpis_of(rows, {"all": None}, dt.date.max).drop("lookback")
 
 
 def candle_color() -> Column:
@@ -184,11 +209,33 @@ def score_timeline(anomalies: DataFrame) -> DataFrame:
         F.lit(0.0).alias("boundary"), (F.col("anomaly_score") < 0).alias("below_boundary"))
 
 
+def _range_start(button: str) -> Column:
+    if button == "all":
+        return F.lit(None).cast("date")
+    return (F.trunc("_last", "year") if button == "ytd"
+            else F.add_months("_last", -RANGE_MONTHS[button]))
+
+
 def range_slice(rows: DataFrame, button: str) -> DataFrame:
     """Rows within a chart range that ends at each stock's last date."""
     if button == "all":
         return rows
     last = rows.groupBy("stock_id").agg(F.max("trade_date").alias("_last"))
-    start = (F.trunc("_last", "year") if button == "ytd"
-             else F.add_months("_last", -RANGE_MONTHS[button]))
-    return rows.join(last, "stock_id").where(F.col("trade_date") >= start).drop("_last")
+    return rows.join(last, "stock_id").where(F.col("trade_date") >= _range_start(button)).drop("_last")
+
+
+def range_extents(rows: DataFrame, buttons: Sequence[str]) -> DataFrame:
+    """Per stock and chart range the number of rows and the first and last date.
+
+    One scan finds the last dates and one aggregates all ranges.
+    """
+    last = rows.groupBy("stock_id").agg(F.max("trade_date").alias("_last"))
+    day, parts, names = F.col("trade_date"), [], []
+    for i, button in enumerate(buttons):
+        inside = F.coalesce(day >= _range_start(button), F.lit(button == "all"))
+        parts += [F.count_if(inside).alias(f"_{i}_rows"), F.min(F.when(inside, day)).alias(f"_{i}_first_date"),
+                  F.max(F.when(inside, day)).alias(f"_{i}_last_date")]
+        names.append(F.struct(F.lit(button).alias("button"), *[
+            F.col(f"_{i}_{f}").alias(f) for f in ("rows", "first_date", "last_date")]))
+    return join_per_stock(rows.select("stock_id", "trade_date"), last).groupBy("stock_id").agg(*parts).select(
+        "stock_id", F.inline(F.array(*names))).where(F.col("rows") > 0)

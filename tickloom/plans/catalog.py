@@ -494,12 +494,7 @@ for _name, _view in {
 
 @query("period_kpis")
 def period_kpis(spark, sf_dir):
-    prices = _stored_prices(spark, sf_dir)
-    parts = [
-        dashboard.period_kpis(prices, days, AS_OF if days else None)
-        .withColumn("lookback", F.lit(name))
-        for name, days in dashboard.LOOKBACK_DAYS.items()]
-    return rounded(models.union_predictions(*parts))
+    return rounded(dashboard.period_kpis_of(m.prices(spark, sf_dir), dashboard.LOOKBACK_DAYS, AS_OF))
 
 
 @query("candle_colors")
@@ -578,12 +573,7 @@ def net_flow_sign(spark, sf_dir):
 
 @query("range_slice")
 def range_slice(spark, sf_dir):
-    prices = _stored_prices(spark, sf_dir)
-    parts = [dashboard.range_slice(prices, b).groupBy("stock_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("trade_date").alias("first_date"),
-        F.max("trade_date").alias("last_date")).withColumn("button", F.lit(b))
-        for b in ("1m", "3m", "6m", "ytd", "1y", "all")]
-    return models.union_predictions(*parts)
+    return dashboard.range_extents(_stored_prices(spark, sf_dir), ("1m", "3m", "6m", "ytd", "1y", "all"))
 
 
 @query("flow_series")
