@@ -12,7 +12,8 @@ from tickloom.session import build_session
 HEADLINE = (
     "market_overview", "compute_features", "compute_capital_flow", "clean_stock_data",
     "validate_quality", "period_kpis", "candles_with_ma", "prediction_accuracy", "alert_summary",
-    "flow_kpis", "chrono_split", "evaluate", "train_linear", "predict_next_close",
+    "flow_kpis", "chrono_split", "evaluate", "train_linear", "train_boosted", "train_stacking",
+    "predict_next_close",
     "anomaly_flags", "isolation_forest", "upsert_prices", "job_backfill", "stream_bars",
 )
 
