@@ -1,9 +1,15 @@
+import math
+import os
+import struct
 import zlib
 
 import pytest
+import xxhash
 
+from tickloom.llm.queries import QUERIES
 from tickloom.llm.sharding import Topology, place, shard_documents
 
+DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, shard string, slot int"
 
 
@@ -61,3 +67,38 @@ def test_topology_is_checked():
         Topology(((0, 0, 0, 1.0), (0, 0, 0, 1.0)))
     with pytest.raises(ValueError):
         Topology(((0, 0, 0, 0.0),))
+
+
+def plain_shard(doc_id, shards):
+    """The descent recomputed in plain Python: xxHash over the key, the level and the path."""
+    def draw(level, path, weight):
+        state = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)
+        for part in (level, *path):
+            state = xxhash.xxh64_intdigest(struct.pack("<i", part), seed=state)
+        return -math.log(((state >> 11) + 0.5) / 2 ** 53) / weight
+
+    path = ()
+    for level in range(3):
+        weights = {}
+        for *names, weight in shards:
+            if tuple(names[:level]) == path:
+                weights[names[level]] = weights.get(names[level], 0.0) + weight
+        path += (min(weights, key=lambda name: (draw(level, (*path, name), weights[name]), name)),)
+    return path[-1]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_registered_query_equals_plain_python(spark):
+    rows = QUERIES["op6_hash_tree_shards"](spark, DATA).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    old = [(n // 8, n % 8 // 4, n, 1.0) for n in range(40)]
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = {}
+    for r in rows:
+        body = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32) == (len(body) + 16, zlib.crc32(body))
+        assert r.shard == plain_shard(r.doc_id, old)
+        assert r.grown_shard == plain_shard(r.doc_id, [*old, (5, 0, 40, 1.0)])
+        slots.setdefault(r.shard, []).append((r.doc_id, r.slot))
+    for held in slots.values():
+        assert [slot for _, slot in sorted(held)] == list(range(len(held)))
