@@ -212,7 +212,8 @@ def decontaminate(
     in ``text`` the contaminated text without hit words, also those that only a cut brings together
     (null for others). A null or empty text has
     no words and no hits; items without an id, words or text have no windows, and no benchmark rows
-    mean no hits; an item's repeated rows count once; repeated documents are reported each. Documents
+    mean no hits; an item's repeated rows count once; repeated documents are reported each. Texts of any
+    length are read whole, in pieces. Documents
     keep all their columns, whatever their names, but for one named as ``out``.
     """
     stored = written_once(item_windows(benchmark, size, item_col, item_text_col))

@@ -264,8 +264,8 @@ def near_duplicates(
     Documents are linked if their shingle sets share ``percent`` per cent of their union, and also if
     they share an id. ``component_id`` is the smallest id reachable. A null or empty text, or one without
     words, has an empty set and no links. A document without an id takes part in none, has no
-    ``component_id`` and is kept. Repeated rows are returned each. No rows give no rows. Other columns are
-    not read.
+    ``component_id`` and is kept. Repeated rows are returned each. Texts of any length are read whole, in
+    pieces. No rows give no rows. Other columns are not read.
     """
     texts = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

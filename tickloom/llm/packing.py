@@ -118,7 +118,9 @@ def pack_documents(
 ) -> DataFrame:
     """``doc_id, n_tokens, bucket, pad_to, batch, slot`` of each document.
 
-    Lengths are token ids with the end id, so null and empty texts have one.
+    Lengths are token ids with the end id, so null and empty texts have one. A text of any length is one sequence,
+    alone in its batch if it is longer than the budget. Repeated rows are sequences of their own, rows of one id are
+    ordered by length, no rows give no rows, and other columns are not read.
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"), token_counts(F.col(text_col), tokenizer).alias("n_tokens"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections.abc import Iterator
@@ -191,3 +192,10 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Drops the encoders that an earlier stage left in this worker process, with all they remember."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tickloom.llm.string_kernel import Landmarks, pieces_of
+from tickloom.llm.tokens import release
 from tickloom.session import written_once
 
 #: Labelled documents to learn from at most, those with the smallest hashes of their ids.
@@ -208,7 +209,9 @@ def fit(
 
     An id with several labels counts as toxic if one is; null ids and labels are ignored. Without toxic
     or without clean documents, or without a token that tells them apart, the model scores all texts
-    alike, by the share of toxic labels (0 without labels).
+    alike, by the share of toxic labels (0 without labels). Of more documents than the sample holds, those with the
+    smallest hashes of their ids count, equal hashes by id; repeated rows of a document count each. Sampled
+    texts are read whole, whatever their length. Other columns, whatever their names, are not read.
     """
     known = written_once(labels.where(
         F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(
@@ -253,6 +256,7 @@ def _trained(sample: DataFrame, landmarks: tuple[str, ...], total: dict, sizes:
     names = list(landmarks)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         similar = Similarities(Landmarks(names, FLOOR))
         for batch in batches:
             own: dict[int, list] = {}
@@ -311,12 +315,16 @@ def _firsts(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def score(model: Model, text: Column) -> Column:
-    """The probability, 0 to 1, that a text is toxic. Null and empty texts have no toxic sentence."""
+    """The probability, 0 to 1, that a text is toxic, by its most toxic sentence, however long it is.
+
+    Null and empty texts have no toxic sentence. Equal texts score the same.
+    """
     packed = pickle.dumps(model)
     held: list = []
 
     def scored(texts: pa.Array) -> pa.Array:
         if not held:
+            release()
             own = pickle.loads(packed)
             held.extend([own, Similarities(Landmarks(list(own.landmarks), FLOOR))
                          if own.landmarks else None])

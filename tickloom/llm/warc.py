@@ -267,7 +267,8 @@ def archive_table(
 
     A null or empty payload is a record of 0 bytes; payloads below ``min_bytes`` are never revisits; the
     smallest page id is the response, null ids last; rows that repeat its id are responses, too. A null url has
-    no target field. No rows give no files and no records. Other columns are not read.
+    no target field. Payloads of any length are one
+    record each. No rows give no files and no records. Other columns are not read.
     """
     folder = folder or scratch_path(pages.sparkSession, "archives")
     return read_archives(write_archives(pages, folder, **settings), range_bytes)
