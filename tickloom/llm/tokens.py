@@ -15,7 +15,9 @@ from tokenizers import Tokenizer
 from tickloom.llm.spans import hashes, mix, text_pieces
 
 #: Pre-tokens remembered in each of the two generations of the cache.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
+#: Bytes of text cut at once; the arrays made of them take some twenty times as much.
+CUT_BYTES = 1 << 20
 
 LETTER, DIGIT, SPACE, OTHER, FOREIGN = range(5)
 
@@ -131,7 +133,7 @@ class Encoder:
         special = np.zeros(len(column), dtype=bool)
         for content in self.added:
             special |= np.asarray(pc.match_substring(column, content))
-        for row, data, bounds in text_pieces(column):
+        for row, data, bounds in text_pieces(column, CUT_BYTES):
             count = len(bounds) - 1
             whole = special[row:row + count].copy()
             foreign = np.flatnonzero(CLASSES[data] == FOREIGN)
