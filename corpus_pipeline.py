@@ -7,7 +7,7 @@ give none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.llm import decontaminate, line_dedup, minhash, packing, toxicity
 from tickloom.llm.queries import TOKENIZER, TOXIC_FROM, held_out
@@ -16,6 +16,8 @@ from tickloom.session import written_once
 
 #: Part of a document's words that benchmark passages make up from which it goes as a whole.
 MOSTLY = 0.5
+#: Toxic texts up to which their names, 16 bytes each, are broadcast.
+BROADCAST_NAMES = 1_000_000
 
 
 def _own(docs: DataFrame, name: str) -> str:
@@ -26,15 +28,35 @@ def _own(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _text_names() -> list[Column]:
+    """Two hashes that name a text; those of null are null's own."""
+    return [F.xxhash64(F.lit(k), F.coalesce("text", F.lit("")), F.col("text").isNull()) for k in range(2)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine does not find toxic."""
+    """Documents that the string-kernel machine does not find toxic.
+
+    Texts are scored by themselves and the names of toxic ones written; documents are then filtered by these,
+    without Python beside the rows that are written. The names are broadcast while they are few. Null and empty
+    texts stay, equal texts share their fate, and texts of any length are scored whole.
+    """
     labels = table(spark, sf_dir, "labels").where(~held_out())
     model = toxicity.fit(docs, labels)
-    return docs.where(toxicity.score(model, F.col("text")) < TOXIC_FROM)
+    names = [_own(docs, f"__name{k}") for k in range(2)]
+    scored = docs.select(*[c.alias(n) for c, n in zip(_text_names(), names)],
+                         toxicity.score(model, F.col("text")).alias("score"))
+    toxic = written_once(scored.where(F.col("score") >= TOXIC_FROM).select(*names).distinct())
+    few = toxic.count() <= BROADCAST_NAMES
+    named = docs.withColumns(dict(zip(names, _text_names())))
+    return named.join(F.broadcast(toxic) if few else toxic, names, "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; those that nothing is left of go."""
+    """Documents without lines that repeat earlier ones; those that nothing is left of go.
+
+    Null and empty texts stay. Of equal lines that in the document with the smallest id stays, null ids last; rows
+    that share an id count as one document. Texts of any length are read whole.
+    """
     found = _own(docs, "__lines")
     marked = line_dedup.dedup_lines(docs, out=found, short_copies=True)
     removed = F.col(found)["removed"]
@@ -48,7 +70,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; those without an id all stay."""
+    """One document of each group of near duplicates, the one with the smallest id; those without an id all stay.
+
+    Of rows that share an id one stays. Null and empty texts are no duplicates of each other. Similarity is
+    that of shingles of five words.
+    """
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(
         "doc_id").distinct()
     chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -56,7 +82,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages; those that mostly consist of them go."""
+    """Documents without benchmark passages; those that consist of them to at least half go.
+
+    Null and empty texts stay, repeated rows are treated alike, and texts of any length are read whole.
+    """
     name = _own(docs, "__found")
     marked = decontaminate.decontaminate(
         docs, table(spark, sf_dir, "benchmark"), cleaned=True, out=name)
@@ -71,7 +100,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as sequences in length buckets and batches."""
+    """The documents as sequences in length buckets and batches; every row is one, also of null or empty text."""
     return packing.pack_documents(docs, TOKENIZER)
 
 
