@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tickloom.llm.spans import BYTE_VALUES, LOWER, hashes, runs, text_pieces, windows
+from tickloom.llm.spans import BYTE_VALUES, LOWER, give_back, hashes, runs, text_pieces, windows
 from tickloom.llm.tables import OWN
 from tickloom.session import written_once
 
@@ -225,6 +225,7 @@ def decontaminate(
     def found(texts: pa.Array) -> pa.Array:
         if not loaded:
             loaded.append(pickle.loads(shared.value))
+        give_back()
         return _stacked([report(p, loaded[0].occurrences(p), loaded[0], cleaned) for p in pieces(texts)])
 
     return docs.withColumn(out, arrow_udf(found, REPORT_TYPE)(F.col(text_col).cast("string")))

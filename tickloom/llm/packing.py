@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tickloom.llm.spans import give_back
 from tickloom.llm.tables import OWN, row_number_within
 from tickloom.llm.tokens import encoder
 from tickloom.session import written_once
@@ -24,6 +25,7 @@ def token_counts(text: Column, tokenizer: str) -> Column:
     """Number of token ids of a text with an end id; null is empty."""
     def counted(texts: pa.Array) -> pa.Array:
         encode = encoder(tokenizer)
+        give_back()
         sizes = [np.diff(bounds) + 1 for _, _, bounds in encode.encode(texts)]
         return pa.array(np.concatenate(sizes) if sizes else np.empty(0, np.int64), pa.int64())
 

@@ -6,6 +6,7 @@ memory follows the piece and not the batch or the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,14 @@ _INVERSE = pow(_FACTOR, -1, 1 << 64)
 BYTE_VALUES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Returns to the system the free memory that Arrow and the C library of this process keep for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none but in glibc
+    if trim is not None:
+        trim(0)
+
+
 def _powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base, dtype=np.uint64)
     out[0] = 1

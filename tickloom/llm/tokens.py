@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from tickloom.llm.spans import hashes, mix, text_pieces
+from tickloom.llm.spans import give_back, hashes, mix, text_pieces
 
 #: Pre-tokens remembered in each of the two generations of the cache.
 REMEMBERED = 120_000
@@ -200,4 +200,4 @@ def release() -> None:
     """Drops the encoders that an earlier stage left in this worker process, with all they remember."""
     _ENCODERS.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()

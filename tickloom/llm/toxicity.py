@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tickloom.llm.string_kernel import Landmarks, pieces_of
+from tickloom.llm.spans import give_back
 from tickloom.llm.tokens import release
 from tickloom.session import written_once
 
@@ -328,6 +329,7 @@ def score(model: Model, text: Column) -> Column:
             own = pickle.loads(packed)
             held.extend([own, Similarities(Landmarks(list(own.landmarks), FLOOR))
                          if own.landmarks else None])
+        give_back()
         own, similar = held
         best = np.full(len(texts), own.bias)
         if similar is not None:
