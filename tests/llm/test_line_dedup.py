@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tickloom.llm.line_dedup import dedup_lines, remaining
+from tickloom.llm.line_dedup import EDITS, WITNESSES, dedup_lines, letter_counts, near_pairs, remaining
 from tickloom.llm.queries import QUERIES
 from pyspark.sql import functions as F
 
@@ -123,3 +123,36 @@ def test_query_takes_copies_of_short_lines(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in kept} == {1: "a line\n\nown", 2: "\nother"}
+
+
+def of_one_kind(draw, count, digits):
+    """Lines that share all but a number, some with a further edit or two."""
+    out = []
+    for _ in range(count):
+        number = "".join(draw.choice("0123456789") for _ in range(digits))
+        line = f"the station reported number {number} at its usual hour"
+        for _ in range(draw.choice([0, 0, 0, 1, 1, 2])):
+            line = edited(draw, line) if draw.random() < 0.5 else line + "."
+        out.append(line)
+    return out
+
+
+def test_lines_of_one_kind_against_brute_force(spark):
+    draw = random.Random(12)
+    lines = of_one_kind(draw, 90, 6) + of_one_kind(draw, 60, 3) + ["=" * n for n in range(32, 60, 2)] + [
+        "=" * draw.randint(5, 30) + str(draw.randint(100, 999)) + "=" * 25 for _ in range(25)]
+    docs = [(draw.randrange(120), "\n".join(draw.sample(lines, 3))) for _ in range(70)]
+    frame = spark.createDataFrame([(*d, "clash", 1) for d in docs], SCHEMA)
+    want = sorted((d, t, k) for d, t, k in brute(docs))
+    got = dedup_lines(frame, witnesses=1).collect()
+    assert sorted((r.doc_id, r.text, r["__lines"].removed) for r in got) == want
+
+
+def test_lines_that_meet_grow_with_a_group_and_not_its_square(spark):
+    draw = random.Random(13)
+    lines = sorted({f"the station reported number {draw.randrange(10 ** 12):012d} at its usual hour"
+                    for _ in range(1500)})
+    frame = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "line string, first bigint").withColumns({
+        "chars": F.length("line"), "letters": letter_counts(F.col("line")), "name": F.xxhash64("line")})
+    # Each line looks for three segments and meets the earliest under them, and is marked under each.
+    assert near_pairs(frame, EDITS).count() <= 3 * (WITNESSES + 1) * len(lines)
