@@ -84,3 +84,13 @@ def test_nothing_to_learn_from(spark):
         scores = docs.select(toxicity.score(model, F.col("text")).alias("s")).collect()
         assert all(low <= r.s <= high for r in scores)
     assert docs.limit(0).select(toxicity.score(model, F.col("text"))).count() == 0
+
+
+def test_remembered_tokens_hold_no_more_than_themselves():
+    draw = random.Random(5)
+    words = ["".join(draw.choice(SYLLABLES) for _ in range(4)) for _ in range(6000)] + INSULTS
+    similar = toxicity.Similarities(Landmarks(INSULTS, toxicity.FLOOR))
+    found = [v for _, v in similar.of([" ".join(words)])]
+    assert found and similar.vectors and all(v.base is None for v in similar.vectors)
+    want = Landmarks(INSULTS, toxicity.FLOOR).similarities(words)
+    assert np.allclose(np.max(found, axis=0), want.max(axis=0))

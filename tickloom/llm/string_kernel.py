@@ -22,7 +22,7 @@ STEPS = [(near, far) for far in range(2, SPAN) for near in range(1, far)]
 #: Longer strings are compared by windows of this size, each half over the one before.
 LONGEST = 40
 #: Strings handled at once.
-BATCH = 4096
+BATCH = 1024
 
 _PLAIN = re.compile(r"[\W_]+")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tickloom.llm.string_kernel import Landmarks, pieces_of
+from tickloom.llm.string_kernel import BATCH, Landmarks, pieces_of
 from tickloom.llm.spans import give_back
 from tickloom.llm.tokens import release
 from tickloom.session import written_once
@@ -41,7 +41,7 @@ LONGEST_SENTENCE = 256
 ROUNDS = 4
 COST = 1.0
 #: Tokens remembered by a worker, and looked at together.
-REMEMBERED, TOGETHER = 150_000, 100_000
+REMEMBERED, TOGETHER = 150_000, 25_000
 
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPACED = re.compile(r"(?<!\S)(?:\w\s){2,}\w(?!\S)")
@@ -74,16 +74,18 @@ class Similarities:
             self._forget()
         new = [t for t in tokens if t not in self.rows]
         owners = [(i, p) for i, t in enumerate(new) for p in pieces_of(t)]
-        found = self.landmarks.similarities([p for _, p in owners])
         self.rows.update(dict.fromkeys(new, -1))
-        for k in np.flatnonzero(found.any(axis=1)).tolist():
-            token = new[owners[k][0]]
-            if self.rows[token] < 0:
-                self.rows[token] = len(self.vectors)
-                self.vectors.append(found[k])
-            else:
-                at = self.rows[token]
-                self.vectors[at] = np.maximum(self.vectors[at], found[k])
+        for first in range(0, len(owners), BATCH):
+            found = self.landmarks.similarities([p for _, p in owners[first:first + BATCH]])
+            for k in np.flatnonzero(found.any(axis=1)).tolist():
+                token = new[owners[first + k][0]]
+                if self.rows[token] < 0:
+                    self.rows[token] = len(self.vectors)
+                    # A copy, since a view would keep all that was found with it.
+                    self.vectors.append(found[k].copy())
+                else:
+                    at = self.rows[token]
+                    self.vectors[at] = np.maximum(self.vectors[at], found[k])
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(text's number, vector) of every sentence that is similar to some landmark."""
@@ -181,6 +183,7 @@ def choose(docs_of: dict[str, np.ndarray], gain: dict[str, float], count: int) -
 def _pieces(sample: DataFrame) -> DataFrame:
     """The distinct strings of each document that may become landmarks: ``doc, label, piece``."""
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for doc, label, text in zip(*batch.columns):
                 found = {p for s in sentences(text.as_py() or "") for w in s for p in pieces_of(w)}
